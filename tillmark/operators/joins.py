@@ -64,8 +64,12 @@ def _salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str,
     )
     # The salt is a pure function of the row, so a recomputed task sends each row to the same place.
     row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("int")
+    # Rows without a key match nothing, so they may go anywhere.
+    spread = F.col("_heavy")
+    for key in keys:
+        spread = spread | F.col(key).isNull()
     salted_facts = facts.join(F.broadcast(heavy), keys, "left").select(
-        *facts.columns, F.when(F.col("_heavy"), row_salt).otherwise(F.lit(0)).alias("_salt")
+        *facts.columns, F.when(spread, row_salt).otherwise(F.lit(0)).alias("_salt")
     )
     salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted_lookup = lookup.join(F.broadcast(heavy), keys, "left").select(
