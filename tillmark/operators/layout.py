@@ -158,12 +158,13 @@ def movements_from_lines(lines: DataFrame) -> DataFrame:
 
 def read_layout(runs: DataFrame) -> Layout:
     """All movements and the per-report fields. A report without product field has no movements."""
+    fields = report_fields(runs)
     by_report = runs.repartition("sha256")
-    fields = report_fields(by_report)
-    totals = declared_totals(by_report)
-    reports = fields.join(totals, "sha256", "left")
-    with_product = fields.filter(F.col("external_product_id").isNotNull())
-    movements = movements_from_lines(sale_lines(by_report)).join(with_product, "sha256")
+    has_product = F.col("external_product_id").isNotNull()
+    reports = fields.join(declared_totals(by_report), "sha256", "left").withColumn(
+        "source_quantity_total", F.when(has_product, F.col("source_quantity_total"))
+    )
+    movements = movements_from_lines(sale_lines(by_report)).join(fields.filter(has_product), "sha256")
     return Layout(movements, reports)
 
 
