@@ -41,7 +41,9 @@ def overlapping_artifacts(incoming: DataFrame, held: DataFrame) -> DataFrame:
     return met.filter((F.col("_low") != own) | (F.col("_high") != own)).select("raw_artifact_id").distinct()
 
 
-def decide_publication(reports: DataFrame, sales: DataFrame, held: DataFrame) -> DataFrame:
+def decide_publication(
+    reports: DataFrame, sales: DataFrame, held: DataFrame, folder: str | None = None
+) -> DataFrame:
     """JN8 and VR6 for a batch of reports that take their turn one after another.
 
     reports: raw_artifact_id, turn (unique, increasing), accepted (no fatal, no error), has_product.
@@ -62,12 +64,13 @@ def decide_publication(reports: DataFrame, sales: DataFrame, held: DataFrame) ->
             (F.col("accepted") & F.col("has_product")).alias("may_publish"),
             F.lit(False).alias("overlap"),
             F.lit(False).alias("published"),
-        )
+        ),
+        folder,
     )
-    contested = _contested_sales(state, sales, held)
+    contested = durable(_contested_sales(state, sales, held), folder)
     while True:
         decided = _settle_round(state, contested)
-        state = durable(decided)
+        state = durable(decided, folder)
         if state.filter("open").isEmpty():
             break
     return reports.join(state.select("raw_artifact_id", "overlap", "published"), "raw_artifact_id")
@@ -96,7 +99,7 @@ def _contested_sales(state: DataFrame, sales: DataFrame, held: DataFrame) -> Dat
         .filter(F.col("wanted") & (F.col("outside") | (F.col("low") != F.col("high"))))
         .select("external_sale_id")
     )
-    return durable(lookup_join(rows, rivals, ["external_sale_id"], "left_semi"))
+    return lookup_join(rows, rivals, ["external_sale_id"], "left_semi")
 
 
 def _settle_round(state: DataFrame, contested: DataFrame) -> DataFrame:
@@ -231,12 +234,16 @@ def upsert_products(existing: DataFrame, published: DataFrame, profile: ReportPr
 
 
 def upsert_publication(existing: DataFrame, published: DataFrame) -> DataFrame:
-    """JN16: one pointer per artifact; the latest published attempt replaces the older one."""
+    """JN16: one pointer per artifact; the latest published attempt replaces the older one.
+
+    ``turn`` of the new rows may be of any orderable type; existing pointers come before all of them.
+    """
     columns = ["raw_artifact_id", "active_parse_attempt_id", "published_at"]
-    both = existing.select(*columns, F.lit(-1).cast("long").alias("turn")).unionByName(
-        published.select(*columns, F.col("turn").cast("long").alias("turn"))
+    both = existing.select(*columns, F.lit(None).cast(published.schema["turn"].dataType).alias("turn")).unionByName(
+        published.select(*columns, "turn")
     )
+    # Nulls sort lowest inside a struct, so an existing pointer only stays where nothing new came.
     latest = both.groupBy("raw_artifact_id").agg(
-        F.max_by(F.struct("active_parse_attempt_id", "published_at"), "turn").alias("p")
+        F.max(F.struct("turn", "active_parse_attempt_id", "published_at")).alias("p")
     )
-    return latest.select("raw_artifact_id", "p.*")
+    return latest.select("raw_artifact_id", "p.active_parse_attempt_id", "p.published_at")

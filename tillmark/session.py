@@ -41,7 +41,24 @@ def new_workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor never restarts an iteration from scratch."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Cut lineage through a table in the shared folder.
+
+    A lost executor then re-reads files instead of recomputing an iteration, later steps prune columns,
+    and the optimizer knows the size of what was written.
+    """
+    spark = df.sparkSession
+    path = f"{folder or shared_folder(spark)}/cut-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a workspace this application wrote itself."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
