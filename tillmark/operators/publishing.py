@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillmark.fixed import DEFAULT_PROFILE, ReportProfile
 from tillmark.functions.marks import stable_id
-from tillmark.operators.joins import fits_broadcast, lookup_join
+from tillmark.operators.joins import absent_from, lookup_join
 from tillmark.schemas import MONEY, QUANTITY
 from tillmark.session import durable
 
@@ -180,18 +180,6 @@ def first_sales(movements: DataFrame, profile: ReportProfile = DEFAULT_PROFILE)
     )
 
 
-def absent_from(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` whose key is not in ``existing``.
-
-    A small batch is compared by scanning the existing keys in place; they are shuffled only when the
-    batch itself is large.
-    """
-    if fits_broadcast(incoming):
-        hits = existing.select(*keys).join(F.broadcast(incoming.select(*keys)), keys, "left_semi").distinct()
-        return incoming.join(hits, keys, "left_anti")
-    return incoming.join(existing.select(*keys), keys, "left_anti")
-
-
 def new_sales(movements: DataFrame, existing: DataFrame, profile: ReportProfile = DEFAULT_PROFILE) -> DataFrame:
     """JN15: insert if absent; a sale that exists keeps its time and first attempt."""
     return absent_from(first_sales(movements, profile), existing, ["external_source", "external_sale_id"])
