@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.fixed import DEFAULT_PROFILE, ReportProfile
-from tillmark.functions.marks import file_status, published_file_status
+from tillmark.functions.marks import published_file_status
 from tillmark.operators.joins import lookup_join
 
 OPEN_STATUSES = ("PENDING", "PROCESSING")
@@ -115,26 +115,26 @@ def job_rollup(jobs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_counters() -> list[Column]:
-    """AG10 over import files: usable in ``agg`` and in ``observe``."""
+    """AG10 over import files, open ones not counted: usable in ``agg`` and in ``observe``."""
+    settled = ~F.col("status").isin(*OPEN_STATUSES)
     took_ms = F.unix_millis("completed_at") - F.unix_millis("created_at")
     return [
-        F.count_if("deduplicated").alias("duplicates"),
+        F.count_if(F.col("deduplicated") & settled).alias("duplicates"),
         F.count_if(F.col("status") == "WARNING").alias("warnings"),
         F.count_if(F.col("status").isin("INVALID", "FAILED")).alias("failures"),
-        F.coalesce(F.sum(F.when(took_ms > 0, took_ms)), F.lit(0)).alias("duration_ms"),
+        F.coalesce(F.sum(F.when(settled & (took_ms > 0), took_ms)), F.lit(0)).alias("duration_ms"),
     ]
 
 
 def import_counters(jobs: DataFrame, files: DataFrame, artifacts: DataFrame) -> DataFrame:
     """AG10: one row (name, value) per counter, each from one pass over its table."""
-    settled = files.filter(~F.col("status").isin(*OPEN_STATUSES))
     done = jobs.agg(F.count_if(F.col("status").isin("SUCCEEDED", "PARTIAL_SUCCESS", "FAILED")).alias("completed"))
     stored = artifacts.agg(F.coalesce(F.sum(F.when(F.col("byte_size") > 0, F.col("byte_size"))), F.lit(0)).alias("bytes"))
     names = {
         "imports.duplicates": "duplicates", "imports.warnings": "warnings",
         "imports.failures": "failures", "imports.duration.ms": "duration_ms",
     }
-    of_files = settled.agg(*file_counters()).select(
+    of_files = files.agg(*file_counters()).select(
         F.explode(
             F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for n, c in names.items()])
         ).alias("m")
@@ -145,9 +145,3 @@ def import_counters(jobs: DataFrame, files: DataFrame, artifacts: DataFrame) ->
         .unionByName(stored.select(F.lit("raw.storage.bytes").alias("name"), F.col("bytes").cast("long").alias("value")))
     )
 
-
-__all__ = [
-    "arriving_file_status", "file_counters", "file_status", "import_counters", "job_rollup", "job_status",
-    "latest_attempts", "mark_duplicates", "needs_parse", "next_attempt_number", "original_files", "sync_linked",
-    "with_duplicate_of",
-]

@@ -14,7 +14,7 @@ MIN_HEAVY_ROWS = 1_000_000
 def estimated_bytes(df: DataFrame) -> int:
     """Size the optimizer derives from file sizes and column widths; no job is run."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def broadcast_limit(df: DataFrame) -> int:

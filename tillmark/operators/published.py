@@ -75,9 +75,9 @@ def published_products(products: DataFrame, visible: DataFrame) -> DataFrame:
 
 def ratio_to_cents(amount: Column, count: Column) -> Column:
     """AG2: amount / count to two decimals, half away from zero, in whole cents; null for no count."""
-    cents = (F.abs(amount) * F.lit(100)).cast("decimal(38,0)")
-    twice = F.lit(2).cast("decimal(1,0)")
-    rounded = F.floor((cents * twice + count) / F.when(count > 0, count * twice))
-    return (F.signum(amount).cast("decimal(1,0)") * rounded.cast("decimal(30,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(
-        "decimal(32,2)"
-    )
+    # Taking the remainder off first makes the division exact, so nothing is rounded twice.
+    doubled = F.abs(amount).cast("decimal(34,2)") * F.lit(200).cast("decimal(3,0)")
+    parts = doubled.cast("decimal(37,0)") + count.cast("decimal(20,0)")
+    unit = F.when(count > 0, count.cast("decimal(20,0)") * F.lit(2).cast("decimal(1,0)"))
+    cents = ((parts - parts % unit) / unit).cast("decimal(30,0)")
+    return (F.signum(amount).cast("decimal(1,0)") * cents * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(32,2)")
