@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from pyspark.sql import functions as F
 BASENAME = r"(?s)^(?:.*(?:(?<![0-9])[/\\]|[/\\](?![0-9])))?(.*)$"
 EXTENSION = r"(?s)^(.+)\.[^.]*$"
 PRODUCT_CODE = r"(?i)AUDITORIA\s+([0-9]+)\b"
-PERIOD_UNDERSCORE = r"(?<![0-9])([0-9]{2})_([0-9]{2})-([0-9]{2})_([0-9]{2})(?![0-9])"
-PERIOD_SLASH = r"(?<![0-9])([0-9]{2})/([0-9]{2})-([0-9]{2})/([0-9]{2})(?![0-9])"
-SINGLE_UNDERSCORE = r"(?<![0-9])([0-9]{2})_([0-9]{2})(?![0-9])"
-SINGLE_SLASH = r"(?<![0-9])([0-9]{2})/([0-9]{2})(?![0-9])"
+PERIOD_UNDERSCORE = r"(?<![0-9])[0-9]{2}_[0-9]{2}-[0-9]{2}_[0-9]{2}(?![0-9])"
+PERIOD_SLASH = r"(?<![0-9])[0-9]{2}/[0-9]{2}-[0-9]{2}/[0-9]{2}(?![0-9])"
+SINGLE_UNDERSCORE = r"(?<![0-9])[0-9]{2}_[0-9]{2}(?![0-9])"
+SINGLE_SLASH = r"(?<![0-9])[0-9]{2}/[0-9]{2}(?![0-9])"
 
 DATE = "struct<day:int,month:int,year:int>"
 HINTS_JSON = (
@@ -23,7 +25,9 @@ HINTS_JSON = (
 
 def basename(name: Column) -> Column:
     """SF16: text after the last separator that is not a date slash between two digits."""
-    return F.regexp_extract(F.coalesce(name, F.lit("")), BASENAME, 1)
+    given = F.coalesce(name, F.lit(""))
+    has_folder = F.contains(given, F.lit("/")) | F.contains(given, F.lit("\\"))
+    return F.when(has_folder, F.regexp_extract(given, BASENAME, 1)).otherwise(given)
 
 
 def stem(base: Column) -> Column:
@@ -36,42 +40,62 @@ def product_code_hint(stem_text: Column) -> Column:
     return F.nullif(F.regexp_extract(stem_text, PRODUCT_CODE, 1), F.lit(""))
 
 
-def _date(text: Column, pattern: str, day_group: int, month_group: int) -> Column:
-    day = F.regexp_extract(text, pattern, day_group).try_cast("int")
-    month = F.regexp_extract(text, pattern, month_group).try_cast("int")
+def _date(text: Column, start: int) -> Column:
+    """Day and month of ``dd?MM`` at a position of a matched text; null when out of range."""
+    day = F.substring(text, start, 2).try_cast("int")
+    month = F.substring(text, start + 3, 2).try_cast("int")
     made = F.struct(day.alias("day"), month.alias("month"), F.lit(None).cast("int").alias("year"))
     return F.when(day.between(1, 31) & month.between(1, 12), made)
 
 
-def _range(text: Column, pattern: str) -> Column:
-    start, end = _date(text, pattern, 1, 2), _date(text, pattern, 3, 4)
+def _first_match(text: Column, underscore: str, slash: str) -> Column:
+    """The slash form is tried only where the underscore form does not occur at all."""
+    return F.coalesce(F.regexp_substr(text, F.lit(underscore)), F.regexp_substr(text, F.lit(slash)))
+
+
+def _range(matched: Column) -> Column:
+    start, end = _date(matched, 1), _date(matched, 7)
     return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
 
 
 def period_hint(stem_text: Column) -> Column:
-    """SF19: the slash form is tried only where the underscore form does not occur at all."""
-    return F.when(stem_text.rlike(PERIOD_UNDERSCORE), _range(stem_text, PERIOD_UNDERSCORE)).otherwise(
-        _range(stem_text, PERIOD_SLASH)
-    )
+    """SF19: first match only; a match out of range is no period."""
+    return _named(_first_match(stem_text, PERIOD_UNDERSCORE, PERIOD_SLASH), _range)
 
 
 def single_date_hint(stem_text: Column) -> Column:
     """SF20: only where there is no period."""
-    single = F.when(stem_text.rlike(SINGLE_UNDERSCORE), _date(stem_text, SINGLE_UNDERSCORE, 1, 2)).otherwise(
-        _date(stem_text, SINGLE_SLASH, 1, 2)
-    )
-    return F.when(period_hint(stem_text).isNull(), single)
+    return filename_hints_of_stem(F.lit(""), stem_text)["singleDateHint"]
 
 
 def filename_hints(name: Column) -> Column:
     """All hints of a file name as one struct, in the shape that is stored."""
-    text = stem(basename(name))
+    return filename_hints_of_stem(F.coalesce(name, F.lit("")), stem(basename(name)))
+
+
+def filename_hints_of_stem(name: Column, stem_text: Column) -> Column:
+    matched = F.struct(
+        name.alias("name"),
+        product_code_hint(stem_text).alias("code"),
+        _first_match(stem_text, PERIOD_UNDERSCORE, PERIOD_SLASH).alias("period"),
+        _first_match(stem_text, SINGLE_UNDERSCORE, SINGLE_SLASH).alias("single"),
+    )
+    return _named(matched, _hints_of_match)
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _hints_of_match(found: Column) -> Column:
+    period = _range(found["period"])
     return F.struct(
-        F.coalesce(name, F.lit("")).alias("originalFilename"),
+        found["name"].alias("originalFilename"),
         F.lit("INFERRED_DATA").alias("provenance"),
-        product_code_hint(text).alias("productCodeHint"),
-        period_hint(text).alias("periodHint"),
-        single_date_hint(text).alias("singleDateHint"),
+        found["code"].alias("productCodeHint"),
+        period.alias("periodHint"),
+        F.when(period.isNull(), _date(found["single"], 1)).alias("singleDateHint"),
     )
 
 

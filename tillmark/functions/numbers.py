@@ -13,16 +13,11 @@ NO_VALUE = "—"
 
 def parse_brazilian_decimal(raw: Column) -> Column:
     """SF1: ``R$ 3.013,07`` to 3013.07; null for blank or unreadable text. A trailing sign counts."""
-    text = F.trim(F.regexp_replace(F.trim(raw), r"(?is)^(.*?)R\$\s*", "$1"))
-    comma, dot = F.contains(text, F.lit(",")), F.contains(text, F.lit("."))
-    text = (
-        F.when(comma & dot, F.translate(text, ",.", "."))
-        .when(comma, F.replace(text, F.lit(","), F.lit(".")))
-        .otherwise(text)
-    )
+    text = F.regexp_replace(raw, r"(?is)^(.*?)R\$\s*", "$1")
+    # With a comma present every dot groups thousands; otherwise a dot is the decimal point.
+    text = F.when(F.contains(text, F.lit(",")), F.translate(text, ",.", ".")).otherwise(text)
     text = F.regexp_replace(text, r"[^0-9+\-.]", "")
-    text = F.regexp_replace(text, r"^([0-9.]+)([+-])$", "$2$1")
-    return text.try_cast(QUANTITY)
+    return F.regexp_replace(text, r"^([0-9.]+)([+-])$", "$2$1").try_cast(QUANTITY)
 
 
 def line_total(quantity: Column, unit_price: Column, discount: Column) -> Column:
