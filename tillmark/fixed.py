@@ -46,6 +46,7 @@ DECLARED_TOTAL_MARKER = "total de vendas:"
 DECLARED_TOTAL_LOOKAHEAD = 5
 PRODUCT_PATTERN = r"(?i)^Produto:\s*([0-9]+)\s*-\s*(.+)$"
 MANUFACTURER_PATTERN = r"(?i)^Fabricante:\s*(.*)$"
+SALE_PREFIX = "venda numero:"
 SALE_PATTERN = r"(?i)^Venda Numero:\s*([0-9]+)$"
 EXPORT_STAMP_PATTERN = r"(?i)^Data/Hora:"
 CURRENT_STOCK_PATTERN = r"(?i)^Estoque Atual:\s*"

@@ -37,12 +37,14 @@ def lookup_join(
     how: str = "inner",
     limit: int | None = None,
     min_heavy: int = MIN_HEAVY_ROWS,
+    even: bool = False,
 ) -> DataFrame:
     """Join many rows to a lookup that has one row per key.
 
     While the lookup's estimated size is within the session's broadcast threshold the facts are not
     shuffled at all. Beyond it both sides are shuffled, and the keys that hold most of the facts are
-    spread over ``SALTS`` partitions, with their single lookup row repeated once per salt.
+    spread over ``SALTS`` partitions, with their single lookup row repeated once per salt. ``even`` says
+    that a key can only hold a bounded number of facts, so there is nothing to spread.
     """
     if how in ("left_semi", "left_anti"):
         lookup = lookup.select(*keys)
@@ -50,6 +52,8 @@ def lookup_join(
         return facts.join(F.broadcast(lookup), keys, how)
     if how in ("left_semi", "left_anti"):
         lookup = lookup.distinct()
+    if even:
+        return facts.join(lookup, keys, how)
     return _salted_join(facts, lookup, keys, how, min_heavy)
 
 

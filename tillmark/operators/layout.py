@@ -1,7 +1,7 @@
 """Text runs to movements.
 
-A report is at most 32 MiB, so it holds a bounded number of runs and every window below runs over one
-report, one page or one line. All of them are satisfied by the single shuffle on ``sha256``.
+A report is at most 32 MiB, so it holds a bounded number of runs and every window below runs over the
+runs or lines of one report. Lines are grouped before they are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from tillmark import fixed
 from tillmark.functions.marks import direction, locator_text, moved_quantity
 from tillmark.functions.numbers import parse_brazilian_decimal
 from tillmark.functions.times import invalid_report_time, parse_report_time
+from tillmark.operators.joins import lookup_join
 from tillmark.schemas import MONEY
 
 CELL_NAMES = ("price", "discount", "total", "date", "time", "exits", "entries", "previous", "resulting")
@@ -81,47 +82,63 @@ def declared_totals(runs: DataFrame) -> DataFrame:
     return marked.groupBy("sha256").agg(F.min_by("declared", _position()).alias("source_quantity_total"))
 
 
-def sale_lines(runs: DataFrame) -> DataFrame:
-    """PF10, WN6, WN7, JN9 and AG14: one row per line that has a sale marker, with its cells.
-
-    Runs go to the nearest header of their page when it is closer than the tolerance; on equal
-    distance the earlier header wins. The last run of a column wins, a second marker is a cell.
-    """
-    page = Window.partitionBy("sha256", "page_index")
-    line = Window.partitionBy("sha256", "page_index", "y")
-    is_marker = F.col("text").rlike(fixed.SALE_PATTERN)
-
-    header_x = [
-        F.max(F.when(F.col("text") == header, F.struct("seq", "x"))).over(page)["x"].alias(f"_h{i}")
+def _page_headers(runs: DataFrame) -> DataFrame:
+    """AG13 as one row per page: x of header i in ``_h<i>``, the last occurrence."""
+    last_x = [
+        F.max(F.when(F.col("text") == header, F.struct("seq", "x")))["x"].alias(f"_h{i}")
         for i, header in enumerate(fixed.COLUMN_HEADERS)
     ]
-    on_lines = (
-        runs.select("*", *header_x)
-        .withColumn("_marker_seq", F.min(F.when(is_marker, F.col("seq"))).over(line))
-        .withColumn("_line_seq", F.min("seq").over(line))
-        .filter(F.col("_marker_seq").isNotNull())
-    )
+    return runs.filter(F.col("text").isin(*fixed.COLUMN_HEADERS)).groupBy("sha256", "page_index").agg(*last_x)
+
+
+def _with_nearest_header(runs: DataFrame) -> DataFrame:
+    """JN9: number of the nearest header of the page, if closer than the tolerance; the earlier one on a tie."""
     distances = [
         F.when(
-            (F.col("seq") != F.col("_marker_seq")) & F.col(f"_h{i}").isNotNull(),
+            F.col(f"_h{i}").isNotNull(),
             F.struct(F.abs(F.col("x").cast("long") - F.col(f"_h{i}")).alias("distance"), F.lit(i).alias("header")),
         )
         for i in range(len(fixed.COLUMN_HEADERS))
     ]
-    placed = on_lines.withColumn("_near", F.least(*distances)).withColumn(
+    placed = lookup_join(runs, _page_headers(runs), ["sha256", "page_index"], "left", even=True)
+    near = placed.select("sha256", "page_index", "seq", "y", "text", F.least(*distances).alias("_near"))
+    return near.withColumn(
         "_header", F.when(F.col("_near.distance") < fixed.COLUMN_TOLERANCE, F.col("_near.header"))
+    ).drop("_near")
+
+
+def sale_lines(runs: DataFrame) -> DataFrame:
+    """PF10, WN6, WN7, JN9 and AG14: one row per line that has a sale marker, with its cells.
+
+    The last run of a column wins. The first marker of a line names the sale; a later one is a cell. A
+    line is put together by one grouping, so runs are reduced to lines before anything is shuffled.
+    """
+    marked = _with_nearest_header(runs).withColumn(
+        "_marker", F.startswith(F.lower("text"), F.lit(fixed.SALE_PREFIX)) & F.col("text").rlike(fixed.SALE_PATTERN)
     )
-    cells = [
-        F.max(F.when(F.col("_header") == i, F.struct("seq", "text")))["text"].alias(name)
-        for i, name in enumerate(CELL_NAMES)
-    ]
-    sale_text = F.max(F.when(F.col("seq") == F.col("_marker_seq"), F.col("text")))
+    run = F.struct("seq", "text")
+    of_column = lambda i, marker: F.max(F.when((F.col("_header") == i) & (F.col("_marker") == marker), run))
+    grouped = (
+        marked.groupBy("sha256", "page_index", "y")
+        .agg(
+            F.min(F.when(F.col("_marker"), run)).alias("_first"),
+            F.min("seq").alias("_line_seq"),
+            *[of_column(i, False).alias(f"_c{i}") for i in range(len(CELL_NAMES))],
+            *[of_column(i, True).alias(f"_m{i}") for i in range(len(CELL_NAMES))],
+        )
+        .filter(F.col("_first").isNotNull())
+    )
+    # Within a column the first marker can only be the last marker when no other marker is there.
+    later_marker = [F.when(F.col(f"_m{i}.seq") != F.col("_first.seq"), F.col(f"_m{i}")) for i in range(len(CELL_NAMES))]
+    cells = [F.greatest(F.col(f"_c{i}"), later_marker[i])["text"].alias(name) for i, name in enumerate(CELL_NAMES)]
     in_order = Window.partitionBy("sha256").orderBy("page_index", "_line_seq")
-    return (
-        placed.groupBy("sha256", "page_index", "y", "_line_seq")
-        .agg(F.regexp_extract(sale_text, fixed.SALE_PATTERN, 1).alias("external_sale_id"), *cells)
-        .withColumn("source_record_index", (F.row_number().over(in_order) - 1).cast("int"))
-        .drop("_line_seq")
+    return grouped.select(
+        "sha256",
+        "page_index",
+        "y",
+        F.regexp_extract(F.col("_first.text"), fixed.SALE_PATTERN, 1).alias("external_sale_id"),
+        *cells,
+        (F.row_number().over(in_order) - 1).cast("int").alias("source_record_index"),
     )
 
 
@@ -159,12 +176,11 @@ def movements_from_lines(lines: DataFrame) -> DataFrame:
 def read_layout(runs: DataFrame) -> Layout:
     """All movements and the per-report fields. A report without product field has no movements."""
     fields = report_fields(runs)
-    by_report = runs.repartition("sha256")
     has_product = F.col("external_product_id").isNotNull()
-    reports = fields.join(declared_totals(by_report), "sha256", "left").withColumn(
+    reports = fields.join(declared_totals(runs), "sha256", "left").withColumn(
         "source_quantity_total", F.when(has_product, F.col("source_quantity_total"))
     )
-    movements = movements_from_lines(sale_lines(by_report)).join(fields.filter(has_product), "sha256")
+    movements = movements_from_lines(sale_lines(runs)).join(fields.filter(has_product), "sha256")
     return Layout(movements, reports)
 
 

@@ -11,6 +11,9 @@ from tillmark.operators.joins import absent_from, lookup_join
 from tillmark.schemas import MONEY, QUANTITY
 from tillmark.session import durable
 
+# The contested rows are written anew whenever only one in this many unsettled reports is left.
+COMPACT_AT = 4
+
 
 def active_movements(movements: DataFrame, publication: DataFrame) -> DataFrame:
     """Movements of active attempts, with the artifact that owns them."""
@@ -68,14 +71,24 @@ def decide_publication(
         folder,
     )
     contested = durable(_contested_sales(state, sales, held), folder)
-    while True:
-        decided = _settle_round(state, contested)
-        state = durable(decided, folder)
-        if state.filter("open").isEmpty():
-            break
+    unsettled = None
+    while unsettled != 0:
+        state = durable(_settle_round(state, contested), folder)
+        still_open = state.filter("open").count()
+        if still_open and (unsettled is None or still_open * COMPACT_AT <= unsettled):
+            contested = durable(_still_asked(contested, state), folder)
+            unsettled = still_open
+        elif not still_open:
+            unsettled = 0
     return reports.join(state.select("raw_artifact_id", "overlap", "published"), "raw_artifact_id")
 
 
+def _still_asked(contested: DataFrame, state: DataFrame) -> DataFrame:
+    """Contested rows of the sale ids that some unsettled report still asks for."""
+    asking = lookup_join(contested.filter("is_out"), state.filter("open").select("turn"), ["turn"], "left_semi")
+    return lookup_join(contested, asking.select("external_sale_id").distinct(), ["external_sale_id"], "left_semi")
+
+
 def _contested_sales(state: DataFrame, sales: DataFrame, held: DataFrame) -> DataFrame:
     """Rows (sale id, turn, is_out, old) of sale ids wanted by a report and held by more than that report."""
     turns = state.select("raw_artifact_id", "turn")

@@ -23,7 +23,7 @@ def _summary(value: str) -> str:
     return f"""with {DAILY}, m as (select count(*) points, max({value}) mx from daily),
 s as (select min({value}) sec2 from (select {value} from daily order by {value} desc limit 2))
 select points, cast(cast(greatest(mx, 0.001) as decimal(38,6)) as varchar) peak, cast((select max(date) from daily where {value} = mx) as varchar) peak_date,
- cast(cast(case when points >= 3 and sec2 > 0 and mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) then cast(sec2 as decimal(28,6)) * cast(1.25 as decimal(3,2)) else greatest(mx, 0.001) end as decimal(38,6)) as varchar) scale_max,
+ cast(cast(case when points >= 3 and sec2 > 0 and mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) then cast(sec2 as decimal(28,6)) * cast(1.25 as decimal(3,2)) else cast(greatest(mx, 0.001) as decimal(28,6)) end as decimal(38,6)) as varchar) scale_max,
  points >= 3 and sec2 > 0 and mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) clipped from m, s"""
 
 
@@ -45,7 +45,7 @@ def ag15_revenue_summary(spark, sf_dir):
 d as (select date, case when date = (select max(date) from daily) then v * 100 else v end v from daily), m as (select count(*) points, max(v) mx from d),
 s as (select min(v) sec2 from (select v from d order by v desc limit 2))
 select points, cast(cast(mx as decimal(38,6)) as varchar) peak, cast((select max(date) from d where v = mx) as varchar) peak_date,
- cast(cast(case when mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) then cast(sec2 as decimal(28,6)) * cast(1.25 as decimal(3,2)) else mx end as decimal(38,6)) as varchar) scale_max,
+ cast(cast(case when mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) then cast(sec2 as decimal(28,6)) * cast(1.25 as decimal(3,2)) else cast(mx as decimal(28,6)) end as decimal(38,6)) as varchar) scale_max,
  mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) clipped from m, s""")
 def ag15_clipped_summary(spark, sf_dir):
     """Daily event values with an outlier on the last day."""

@@ -137,9 +137,9 @@ def pf2_product_filter(spark, sf_dir):
     )
 
 
-@query("pf3_search", f"with {PRODUCT} select id, name from product where name ilike '%A_i%e%' or external_id ilike '%A_i%e%'")
+@query("pf3_search", f"with {PRODUCT} select id, name from product where name ilike '%R_d%i%' or external_id ilike '%R_d%i%'")
 def pf3_search(spark, sf_dir):
-    return search_products(tb.products(spark, sf_dir), "A_i%e").select("id", "name")
+    return search_products(tb.products(spark, sf_dir), "R_d%i").select("id", "name")
 
 
 @query("pf4_blank_query", f"""with {visible()}
