@@ -46,6 +46,8 @@ DECLARED_TOTAL_MARKER = "total de vendas:"
 DECLARED_TOTAL_LOOKAHEAD = 5
 PRODUCT_PATTERN = r"(?i)^Produto:\s*([0-9]+)\s*-\s*(.+)$"
 MANUFACTURER_PATTERN = r"(?i)^Fabricante:\s*(.*)$"
+FIELD_PREFIXES = ("produto:", "fabricante:")
+SNAPSHOT_PREFIXES = ("data/hora:", "estoque atual:")
 SALE_PREFIX = "venda numero:"
 SALE_PATTERN = r"(?i)^Venda Numero:\s*([0-9]+)$"
 EXPORT_STAMP_PATTERN = r"(?i)^Data/Hora:"

@@ -13,11 +13,12 @@ NO_VALUE = "—"
 
 def parse_brazilian_decimal(raw: Column) -> Column:
     """SF1: ``R$ 3.013,07`` to 3013.07; null for blank or unreadable text. A trailing sign counts."""
-    text = F.regexp_replace(raw, r"(?is)^(.*?)R\$\s*", "$1")
+    text = F.when(F.contains(raw, F.lit("$")), F.regexp_replace(raw, r"(?is)^(.*?)R\$\s*", "$1")).otherwise(raw)
     # With a comma present every dot groups thousands; otherwise a dot is the decimal point.
     text = F.when(F.contains(text, F.lit(",")), F.translate(text, ",.", ".")).otherwise(text)
-    text = F.regexp_replace(text, r"[^0-9+\-.]", "")
-    return F.regexp_replace(text, r"^([0-9.]+)([+-])$", "$2$1").try_cast(QUANTITY)
+    # Most texts are clean by now and are read without further replacing.
+    bare = F.regexp_replace(F.regexp_replace(text, r"[^0-9+\-.]", ""), r"^([0-9.]+)([+-])$", "$2$1")
+    return F.when(text.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), text.try_cast(QUANTITY)).otherwise(bare.try_cast(QUANTITY))
 
 
 def line_total(quantity: Column, unit_price: Column, discount: Column) -> Column:

@@ -42,19 +42,24 @@ def header_positions(runs: DataFrame) -> DataFrame:
     )
 
 
-def report_fields(runs: DataFrame) -> DataFrame:
-    """WN8: product and manufacturer from the first run that matches, per report."""
-    first = lambda pattern: F.min_by("text", F.when(F.col("text").rlike(pattern), _position()))
+def _first_texts(runs: DataFrame, patterns: dict[str, str], prefixes: tuple[str, ...]) -> DataFrame:
+    """Per report the first text that matches each pattern. Reports without any of the prefixes are absent."""
+    lower = F.lower("text")
+    likely = F.lit(False)
+    for prefix in prefixes:
+        likely = likely | F.startswith(lower, F.lit(prefix))
     # min_by skips rows whose ordering is null, so only matching runs compete.
-    found = runs.groupBy("sha256").agg(
-        first(fixed.PRODUCT_PATTERN).alias("product_text"),
-        first(fixed.MANUFACTURER_PATTERN).alias("manufacturer_text"),
+    return runs.filter(likely).groupBy("sha256").agg(
+        *[F.min_by("text", F.when(F.col("text").rlike(p), _position())).alias(name) for name, p in patterns.items()]
     )
-    return found.select(
-        "sha256",
-        *_product_columns(F.col("product_text")),
-        _manufacturer(F.col("manufacturer_text")).alias("manufacturer"),
+
+
+def report_fields(runs: DataFrame) -> DataFrame:
+    """WN8: product and manufacturer from the first run that matches, per report."""
+    found = _first_texts(
+        runs, {"product": fixed.PRODUCT_PATTERN, "manufacturer": fixed.MANUFACTURER_PATTERN}, fixed.FIELD_PREFIXES
     )
+    return found.select("sha256", *_product_columns(F.col("product")), _manufacturer(F.col("manufacturer")).alias("manufacturer"))
 
 
 def _product_columns(text: Column) -> list[Column]:
@@ -77,8 +82,16 @@ def _declared_after_marker() -> Column:
 
 
 def declared_totals(runs: DataFrame) -> DataFrame:
-    """WN9: declared quantity per report, from the first marker that is followed by one."""
-    marked = runs.withColumn("declared", _declared_after_marker()).filter(F.col("declared").isNotNull())
+    """WN9: declared quantity per report, from the first marker that is followed by one.
+
+    Only runs from the first marker of a report onwards are put in order.
+    """
+    markers = runs.filter(F.lower("text") == fixed.DECLARED_TOTAL_MARKER)
+    starts = markers.groupBy("sha256").agg(F.min(_position()).alias("_start"))
+    tail = lookup_join(runs.select("sha256", "page_index", "seq", "text"), starts, ["sha256"], even=True).filter(
+        _position() >= F.col("_start")
+    )
+    marked = tail.withColumn("declared", _declared_after_marker()).filter(F.col("declared").isNotNull())
     return marked.groupBy("sha256").agg(F.min_by("declared", _position()).alias("source_quantity_total"))
 
 
@@ -93,17 +106,15 @@ def _page_headers(runs: DataFrame) -> DataFrame:
 
 def _with_nearest_header(runs: DataFrame) -> DataFrame:
     """JN9: number of the nearest header of the page, if closer than the tolerance; the earlier one on a tie."""
-    distances = [
-        F.when(
-            F.col(f"_h{i}").isNotNull(),
-            F.struct(F.abs(F.col("x").cast("long") - F.col(f"_h{i}")).alias("distance"), F.lit(i).alias("header")),
-        )
-        for i in range(len(fixed.COLUMN_HEADERS))
+    # Distance and header number in one whole number: the least of them is the nearest, then earliest, header.
+    slots = 16
+    ranked = [
+        F.abs(F.col("x").cast("long") - F.col(f"_h{i}")) * slots + i for i in range(len(fixed.COLUMN_HEADERS))
     ]
     placed = lookup_join(runs, _page_headers(runs), ["sha256", "page_index"], "left", even=True)
-    near = placed.select("sha256", "page_index", "seq", "y", "text", F.least(*distances).alias("_near"))
+    near = placed.select("sha256", "page_index", "seq", "y", "text", F.least(*ranked).alias("_near"))
     return near.withColumn(
-        "_header", F.when(F.col("_near.distance") < fixed.COLUMN_TOLERANCE, F.col("_near.header"))
+        "_header", F.when(F.col("_near") < fixed.COLUMN_TOLERANCE * slots, (F.col("_near") % slots).cast("int"))
     ).drop("_near")
 
 
@@ -116,21 +127,26 @@ def sale_lines(runs: DataFrame) -> DataFrame:
     marked = _with_nearest_header(runs).withColumn(
         "_marker", F.startswith(F.lower("text"), F.lit(fixed.SALE_PREFIX)) & F.col("text").rlike(fixed.SALE_PATTERN)
     )
+    columns = range(len(CELL_NAMES))
     run = F.struct("seq", "text")
-    of_column = lambda i, marker: F.max(F.when((F.col("_header") == i) & (F.col("_marker") == marker), run))
+    marker = F.struct("seq", "_header", "text")
     grouped = (
         marked.groupBy("sha256", "page_index", "y")
         .agg(
-            F.min(F.when(F.col("_marker"), run)).alias("_first"),
+            F.collect_list(F.when(F.col("_marker"), marker)).alias("_markers"),
             F.min("seq").alias("_line_seq"),
-            *[of_column(i, False).alias(f"_c{i}") for i in range(len(CELL_NAMES))],
-            *[of_column(i, True).alias(f"_m{i}") for i in range(len(CELL_NAMES))],
+            *[F.max(F.when((F.col("_header") == i) & ~F.col("_marker"), run)).alias(f"_c{i}") for i in columns],
         )
-        .filter(F.col("_first").isNotNull())
+        .filter(F.size("_markers") > 0)
+        .withColumn("_first", F.array_min("_markers"))
     )
-    # Within a column the first marker can only be the last marker when no other marker is there.
-    later_marker = [F.when(F.col(f"_m{i}.seq") != F.col("_first.seq"), F.col(f"_m{i}")) for i in range(len(CELL_NAMES))]
-    cells = [F.greatest(F.col(f"_c{i}"), later_marker[i])["text"].alias(name) for i, name in enumerate(CELL_NAMES)]
+
+    def cell(i: int) -> Column:
+        later = F.filter("_markers", lambda m: (m["_header"] == i) & (m["seq"] != F.col("_first.seq")))
+        last = F.array_max(F.transform(later, lambda m: F.struct(m["seq"].alias("seq"), m["text"].alias("text"))))
+        return F.when(F.size("_markers") > 1, F.greatest(F.col(f"_c{i}"), last)).otherwise(F.col(f"_c{i}"))["text"]
+
+    cells = [cell(i).alias(name) for i, name in enumerate(CELL_NAMES)]
     in_order = Window.partitionBy("sha256").orderBy("page_index", "_line_seq")
     return grouped.select(
         "sha256",
@@ -214,9 +230,8 @@ def report_totals(movements: DataFrame, key: str = "sha256") -> DataFrame:
 
 def header_snapshot(runs: DataFrame) -> DataFrame:
     """SF28: export stamp and current stock from the report header, per report."""
-    first = lambda pattern: F.min_by("text", F.when(F.col("text").rlike(pattern), _position()))
-    found = runs.groupBy("sha256").agg(
-        first(fixed.EXPORT_STAMP_PATTERN).alias("stamp"), first(fixed.CURRENT_STOCK_PATTERN).alias("stock")
+    found = _first_texts(
+        runs, {"stamp": fixed.EXPORT_STAMP_PATTERN, "stock": fixed.CURRENT_STOCK_PATTERN}, fixed.SNAPSHOT_PREFIXES
     )
     return found.select("sha256", *export_stamp(F.col("stamp")), current_stock(F.col("stock")).alias("current_stock"))
 
