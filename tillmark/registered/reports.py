@@ -12,6 +12,7 @@ from tillmark.functions.numbers import plain_text
 from tillmark.functions.times import iso_text
 from tillmark.operators import layout
 from tillmark.registered.base import iso, movement_cte, query
+from tillmark.session import durable
 from tillmark.sources.readers import pages_of, read_reports, runs_of
 
 # Reports of the test views: 4000 lines each, 400 per page; cells of lines 6 and 7 lie outside the tolerance.
@@ -67,6 +68,11 @@ runs as (select * from ({_OF_LINES}) where text is not null union all {_TITLES}
  union all select report, 0, 4015, 30, 90000, {_br('q + a % 3', 3)} from {_DECLARED})"""
 
 
+def _runs(spark, sf_dir):
+    """The text runs as a reader leaves them: written once, read by every later step."""
+    return durable(tb.text_runs(spark, sf_dir))
+
+
 def _read_back(spark, sf_dir):
     files = tb.report_files(spark, sf_dir).select(
         F.regexp_extract("path", r"/([^/]*)\.QRP$", 1).alias("sha256"), "content", F.lit("QRP").alias("detected_type"),
@@ -104,7 +110,7 @@ def ud1_reader_counts(spark, sf_dir):
 select report as sha256, cast(row_number() over (partition by report order by page_index, seq) - 1 as int) as place, text from runs""")
 def so2_runs_in_order(spark, sf_dir):
     order = Window.partitionBy("sha256").orderBy("page_index", "seq")
-    return tb.text_runs(spark, sf_dir).select("sha256", (F.row_number().over(order) - 1).alias("place"), "text")
+    return _runs(spark, sf_dir).select("sha256", (F.row_number().over(order) - 1).alias("place"), "text")
 
 
 _MOVEMENT_TEXTS = f"""report as sha256, source_record_index, direction, external_sale_id, {iso('occurred_at')} occurred_at,
@@ -124,7 +130,7 @@ def _movement_texts(rows):
 @query("jn9_nearest_column", f"with {LINES} select {_MOVEMENT_TEXTS} from rows_read")
 def jn9_nearest_column(spark, sf_dir):
     """Cells placed by distance to the headers of their page and read as movements."""
-    rows = layout.movements_from_lines(layout.sale_lines(tb.text_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
     return rows.select(*_movement_texts(rows))
 
 
@@ -132,26 +138,26 @@ def jn9_nearest_column(spark, sf_dir):
  'PRODUTO '||attempt_key product_name, 'CASA' manufacturer,
  'SourceLocator[page='||(page_index+1)||', recordIndex='||source_record_index||', byteOffset=null, detail=y='||(100+line*20)||']' source_locator from rows_read""")
 def layout_movements(spark, sf_dir):
-    """From report bytes to stored movements in one plan."""
-    rows = layout.stored_movements(layout.read_layout(runs_of(_read_back(spark, sf_dir))).movements)
+    """From report bytes to stored movements."""
+    rows = layout.stored_movements(layout.read_layout(runs_of(durable(_read_back(spark, sf_dir)))).movements)
     wide = rows.withColumns({c: F.col(c).cast("decimal(19,6)") for c in ("unit_price", "total")})
     return wide.select(*_movement_texts(wide), "external_product_id", "product_name", "manufacturer", "source_locator")
 
 
 @query("pf10_sale_marker", f"with {LINES} select report as sha256, page_index, cast(100+line*20 as int) y, external_sale_id from ln")
 def pf10_sale_marker(spark, sf_dir):
-    return layout.sale_lines(tb.text_runs(spark, sf_dir)).select("sha256", "page_index", "y", "external_sale_id")
+    return layout.sale_lines(_runs(spark, sf_dir)).select("sha256", "page_index", "y", "external_sale_id")
 
 
 @query("wn6_record_index", f"with {LINES} select report as sha256, page_index, cast(100+line*20 as int) y, cast(idx as int) source_record_index from ln")
 def wn6_record_index(spark, sf_dir):
-    return layout.sale_lines(tb.text_runs(spark, sf_dir)).select("sha256", "page_index", "y", "source_record_index")
+    return layout.sale_lines(_runs(spark, sf_dir)).select("sha256", "page_index", "y", "source_record_index")
 
 
 @query("wn7_second_marker", f"with {LINES} select report as sha256, cast(idx as int) source_record_index, external_sale_id, 'Venda Numero: 1' price from ln")
 def wn7_second_marker(spark, sf_dir):
     """Every line gets a second marker on its price column: the first names the sale, the second is a cell."""
-    runs = tb.text_runs(spark, sf_dir)
+    runs = _runs(spark, sf_dir)
     markers = runs.filter(F.col("text").rlike(fixed.SALE_PATTERN))
     second = markers.withColumns({"seq": F.col("seq") + 9, "x": F.lit(1000), "text": F.lit("Venda Numero: 1")})
     return layout.sale_lines(runs.unionByName(second)).select("sha256", "source_record_index", "external_sale_id", "price")
@@ -160,12 +166,12 @@ def wn7_second_marker(spark, sf_dir):
 @query("wn8_report_fields", f"""with {LINES} select distinct report as sha256, cast(attempt_key as varchar) external_product_id,
  'PRODUTO '||attempt_key product_name, 'CASA' manufacturer from ln""")
 def wn8_report_fields(spark, sf_dir):
-    return layout.report_fields(tb.text_runs(spark, sf_dir))
+    return layout.report_fields(_runs(spark, sf_dir))
 
 
 @query("wn9_declared_total", f"with {LINES} select report as sha256, cast(cast(q + a % 3 as decimal(19,6)) as varchar) source_quantity_total from {_DECLARED}")
 def wn9_declared_total(spark, sf_dir):
-    totals = layout.declared_totals(tb.text_runs(spark, sf_dir))
+    totals = layout.declared_totals(_runs(spark, sf_dir))
     return totals.withColumn("source_quantity_total", plain_text(F.col("source_quantity_total")))
 
 
@@ -176,7 +182,7 @@ _HEADER_ROWS = " union all ".join(
 
 @query("ag13_header_positions", f"with {LINES} {_HEADER_ROWS}")
 def ag13_header_positions(spark, sf_dir):
-    return layout.header_positions(tb.text_runs(spark, sf_dir))
+    return layout.header_positions(_runs(spark, sf_dir))
 
 
 @query("ag14_line_cells", f"""with {LINES} select report as sha256, cast(idx as int) source_record_index,
@@ -184,7 +190,7 @@ def ag13_header_positions(spark, sf_dir):
  case when near then case when line_number = 5 then '31/02/2026' else strftime(occurred_at, '%d/%m/%Y') end end as date,
  case when near and direction <> 'IN' then {_br('quantity', 3)} end exits, case when near and direction <> 'OUT' then {_br('quantity', 3)} end entries from ln""")
 def ag14_line_cells(spark, sf_dir):
-    return layout.sale_lines(tb.text_runs(spark, sf_dir)).select(
+    return layout.sale_lines(_runs(spark, sf_dir)).select(
         "sha256", "source_record_index", "price", "total", "date", "exits", "entries"
     )
 
@@ -197,7 +203,7 @@ _TOTALS = f"""select report as sha256, cast(coalesce(sum(case when direction='OU
 @query("ag6_report_totals", f"""with {LINES}, k as ({_TOTALS}) select sha256, cast(q as varchar) parsed_quantity_total, cast(r as varchar) parsed_revenue_total,
  {iso('f')} first_movement_at, {iso('t')} last_movement_at from k""")
 def ag6_report_totals(spark, sf_dir):
-    rows = layout.movements_from_lines(layout.sale_lines(tb.text_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
     totals = layout.report_totals(rows)
     return totals.select(
         "sha256", plain_text(F.col("parsed_quantity_total").cast("decimal(29,6)")).alias("parsed_quantity_total"),
@@ -208,14 +214,14 @@ def ag6_report_totals(spark, sf_dir):
 
 @query("ag8_report_stats", f"""with {LINES}, k as ({_TOTALS}) select sha256, lines, u unique_sales, cast(i as bigint) entries, cast(o as bigint) exits from k""")
 def ag8_report_stats(spark, sf_dir):
-    rows = layout.movements_from_lines(layout.sale_lines(tb.text_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
     return layout.report_totals(rows).select("sha256", "lines", "unique_sales", "entries", "exits")
 
 
 @query("sf2_invalid_times", f"""with {LINES} select report as sha256, source_record_index, {iso('occurred_at')} occurred_at,
  case when bad_time then '31/02/2026 10:05:00' end invalid_time from rows_read""")
 def sf2_invalid_times(spark, sf_dir):
-    rows = layout.movements_from_lines(layout.sale_lines(tb.text_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
     return rows.select("sha256", "source_record_index", iso_text(F.col("occurred_at")).alias("occurred_at"), "invalid_time")
 
 
@@ -248,5 +254,5 @@ def sf14_locator_text(spark, sf_dir):
 @query("sf28_header_snapshot", f"""with {LINES} select distinct report as sha256, '07/08/2026' export_date, '12:22:13' export_time,
  cast(cast(attempt_key + 0.5 as decimal(19,6)) as varchar) current_stock from ln""")
 def sf28_header_snapshot(spark, sf_dir):
-    rows = layout.header_snapshot(tb.text_runs(spark, sf_dir))
+    rows = layout.header_snapshot(_runs(spark, sf_dir))
     return rows.withColumn("current_stock", plain_text(F.col("current_stock")))

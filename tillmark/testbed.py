@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillmark.fixed import COLUMN_HEADERS, DEFAULT_PROFILE
 from tillmark.operators.joins import lookup_join, rank_in_slices
+from tillmark.session import durable
 
 SOURCE = DEFAULT_PROFILE.source
 ORDERS_PER_SLICE = 65_536
@@ -287,7 +288,7 @@ def _run(seq: Column, x: Column, y: Column, text: Column) -> Column:
 
 def text_runs(spark: SparkSession, sf_dir: str, key: str = "sha256") -> DataFrame:
     """All text runs of all reports, each line as a marker and up to nine cells."""
-    lines = report_lines(spark, sf_dir)
+    lines = durable(report_lines(spark, sf_dir).repartition("report"))
     y = F.lit(100) + F.col("line") * 20
     first = F.lit(FIRST_LINE_SEQ) + F.col("line") * RUNS_PER_LINE
     cells = [
