@@ -22,19 +22,46 @@ def test_salted_join_equals_plain_join(spark, how):
     facts = spark.createDataFrame([(rng.choice([1, 1, 1, 1, 2, 3, None, 9]), i) for i in range(3000)], "k int, v int")
     lookup = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k int, name string")
     want = sorted(map(str, facts.join(lookup, "k", how).collect()))
-    for limit in (None, 0):
-        got = joins.lookup_join(facts, lookup, ["k"], how, limit=limit, min_heavy=500)
-        assert sorted(map(str, got.collect())) == want
-    assert sorted(map(str, joins.lookup_join(facts, lookup, ["k"], how, limit=0, even=True).collect())) == want
+
+    def rows(joined):
+        return sorted(map(str, joined.collect()))
+
+    assert rows(joins.lookup_join(facts, lookup, ["k"], how)) == want
+    assert rows(joins.lookup_join(facts, lookup, ["k"], how, limit=0)) == want
+    assert rows(joins.lookup_join(facts, lookup, ["k"], how, limit=0, even=True)) == want
+    assert rows(joins.salted_join(facts, lookup, ["k"], how, min_heavy=500)) == want
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        assert not joins.splits_skewed_partitions(facts)
+        assert rows(joins.lookup_join(facts, lookup, ["k"], how, limit=0)) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
 def test_hot_key_is_spread(spark):
     facts = spark.range(20_000).select(F.lit(1).alias("k"), "id")
-    joined = joins.lookup_join(facts, spark.createDataFrame([(1, "a")], "k int, n string"), ["k"], limit=0, min_heavy=1000)
+    joined = joins.salted_join(facts, spark.createDataFrame([(1, "a")], "k int, n string"), ["k"], "inner", min_heavy=1000)
     salts = facts.select(F.pmod(F.xxhash64("k", "id"), F.lit(joins.SALTS))).distinct().count()
     assert joined.count() == 20_000 and salts == joins.SALTS
 
 
+def test_adaptive_execution_splits_a_hot_key(spark):
+    changed = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+               "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        facts = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        lookup = spark.range(200_000).select(F.col("id").alias("k"), F.col("id").alias("n"))
+        joined = joins.lookup_join(facts, lookup, ["k"], limit=0)
+        assert len(joined.collect()) == 200_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_rank_in_slices_equals_row_number(spark):
     rng = random.Random(3)
     rows = spark.createDataFrame([(rng.choice("aab"), i, rng.random()) for i in range(500)], "k string, n int, r double")

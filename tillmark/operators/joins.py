@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A join splits at most this many heavy keys; every other key holds less than 1/HEAVY_KEYS of the rows.
+# Salting: how many heavy keys at most, over how many partitions each, and from how many rows on.
 HEAVY_KEYS = 256
 SALTS = 64
 MIN_HEAVY_ROWS = 1_000_000
@@ -30,35 +30,53 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
     return estimated_bytes(df) <= (broadcast_limit(df) if limit is None else limit)
 
 
+def splits_skewed_partitions(df: DataFrame) -> bool:
+    """Whether adaptive execution cuts an oversized join partition into several tasks by itself."""
+    conf = df.sparkSession.conf
+    return all(
+        str(conf.get(name, "true")).lower() == "true"
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    )
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     keys: list[str],
     how: str = "inner",
     limit: int | None = None,
-    min_heavy: int = MIN_HEAVY_ROWS,
     even: bool = False,
 ) -> DataFrame:
     """Join many rows to a lookup that has one row per key.
 
     While the lookup's estimated size is within the session's broadcast threshold the facts are not
-    shuffled at all. Beyond it both sides are shuffled, and the keys that hold most of the facts are
-    spread over ``SALTS`` partitions, with their single lookup row repeated once per salt. ``even`` says
-    that a key can only hold a bounded number of facts, so there is nothing to spread.
+    shuffled at all. Beyond it both sides are shuffled once. A key that holds a large share of the facts
+    is then split by adaptive execution, which cuts the facts of an oversized partition into several tasks
+    and gives each the few lookup rows; it needs no extra pass over the facts. In sessions that have this
+    switched off the heavy keys are found and salted. ``even`` says that a key can only hold a bounded
+    number of facts, so there is nothing to split.
     """
-    if how in ("left_semi", "left_anti"):
+    semi = how in ("left_semi", "left_anti")
+    if semi:
         lookup = lookup.select(*keys)
     if fits_broadcast(lookup, limit):
         return facts.join(F.broadcast(lookup), keys, how)
-    if how in ("left_semi", "left_anti"):
+    if semi:
         lookup = lookup.distinct()
-    if even:
+    if even or splits_skewed_partitions(facts):
         return facts.join(lookup, keys, how)
-    return _salted_join(facts, lookup, keys, how, min_heavy)
+    return salted_join(facts, lookup, keys, how)
 
 
-def _salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, min_heavy: int) -> DataFrame:
-    heavy = (
+def salted_join(
+    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, min_heavy: int = MIN_HEAVY_ROWS
+) -> DataFrame:
+    """The same join with the heaviest keys spread over ``SALTS`` partitions.
+
+    At most ``HEAVY_KEYS`` keys are looked for, so what comes to the driver is bounded; any other key
+    holds less than one part in ``HEAVY_KEYS`` of the rows.
+    """
+    heavy_rows = (
         facts.groupBy(*keys)
         .count()
         .filter(F.col("count") >= min_heavy)
@@ -66,6 +84,7 @@ def _salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str,
         .limit(HEAVY_KEYS)
         .select(*keys, F.lit(True).alias("_heavy"))
     )
+    heavy = facts.sparkSession.createDataFrame(heavy_rows.collect(), heavy_rows.schema)
     # The salt is a pure function of the row, so a recomputed task sends each row to the same place.
     row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("int")
     # Rows without a key match nothing, so they may go anywhere.

@@ -97,15 +97,17 @@ def jobs_with_files(jobs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     Rows stay flat, because a job may hold any number of files.
     """
     wanted = jobs.select(F.col("id").alias("import_job_id"))
-    files = file_summaries(lookup_join(tables["import_file"], wanted, ["import_job_id"], "left_semi"), tables)
+    chosen = lookup_join(tables["import_file"], wanted, ["import_job_id"], "left_semi")
+    files = file_summaries(chosen, tables)
     listed = files.select("import_job_id", F.col("id").alias("file_id"), *[F.col(c).alias(f"file_{c}") for c in FILE_COLUMNS])
     about = jobs.select(
         F.col("id").alias("import_job_id"), F.col("status").alias("job_status"),
         F.col("created_at").alias("job_created_at"), F.col("completed_at").alias("job_completed_at"),
     )
-    return about.join(listed, "import_job_id", "left").orderBy(
-        F.desc("job_created_at"), "import_job_id", "file_created_at", "file_id"
-    )
+    # Files look their job up, so a job with very many files is not gathered in one task.
+    without_files = about.join(chosen.select("import_job_id").distinct(), "import_job_id", "left_anti")
+    rows = lookup_join(listed, about, ["import_job_id"]).unionByName(without_files, allowMissingColumns=True)
+    return rows.orderBy(F.desc("job_created_at"), "import_job_id", "file_created_at", "file_id")
 
 
 def import_jobs(tables: dict[str, DataFrame], page: int | None = None, size: int | None = None) -> Page:
