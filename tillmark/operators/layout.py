@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tillmark import fixed
 from tillmark.functions.marks import direction, locator_text, moved_quantity
 from tillmark.functions.numbers import parse_brazilian_decimal
-from tillmark.functions.times import invalid_report_time, parse_report_time
+from tillmark.functions.times import parse_report_time, report_time_text
 from tillmark.operators.joins import lookup_join
 from tillmark.schemas import MONEY
 
@@ -164,13 +164,17 @@ def movements_from_lines(lines: DataFrame) -> DataFrame:
         name: parse_brazilian_decimal(F.col(name))
         for name in ("price", "discount", "total", "exits", "entries", "previous", "resulting")
     }
-    read = lines.withColumns(amounts)
+    times = {
+        "_said": report_time_text(F.col("date"), F.col("time")),
+        "occurred_at": parse_report_time(F.col("date"), F.col("time")),
+    }
+    read = lines.withColumns({**amounts, **times})
     return read.select(
         "sha256",
         "source_record_index",
         direction(F.col("exits"), F.col("entries")).alias("direction"),
         "external_sale_id",
-        parse_report_time(F.col("date"), F.col("time")).alias("occurred_at"),
+        "occurred_at",
         moved_quantity(F.col("exits"), F.col("entries")).alias("quantity"),
         F.col("price").alias("unit_price"),
         F.col("discount").alias("discount_percentage"),
@@ -183,9 +187,9 @@ def movements_from_lines(lines: DataFrame) -> DataFrame:
             F.lit(None).cast("long").alias("byte_offset"),
             F.concat(F.lit("y="), F.col("y").cast("string")).alias("detail"),
         ).alias("locator"),
-        F.when(
-            invalid_report_time(F.col("date"), F.col("time")), F.concat_ws(" ", "date", "time")
-        ).alias("invalid_time"),
+        F.when(F.col("_said").isNotNull() & F.col("occurred_at").isNull(), F.concat_ws(" ", "date", "time")).alias(
+            "invalid_time"
+        ),
     )
 
 

@@ -9,6 +9,7 @@ from tillmark.functions.marks import error_summary, file_status, is_report, publ
 from tillmark.functions.numbers import plain_text
 from tillmark.functions.times import iso_text
 from tillmark.operators import bookkeeping as books
+from tillmark.operators.joins import lookup_join
 from tillmark.operators.paging import take_page
 from tillmark.plans.imports import (
     attempt_revenue, file_summaries, import_file, import_job, import_jobs, jobs_with_files, product_samples,
@@ -155,6 +156,14 @@ def jn10_orphans(spark, sf_dir):
     return orphan_files(stored, files.filter("lang = 'en'"), cutoff).select("sha256", "length")
 
 
+@query("so3_known_storage_keys", f"with {FILES} select file_id, sha256 in (select sha256 from f where lang = 'en') known from f")
+def so3_known_storage_keys(spark, sf_dir):
+    """Membership of stored files in the registry's keys, every stored file marked."""
+    files = tb.import_files(spark, sf_dir).withColumn("storage_key", storage_key(F.col("sha256")))
+    registry = files.filter("lang = 'en'").select("storage_key").distinct().withColumn("known", F.lit(True))
+    return lookup_join(files, registry, ["storage_key"], "left").select("file_id", F.col("known").isNotNull().alias("known"))
+
+
 @query("jn11_integrity_audit", f"""with {FILES}
 select file_id, case when lang = 'de' then 'MISSING' when lang = 'es' then 'SIZE_MISMATCH'
  when lang = 'fr' and contains(text, ' ') then 'HASH_MISMATCH' else 'OK' end integrity from f""")

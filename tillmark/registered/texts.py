@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillmark import fixed
 from tillmark import testbed as tb
 from tillmark.functions import hints, numbers, times
 from tillmark.registered.base import query
@@ -138,6 +139,31 @@ def _grouped(expression: str, digits: int) -> str:
     return DE.replace("{{", "{").replace("}}", "}").replace("{d}", str(digits)).replace("{x}", expression)
 
 
+@query("sf5_report_patterns", """select p_partkey, case when p_size % 4 <> 3 then cast(p_partkey as varchar) end code, case when p_size % 4 <> 3 then p_name end as name,
+ p_brand manufacturer, case when p_size % 4 <> 2 then cast(p_size as varchar) end sale from part""")
+def sf5_report_patterns(spark, sf_dir):
+    """Product, manufacturer and sale marker texts in changing case and spacing, some of them no field at all."""
+    part = tb.table(spark, sf_dir, "part")
+    kind = F.col("p_size") % 4
+    code = F.col("p_partkey").cast("string")
+    product = (
+        F.when(kind == 0, F.concat(F.lit("Produto: "), code, F.lit(" - "), "p_name"))
+        .when(kind == 1, F.concat(F.lit("PRODUTO:"), code, F.lit("-"), "p_name", F.lit("  ")))
+        .when(kind == 2, F.concat(F.lit("produto:  "), code, F.lit("  -  "), "p_name"))
+        .otherwise(F.concat(F.lit("Produto: "), "p_name"))
+    )
+    sale = F.concat(F.when(kind == 1, F.lit("VENDA numero:")).otherwise(F.lit("Venda Numero: ")), F.col("p_size").cast("string"), F.when(kind == 2, F.lit("a")).otherwise(F.lit("")))
+    rows = part.withColumns({"product": product, "maker": F.concat(F.lit("fabricante: "), "p_brand", F.lit(" ")), "marker": sale})
+    none = lambda text: F.nullif(text, F.lit(""))
+    return rows.select(
+        "p_partkey",
+        none(F.regexp_extract("product", fixed.PRODUCT_PATTERN, 1)).alias("code"),
+        none(F.trim(F.regexp_extract("product", fixed.PRODUCT_PATTERN, 2))).alias("name"),
+        none(F.trim(F.regexp_extract("maker", fixed.MANUFACTURER_PATTERN, 1))).alias("manufacturer"),
+        none(F.regexp_extract("marker", fixed.SALE_PATTERN, 1)).alias("sale"),
+    )
+
+
 @query("sf24_money_text", f"""select l_orderkey, l_linenumber, l_partkey, case l_linenumber when 6 then '—' when 7 then '—' when 5 then 'R$ -'||{_grouped(CENTS, 2)} else 'R$ '||{_grouped(CENTS, 2)} end shown from lineitem""")
 def sf24_money_text(spark, sf_dir):
     n, text = F.col("l_linenumber"), F.col("amount").cast("string")
