@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe
+from tillmark.llm import byte_bpe, token_counts
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -20,6 +24,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNNERS: dict[str, Runner] = {
+    "op3_token_counts": op3_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
