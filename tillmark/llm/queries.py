@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe, token_counts
+from tillmark.llm import byte_bpe, quality, token_counts
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -25,6 +29,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNNERS: dict[str, Runner] = {
     "op3_token_counts": op3_token_counts,
+    "op5_quality": op5_quality,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
