@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe, line_chunks, quality, token_counts
+from tillmark.llm import byte_bpe, line_chunks, ngram_join, quality, token_counts
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ RUNNERS: dict[str, Runner] = {
     "op3_token_counts": op3_token_counts,
     "op5_quality": op5_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_ngram_join": op9_ngram_join,
     "op10_line_chunks": op10_line_chunks,
 }
 
