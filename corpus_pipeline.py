@@ -7,21 +7,47 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe
+from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, quality
+from tillmark.llm.queries import MIX_POWER, MIX_SEED
 from tillmark.session import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chunks of lines that occurred before go; every document stays."""
+    return line_chunks.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked documents stays: the one with the smallest doc_id."""
+    return ngram_join.one_of_each(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated (or left out) so that sources meet their target shares, in a global shuffle."""
+    return mixing.mix(docs, mixing.tempered(docs, MIX_POWER), MIX_SEED)
+
+
+def byte_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy as token ids, checked by what they decode to."""
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("byte_bpe", encode),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("byte_encoding", byte_encoding),
 ]
 
-#: Stages of trained tokens, clustering and robust statistics are beyond SQL; tests/llm holds them against brute force.
+#: Robust statistics, rolling hashes and byte-pair merges are beyond SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe, line_chunks, ngram_join, quality, token_counts
+from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, quality, token_counts
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,15 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target weights grow with the square root of a source's documents; the seed of the draw.
+MIX_POWER, MIX_SEED = 0.5, 17
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.plan(docs, mixing.tempered(docs, MIX_POWER), MIX_SEED)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -39,8 +48,31 @@ RUNNERS: dict[str, Runner] = {
     "op3_token_counts": op3_token_counts,
     "op5_quality": op5_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_chunks": op10_line_chunks,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _unit(parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', {parts})), 1, 13))::bigint / 4503599627370496.0)"
+
+
+MIX_SQL = f"""
+with recursive own as (select source, count(*) n_docs, pow(count(*), {MIX_POWER}) weight from documents group by source),
+r as (select source, weight / (select sum(weight) from own) * (select sum(n_docs) from own) / n_docs rate from own),
+p as (select source, rate, cast(ceil(rate / {mixing.PIECE}) as int) pieces from r),
+terms(source, mean, k, p, c) as (
+ select source, rate / pieces, 0, exp(-rate / pieces), exp(-rate / pieces) from p
+ union all
+ select source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) from terms where k < {mixing.TERMS}),
+draws as (select doc_id, p.source, rate, {_unit(f"{MIX_SEED}, doc_id, i")} u
+ from documents d join p on d.source is not distinct from p.source, unnest(range(pieces)) s(i)),
+counts as (select doc_id, d.source, rate, cast(count(*) filter (c <= u) as int) n_copies
+ from draws d join terms t on d.source is not distinct from t.source group by all)
+select doc_id, source, round(rate, 9) rate, n_copies, cast(copy as int) as "copy", {_unit(f"{MIX_SEED}, 'place', doc_id, copy")} place
+from counts, unnest(range(n_copies)) s(copy)
+"""
+
+ORACLES: dict[str, str] = {"op8_mixing": MIX_SQL}
