@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, quality, token_counts
+from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, quality, token_counts, toxicity
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, fitted, threshold=0.3)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNNERS: dict[str, Runner] = {
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
