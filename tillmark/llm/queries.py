@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, quality, token_counts, toxicity
+from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, private_data, quality, token_counts, toxicity
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.report(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -54,6 +58,7 @@ RUNNERS: dict[str, Runner] = {
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_private_data": op6_private_data,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
