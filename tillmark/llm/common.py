@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,6 +59,18 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
+def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``durable``, and a hint to Spark's cleaner: what was shuffled for this table is not needed any more.
+
+    The cleaner deletes shuffle files once the driver's garbage collector has met their owners, which a driver with little
+    to do can put off for half an hour; an operator of many steps would pile them up until then.
+    """
+    out = durable(df, folder)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """``(id, component_id)`` for every id in ``links``: the smallest id that links reach.
 

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, private_data, quality, token_counts, toxicity
+from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, private_data, quality, substrings, token_counts, toxicity
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -55,6 +59,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNNERS: dict[str, Runner] = {
+    "op2_substrings": op2_substrings,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
