@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, private_data, quality, substrings, token_counts, toxicity
+from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, private_data, quality, substrings, token_counts, toxicity, vectors
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNNERS: dict[str, Runner] = {
+    "op1_vectors": op1_vectors,
     "op2_substrings": op2_substrings,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
