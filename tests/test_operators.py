@@ -1,4 +1,4 @@
-"""Operators against small fixtures and brute force, and both ways of every size-checked join."""
+"""Operators against small fixtures and brute force, and the joins."""
 
 import datetime as dt
 import random
@@ -17,7 +17,7 @@ HOW = ["inner", "left", "left_semi", "left_anti"]
 
 
 @pytest.mark.parametrize("how", HOW)
-def test_salted_join_equals_plain_join(spark, how):
+def test_lookup_join_equals_plain_join(spark, how):
     rng = random.Random(7)
     facts = spark.createDataFrame([(rng.choice([1, 1, 1, 1, 2, 3, None, 9]), i) for i in range(3000)], "k int, v int")
     lookup = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k int, name string")
@@ -27,22 +27,6 @@ def test_salted_join_equals_plain_join(spark, how):
         return sorted(map(str, joined.collect()))
 
     assert rows(joins.lookup_join(facts, lookup, ["k"], how)) == want
-    assert rows(joins.lookup_join(facts, lookup, ["k"], how, limit=0)) == want
-    assert rows(joins.lookup_join(facts, lookup, ["k"], how, limit=0, even=True)) == want
-    assert rows(joins.salted_join(facts, lookup, ["k"], how, min_heavy=500)) == want
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
-    try:
-        assert not joins.splits_skewed_partitions(facts)
-        assert rows(joins.lookup_join(facts, lookup, ["k"], how, limit=0)) == want
-    finally:
-        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-
-
-def test_hot_key_is_spread(spark):
-    facts = spark.range(20_000).select(F.lit(1).alias("k"), "id")
-    joined = joins.salted_join(facts, spark.createDataFrame([(1, "a")], "k int, n string"), ["k"], "inner", min_heavy=1000)
-    salts = facts.select(F.pmod(F.xxhash64("k", "id"), F.lit(joins.SALTS))).distinct().count()
-    assert joined.count() == 20_000 and salts == joins.SALTS
 
 
 def test_adaptive_execution_splits_a_hot_key(spark):
@@ -54,7 +38,7 @@ def test_adaptive_execution_splits_a_hot_key(spark):
     try:
         facts = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
         lookup = spark.range(200_000).select(F.col("id").alias("k"), F.col("id").alias("n"))
-        joined = joins.lookup_join(facts, lookup, ["k"], limit=0)
+        joined = joins.lookup_join(facts, lookup, ["k"])
         assert len(joined.collect()) == 200_000
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -72,17 +56,6 @@ def test_rank_in_slices_equals_row_number(spark):
     assert {(r.k, r.n): r["rank"] for r in got} == want
 
 
-def test_broadcast_limit_reads_the_session(spark):
-    frame = spark.range(1)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        for text, want in (("10MB", 10 << 20), ("-1", -1), ("2048", 2048), ("1kb", 1024)):
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
-            assert joins.broadcast_limit(frame) == want
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
 def brute_force_turns(reports, sales, held):
     """One report after another: active sale ids per artifact, replaced only on publication."""
     active = {}

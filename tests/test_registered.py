@@ -8,9 +8,7 @@ from tests.compare import connect, difference
 from tillmark.registered import oracles, runners
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
-# Whole ingestion runs; they are part of the suite through tests/test_ingestion.py and run here on request.
-SLOW = {"st1_stream_ingestion", "sc3_batch_counters", "vr10_reprocess", "st3_retry_is_idempotent"}
-NAMES = [n for n in runners() if n not in SLOW or os.environ.get("ALL_QUERIES")]
+NAMES = list(runners())
 
 
 @pytest.fixture(scope="module")

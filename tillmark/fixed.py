@@ -22,9 +22,6 @@ END_RECORD_TYPE = 14
 # --- fixed values: limits -----------------------------------------------------
 MAX_FILES_PER_BATCH = 20
 MAX_FILE_BYTES = 33_554_432
-MAX_PAGES = 512
-MAX_RECORDS_PER_PAGE = 100_000
-MAX_TEXT_CHARS = 10_000
 ERROR_SUMMARY_CHARS = 500
 REPORT_EXTENSION = ".qrp"
 REPORT_TYPE = "QRP"

@@ -24,14 +24,14 @@ def parse_brazilian_decimal(raw: Column) -> Column:
 def line_total(quantity: Column, unit_price: Column, discount: Column) -> Column:
     """SF6: quantity x price x (1 - discount), rounded half away from zero to cents.
 
-    Narrow operands keep every digit of the product; values beyond them take the wide operands.
+    The product of these widths fits 38 digits exactly, so nothing is rounded before the end. Quantities or prices of ten
+    million and more have no total; VR2 says so in an issue of its own.
     """
     factor = F.lit(1).cast("decimal(1,0)") - F.round(
         F.coalesce(discount, F.lit(0).cast(QUANTITY)) * F.lit("0.01").cast("decimal(3,2)"), 8
     ).cast("decimal(14,8)")
-    narrow = quantity.try_cast("decimal(13,6)") * unit_price.try_cast("decimal(11,2)") * factor.try_cast("decimal(10,8)")
-    wide = quantity * unit_price * factor
-    return F.coalesce(F.round(narrow, 2).cast("decimal(24,2)"), F.round(wide, 2).try_cast("decimal(24,2)"))
+    product = quantity.try_cast("decimal(13,6)") * unit_price.try_cast("decimal(13,6)") * factor.try_cast("decimal(10,8)")
+    return F.round(product, 2).cast("decimal(24,2)")
 
 
 def plain_text(value: Column) -> Column:

@@ -5,112 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Salting: how many heavy keys at most, over how many partitions each, and from how many rows on.
-HEAVY_KEYS = 256
-SALTS = 64
-MIN_HEAVY_ROWS = 1_000_000
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size the optimizer derives from file sizes and column widths; no job is run."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def broadcast_limit(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    text = str(raw).strip().lower()
-    for suffix, factor in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("b", 1)):
-        if text.endswith(suffix):
-            return int(float(text[: -len(suffix)]) * factor)
-    return int(text)
-
-
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    return estimated_bytes(df) <= (broadcast_limit(df) if limit is None else limit)
-
-
-def splits_skewed_partitions(df: DataFrame) -> bool:
-    """Whether adaptive execution cuts an oversized join partition into several tasks by itself."""
-    conf = df.sparkSession.conf
-    return all(
-        str(conf.get(name, "true")).lower() == "true"
-        for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    )
-
-
-def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str = "inner",
-    limit: int | None = None,
-    even: bool = False,
-) -> DataFrame:
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join many rows to a lookup that has one row per key.
 
-    While the lookup's estimated size is within the session's broadcast threshold the facts are not
-    shuffled at all. Beyond it both sides are shuffled once. A key that holds a large share of the facts
-    is then split by adaptive execution, which cuts the facts of an oversized partition into several tasks
-    and gives each the few lookup rows; it needs no extra pass over the facts. In sessions that have this
-    switched off the heavy keys are found and salted. ``even`` says that a key can only hold a bounded
-    number of facts, so there is nothing to split.
+    Nothing is broadcast by hint: adaptive execution knows the real size of the lookup once it is there, and otherwise cuts
+    the facts of a key that holds a large share of them into several tasks.
     """
-    semi = how in ("left_semi", "left_anti")
-    if semi:
-        lookup = lookup.select(*keys)
-    if fits_broadcast(lookup, limit):
-        return facts.join(F.broadcast(lookup), keys, how)
-    if semi:
-        lookup = lookup.distinct()
-    if even or splits_skewed_partitions(facts):
-        return facts.join(lookup, keys, how)
-    return salted_join(facts, lookup, keys, how)
-
-
-def salted_join(
-    facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, min_heavy: int = MIN_HEAVY_ROWS
-) -> DataFrame:
-    """The same join with the heaviest keys spread over ``SALTS`` partitions.
-
-    At most ``HEAVY_KEYS`` keys are looked for, so what comes to the driver is bounded; any other key
-    holds less than one part in ``HEAVY_KEYS`` of the rows.
-    """
-    heavy_rows = (
-        facts.groupBy(*keys)
-        .count()
-        .filter(F.col("count") >= min_heavy)
-        .orderBy(F.desc("count"), *keys)
-        .limit(HEAVY_KEYS)
-        .select(*keys, F.lit(True).alias("_heavy"))
-    )
-    heavy = facts.sparkSession.createDataFrame(heavy_rows.collect(), heavy_rows.schema)
-    # The salt is a pure function of the row, so a recomputed task sends each row to the same place.
-    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(SALTS)).cast("int")
-    # Rows without a key match nothing, so they may go anywhere.
-    spread = F.col("_heavy")
-    for key in keys:
-        spread = spread | F.col(key).isNull()
-    salted_facts = facts.join(F.broadcast(heavy), keys, "left").select(
-        *facts.columns, F.when(spread, row_salt).otherwise(F.lit(0)).alias("_salt")
-    )
-    salts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_lookup = lookup.join(F.broadcast(heavy), keys, "left").select(
-        *lookup.columns, F.explode(salts).alias("_salt")
-    )
-    return salted_facts.join(salted_lookup.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    if how in ("left_semi", "left_anti"):
+        lookup = lookup.select(*keys).distinct()
+    return facts.join(lookup, keys, how)
 
 
 def absent_from(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` whose key is not in ``existing``.
-
-    A small batch is compared by scanning the existing keys in place; they are shuffled only when the
-    batch itself is large.
-    """
-    if fits_broadcast(incoming):
-        hits = existing.select(*keys).join(F.broadcast(incoming.select(*keys)), keys, "left_semi").distinct()
-        return incoming.join(hits, keys, "left_anti")
-    return incoming.join(existing.select(*keys), keys, "left_anti")
+    """Rows of ``incoming`` whose key is not in ``existing``."""
+    hits = existing.select(*keys).join(incoming.select(*keys).distinct(), keys, "left_semi").distinct()
+    return incoming.join(hits, keys, "left_anti")
 
 
 def rank_in_slices(df: DataFrame, keys: list[str], slice_of: Column, order: list[Column], out: str) -> DataFrame:

@@ -88,7 +88,7 @@ def declared_totals(runs: DataFrame) -> DataFrame:
     """
     markers = runs.filter(F.lower("text") == fixed.DECLARED_TOTAL_MARKER)
     starts = markers.groupBy("sha256").agg(F.min(_position()).alias("_start"))
-    tail = lookup_join(runs.select("sha256", "page_index", "seq", "text"), starts, ["sha256"], even=True).filter(
+    tail = lookup_join(runs.select("sha256", "page_index", "seq", "text"), starts, ["sha256"]).filter(
         _position() >= F.col("_start")
     )
     marked = tail.withColumn("declared", _declared_after_marker()).filter(F.col("declared").isNotNull())
@@ -111,7 +111,7 @@ def _with_nearest_header(runs: DataFrame) -> DataFrame:
     ranked = [
         F.abs(F.col("x").cast("long") - F.col(f"_h{i}")) * slots + i for i in range(len(fixed.COLUMN_HEADERS))
     ]
-    placed = lookup_join(runs, _page_headers(runs), ["sha256", "page_index"], "left", even=True)
+    placed = lookup_join(runs, _page_headers(runs), ["sha256", "page_index"], "left")
     near = placed.select("sha256", "page_index", "seq", "y", "text", F.least(*ranked).alias("_near"))
     return near.withColumn(
         "_header", F.when(F.col("_near") < fixed.COLUMN_TOLERANCE * slots, (F.col("_near") % slots).cast("int"))

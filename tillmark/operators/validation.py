@@ -89,10 +89,15 @@ def line_total_check(profile: ReportProfile = DEFAULT_PROFILE) -> Column:
         quantity.isNotNull() & price.isNotNull() & total.isNotNull(),
         _issue(
             PHASE_ROW, 0,
-            F.when(fits, "LINE_TOTAL_MATCH").otherwise("LINE_TOTAL_MISMATCH"),
+            F.when(calculated.isNull(), "LINE_TOTAL_OUT_OF_RANGE")
+            .when(fits, "LINE_TOTAL_MATCH")
+            .otherwise("LINE_TOTAL_MISMATCH"),
             F.when(fits, "Info").otherwise("Warning"),
             "Validation",
-            _comparison_message(total, calculated, difference, fixed.MONEY_TOLERANCE, profile.rule_version),
+            F.coalesce(
+                _comparison_message(total, calculated, difference, fixed.MONEY_TOLERANCE, profile.rule_version),
+                F.concat(F.lit("quantity="), plain_text(quantity), F.lit(" unitPrice="), plain_text(price)),
+            ),
             locator=F.col("locator"),
             numbers=(total, calculated, difference, F.lit(fixed.MONEY_TOLERANCE)),
             rule=profile.rule_version,

@@ -19,10 +19,14 @@ DAILY = f"""{visible()}, timed as (select v.*, s.occurred_at o from vis v join s
 daily as (select cast(o as date) as date, cast(sum(total) as decimal(38,2)) revenue, cast(sum(quantity) as decimal(38,6)) quantity from timed group by 1)"""
 
 
+# Mean to six decimals, half away from zero, in whole micro-units.
+MEAN = "cast(cast((2 * cast(total * 1000000 as hugeint) + points) // (2 * points) as decimal(30,0)) * cast(0.000001 as decimal(7,6)) as varchar)"
+
+
 def _summary(value: str) -> str:
-    return f"""with {DAILY}, m as (select count(*) points, max({value}) mx from daily),
+    return f"""with {DAILY}, m as (select count(*) points, max({value}) mx, cast(sum({value}) as decimal(38,6)) total from daily),
 s as (select min({value}) sec2 from (select {value} from daily order by {value} desc limit 2))
-select points, cast(cast(greatest(mx, 0.001) as decimal(38,6)) as varchar) peak, cast((select max(date) from daily where {value} = mx) as varchar) peak_date,
+select points, {MEAN} mean, cast(cast(greatest(mx, 0.001) as decimal(38,6)) as varchar) peak, cast((select max(date) from daily where {value} = mx) as varchar) peak_date,
  cast(cast(case when points >= 3 and sec2 > 0 and mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) then cast(sec2 as decimal(28,6)) * cast(1.25 as decimal(3,2)) else cast(greatest(mx, 0.001) as decimal(28,6)) end as decimal(38,6)) as varchar) scale_max,
  points >= 3 and sec2 > 0 and mx > cast(sec2 as decimal(28,6)) * cast(2.2 as decimal(2,1)) clipped from m, s"""
 
@@ -31,8 +35,8 @@ def _summary_rows(spark, sf_dir, value):
     daily = dashboard(tb.read_tables(spark, sf_dir)).daily
     rows = series_summary(daily, value)
     return rows.select(
-        "points", plain_text(F.col("peak")).alias("peak"), F.col("peak_date").cast("string").alias("peak_date"),
-        plain_text(F.col("scale_max")).alias("scale_max"), "clipped",
+        "points", plain_text(F.col("mean")).alias("mean"), plain_text(F.col("peak")).alias("peak"),
+        F.col("peak_date").cast("string").alias("peak_date"), plain_text(F.col("scale_max")).alias("scale_max"), "clipped",
     )
 
 

@@ -95,14 +95,21 @@ _STORED = """select parse_attempt_id, source_record_index, direction, external_p
  cast(quantity as varchar) quantity, cast(unit_price as varchar) unit_price, cast(total as varchar) total from mv"""
 
 
+def finish(store, batch_seq):
+    """The last write of a batch, without any publication."""
+    store.write("artifact_publication", store.spark.createDataFrame([], TABLES["artifact_publication"]), batch_seq)
+
+
 @query("sk1_table_sink", f"with {movement_cte(True)} {_STORED}")
 def sk1_table_sink(spark, sf_dir):
-    """Movements written twice as the same batch, read back with the table schema: every row once."""
+    """A batch written again with other rows, and a batch that was never finished: the last rows of the done one are read."""
     store = ReportStore(spark, new_workspace(spark, "sk1"))
     rows = tb.movements(spark, sf_dir, indexed=True)
     shaped = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in TABLES["parsed_movement"] if f.name not in rows.columns})
-    store.write("parsed_movement", shaped.limit(0), 0)
+    store.write("parsed_movement", shaped.withColumn("direction", F.lit("first write")), 0)
     store.write("parsed_movement", shaped, 0)
+    finish(store, 0)
+    store.write("parsed_movement", shaped.withColumn("direction", F.lit("unfinished")), 1)
     back = store.read("parsed_movement")
     return back.select(
         "parse_attempt_id", "source_record_index", "direction", "external_product_id", "external_sale_id",
@@ -139,7 +146,9 @@ def sk2_raw_store(spark, sf_dir):
     store = ReportStore(spark, new_workspace(spark, "sk2"))
     files = with_fingerprint(_documents(spark, sf_dir).select("file_id", "lang", "content"))
     store.write("raw_content", put_if_absent(files.filter("lang = 'en'"), store.read("raw_content", 0)), 0)
+    finish(store, 0)
     store.write("raw_content", put_if_absent(files, store.read("raw_content", 1)), 1)
+    finish(store, 1)
     return store.read("raw_content").select("sha256", "storage_key", F.octet_length("content").cast("long").alias("byte_size"))
 
 
@@ -404,9 +413,18 @@ def pf8_qy7_import_file(spark, sf_dir):
     )
 
 
-@query("pf8_wrong_parent", "select cast(doc_id as varchar) id from documents where doc_id < 0")
+@query("pf8_wrong_parent", f"""with {FILES}, own as (select import_job_id job from f where file_id = 5),
+other as (select min(import_job_id) job from f where import_job_id <> (select job from own))
+select job, cast(1 as bigint) found from own union all select job, 0 from other""")
 def pf8_wrong_parent(spark, sf_dir):
-    return import_file(tb.history_tables(spark, sf_dir), "no such job", "f-5").file.select("id")
+    """One file asked for under its own job and under another one: only its own job has it."""
+    t = tb.history_tables(spark, sf_dir)
+    own = t["import_file"].filter("id = 'f-5'").select("import_job_id").first()[0]
+    other = t["import_file"].filter(F.col("import_job_id") != own).agg(F.min("import_job_id")).first()[0]
+    found = [
+        import_file(t, job, "f-5").file.agg(F.count("*").alias("found")).select(F.lit(job).alias("job"), "found") for job in (own, other)
+    ]
+    return found[0].unionByName(found[1])
 
 
 @query("tk7_qy7_validations", f"""with {HISTORY}, v as (select parse_attempt_id, code, status, source_value, calculated_value, difference, tolerance, source_locator from qty
