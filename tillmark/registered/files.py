@@ -38,11 +38,13 @@ def _documents(spark, sf_dir):
     return files.withColumn("length", F.col("byte_size")).join(text, "file_id")
 
 
-@query("sc1_report_scan")
+@query("sc1_report_scan", "select source, cast(sum(coalesce(strlen(text), 0) + 1) as bigint) bytes from documents group by 1")
 def sc1_report_scan(spark, sf_dir):
-    """The folder of the given tables as files; lengths and names only, no bytes are read."""
-    files = scan_reports(spark, sf_dir, "*.parquet")
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length")
+    """The documents as text files, a folder for each source, scanned again; names and lengths only, no bytes are read."""
+    folder = new_workspace(spark, "sc1")
+    tb.table(spark, sf_dir, "documents").select("text", "source").write.partitionBy("source").text(folder)
+    files = scan_reports(spark, folder, "*.txt")
+    return files.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum("length").alias("bytes"))
 
 
 @query("sc2_admission", f"""with {FILES}

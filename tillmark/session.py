@@ -77,6 +77,17 @@ def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [entry.getPath().toString() for entry in found or []]
 
 
+def count_files(spark: SparkSession, folder: str, at_most: int) -> int:
+    """Files below a folder, empty ones too; counting stops at ``at_most``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True)
+    count = 0
+    while count < at_most and entries.hasNext():
+        entries.next()
+        count += 1
+    return count
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
