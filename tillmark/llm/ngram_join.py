@@ -2,8 +2,9 @@
 
 Every n-gram has a place in one global order: rare ones first (by the count of its bucket in a sketch of the whole
 corpus), then by hash. Sets that are alike enough share an n-gram among the first ``n - ceil(T n) + 1`` of either, so those
-prefixes give the candidates. The order is cut into fragments of equal mass; the overlap of a candidate pair is counted in
-each fragment apart and the parts are summed per pair.
+prefixes give the candidates. A profile (n-grams per bucket of their hashes) bounds what two sets can have in common, and
+pairs that cannot reach the similarity go. The order is cut into fragments of equal mass; the overlap of a candidate pair is
+counted in each fragment apart and the parts are summed per pair.
 
 Only classes are asked for, so pairs inside a group need not all be tried. Documents with equal sets are one node. Among
 the nodes that share a prefix n-gram one is tried against all others; what is linked by then needs no further trial. After
@@ -26,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import components, texts_of, whole_text
-from tillmark.session import durable
+from tillmark.llm.common import components, cut, texts_of, whole_text
 
 #: Words of an n-gram and the least similarity in percent.
 WORDS, PERCENT = 5, 75
 #: Buckets of the sketch that the order rests on (one byte each when broadcast), and buckets sent as one row.
 BUCKETS, BLOCK = 1 << 20, 1 << 12
+#: Buckets of a set's profile, one byte each.
+PROFILE = 256
 #: Fragments of the order, rows of a prefix partition, rounds of one node against the others.
-FRAGMENTS, PART_ROWS, ROUNDS = 8, 400_000, 3
+FRAGMENTS, PART_ROWS, ROUNDS = 8, 400_000, 2
 
 _WORDS: dict[bytes, int] = {}
 
@@ -72,9 +74,23 @@ def _node(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _profile(grams: np.ndarray) -> bytes:
+    """N-grams per bucket; 255 stands for 255 and more."""
+    return np.minimum(np.bincount((grams >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(left: pa.Array, right: pa.Array, n_left: pa.Array, n_right: pa.Array) -> pa.Array:
+    """Whether the profiles allow for enough common elements; a full bucket allows for any number."""
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), dtype=np.uint8).reshape(-1, PROFILE) for x in (left, right))
+    both = np.minimum(a, b).astype(np.int64)
+    bound = both.sum(axis=1) + np.where((both == 255).any(axis=1), 1 << 60, 0)
+    total = n_left.to_numpy() + n_right.to_numpy()
+    return pa.array((100 + PERCENT) * bound.astype(np.float64) >= PERCENT * total)
+
+
 def _surveyed(docs: DataFrame) -> DataFrame:
-    """Per document the size ``n`` and ``node`` of its set; besides, per task the sketch counts in rows with a ``block``."""
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())]
+    """Per document the size ``n``, ``node`` and ``profile`` of its set; besides, per task the sketch counts in rows with a ``block``."""
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("profile", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())]
     schema = pa.schema(fields)
 
     def rows(count: int, **columns: object) -> pa.RecordBatch:
@@ -86,13 +102,13 @@ def _surveyed(docs: DataFrame) -> DataFrame:
             sets = [shingles(text) for text in texts_of(batch)]
             every = (np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64) if sets else np.empty(0, dtype=np.int64)
             counts += np.bincount(every, minlength=BUCKETS).astype(np.uint32)
-            yield rows(len(sets), doc_id=batch.column("doc_id"), n=[len(s) for s in sets], node=[_node(s) for s in sets])
+            yield rows(len(sets), doc_id=batch.column("doc_id"), n=[len(s) for s in sets], node=[_node(s) for s in sets], profile=[_profile(s) for s in sets])
         if counts.any():
             blocks = [b.tobytes() for b in counts.reshape(-1, BLOCK)]
             yield rows(len(blocks), block=range(len(blocks)), counts=blocks)
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n bigint, node bigint, block int, counts binary")
+    return texts.mapInArrow(run, "doc_id bigint, n bigint, node bigint, profile binary, block int, counts binary")
 
 
 def _sketch(blocks: DataFrame) -> np.ndarray:
@@ -127,9 +143,9 @@ def _prefixes(docs: DataFrame, ranks: object, parts: int) -> DataFrame:
             grams, nodes, sizes, part = grams[order], nodes[order], sizes[order], part[order]
             present, first = np.unique(part, return_index=True)
             ends = [*first[1:], len(part)]
-            cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())
+            sliced = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(present.astype(np.int32)), cut(grams), cut(nodes), cut(sizes)], names=["part", "grams", "nodes", "sizes"]
+                [pa.array(present.astype(np.int32)), sliced(grams), sliced(nodes), sliced(sizes)], names=["part", "grams", "nodes", "sizes"]
             )
 
         for batch in batches:
@@ -223,8 +239,24 @@ def _common(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array([len(np.intersect1d(read(a), read(b), assume_unique=True)) for a, b in pairs], pa.int64())
 
 
-def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Of candidate pairs ``a, b, n_a, n_b`` those alike enough: partial overlaps by fragment, summed per pair."""
+def _possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs whose profiles do not rule a link out."""
+    left = profiles.select(F.col("node").alias("a"), F.col("profile").alias("profile_a"))
+    right = profiles.select(F.col("node").alias("b"), F.col("profile").alias("profile_b"))
+    may = F.arrow_udf(_may_link, "boolean")("profile_a", "profile_b", "n_a", "n_b")
+    return pairs.join(left, "a").join(right, "b").where(may).select("a", "b", "n_a", "n_b")
+
+
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the first document of each wanted node."""
+    first = cut(sets.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("first")))
+    texts = docs.select(docs["doc_id"].cast("long").alias("of"), whole_text().alias("text"))
+    return texts.join(first, texts["of"] == first["first"]).select("node", "text")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, ranks: object, places: np.ndarray) -> DataFrame:
+    """Of pairs ``a, b, n_a, n_b`` those alike enough: partial overlaps by fragment, summed per pair."""
+    segments = cut(_segments(texts, ranks, places))
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
     parts = pairs.join(left, "a").join(right, ["b", "fragment"])
@@ -261,18 +293,16 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the smallest doc_id that links reach, itself included) per row of ``docs``."""
     spark = docs.sparkSession
-    surveyed = durable(_surveyed(docs))
+    surveyed = cut(_surveyed(docs))
     counts = _sketch(surveyed.where("block is not null").select("block", "counts"))
     rank = np.minimum(255, np.log2(np.maximum(counts, 1).astype(np.float64)) * 4).astype(np.uint8)
     ranks = spark.sparkContext.broadcast(rank)
     parts = max(16, int(counts.sum()) // 4 // PART_ROWS)
 
     sets = surveyed.where("block is null").select("doc_id", "n", "node")
-    shared = durable(_shared(_prefixes(docs, ranks, parts), parts))
-
-    wanted = shared.select("node").distinct().join(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
-    segments = durable(_segments(texts.join(wanted, "doc_id").select("node", "text"), ranks, _cuts(counts, rank)))
+    profiles = surveyed.where("block is null").groupBy("node").agg(F.min_by("profile", "doc_id").alias("profile"))
+    shared = cut(_shared(_prefixes(docs, ranks, parts), parts))
+    places = _cuts(counts, rank)
 
     tried = shared.sparkSession.createDataFrame([], "a long, b long")
     found = shared.sparkSession.createDataFrame([], "id long, component_id long")
@@ -288,12 +318,18 @@ def classes(docs: DataFrame) -> DataFrame:
             other = rows.select("gram", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("class").alias("class_y"))
             pairs = rows.join(other, "gram").where("class < class_y").select(F.col("node").alias("x"), "y", F.col("n").alias("n_x"), "n_y")
         pairs = _ordered(pairs.where(_close_in_size(F.col("n_x"), F.col("n_y")))).join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        links = durable(_linked(pairs, segments))
+        pairs = cut(pairs)
+        if pairs.isEmpty():
+            continue
         tried = tried.unionByName(pairs.select("a", "b"))
+        close = cut(_possible(pairs, profiles))
+        if close.isEmpty():
+            continue
+        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        links = cut(_linked(close, _texts(docs, sets, cut(wanted)), ranks, places))
         if not links.isEmpty():
             known = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            found = durable(components(links.unionByName(known)))
+            found = cut(components(links.unionByName(known)))
 
     members = sets.join(found, sets["node"] == found["id"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "node").alias("class")
