@@ -51,6 +51,24 @@ def test_boundaries_do_not_shift():
     assert len(whole & shifted) >= len(whole) - 2
 
 
+def test_planted_passages_go_whole(spark, documents):
+    """Runs of lines planted in new surroundings: every line of a later copy goes, single repeated lines stay."""
+    rnd = random.Random(7)
+    fresh = lambda: f"own line {rnd.random()}"
+    passages = [[f"planted {p} line {rnd.random()}" for _ in range(2 + p % 5)] for p in range(40)]
+    texts, lost = [], 0
+    for copy in range(3):
+        for passage in passages:
+            texts.append("\n".join([*(fresh() for _ in range(rnd.randrange(4))), *passage, *(fresh() for _ in range(rnd.randrange(4)))]))
+            lost += len(passage) if copy else 0
+    texts += ["\n".join([fresh(), passages[0][0], fresh(), "", passages[0][1]]) for _ in range(5)]
+    got = line_chunks.report(documents(texts)).collect()
+    assert sum(r["n_removed_lines"] for r in got) == lost
+    assert all(r["n_removed_lines"] == 0 for r in got if r["doc_id"] <= 40 or r["doc_id"] > 120)
+    left = [r["text"].split("\n") for r in line_chunks.clean(documents(texts)).where("doc_id between 41 and 120").collect()]
+    assert all(line.startswith("own") for lines in left for line in lines if line)
+
+
 def test_empty_table(documents):
     df = documents([])
     assert line_chunks.report(df).count() == 0 and line_chunks.clean(df).count() == 0

@@ -1,14 +1,18 @@
 """Line dedup by content-defined chunks.
 
-A text is a list of lines. A rolling hash over the hashes of the last lines decides where a chunk begins, so equal
-passages are cut alike wherever they stand. A chunk of at least two lines with words that occurs again anywhere is removed
-there, after its bytes are compared with those of its first occurrence (smallest doc_id, then place), which stays.
+A text is a list of lines. Every line with words begins a chunk, which ends behind the next line with words; a window rolls
+over the lines, and chunks overlap. Where a chunk lies thus depends on nothing but its own lines: any passage of two or more
+lines with words that occurs again is made of the same chunks, whatever stands before or behind it. A chunk that occurs
+again anywhere is removed there, after its bytes are compared with those of its first occurrence (smallest doc_id, then
+place). Of every line that goes an equal line stays. As chunks overlap, lines of a first occurrence can go with a repeated
+chunk beside it: of a line written three times in a row one copy is left.
 
 Only chunk digests are grouped over all documents, with partial minima, so a passage in a third of all documents makes no
 heavy group; texts of repeated chunks alone are shuffled for the comparison.
 
-Null and empty texts have no chunks and stay as they are. Rows that share a doc_id are told apart by digest: a chunk goes
-where place and digest are both on the list. Repeated rows of one doc_id are one occurrence. Other columns are kept.
+Lines without words count as part of a chunk only between its two lines with words, and then have to be equal too. Null and
+empty texts have no chunks and stay as they are. Rows that share a doc_id are told apart by digest: a chunk goes where place
+and digest are both on the list. Repeated rows of one doc_id are one occurrence. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -16,44 +20,25 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import arrow_map, texts_of, whole_text
+from tillmark.llm.common import arrow_map, cut, texts_of, whole_text
 from tillmark.session import durable
 
-#: Lines the rolling hash looks at, and lines a chunk has on average.
-WINDOW, MEAN_LINES = 2, 3
-#: Odd multiplier of the rolling hash.
-BASE = 0x9E3779B97F4A7C15
+#: Lines with words in a chunk.
+WINDOW = 2
 
 Chunk = tuple[int, int, bytes]
 
 
-def chunk_starts(lines: list[bytes]) -> list[int]:
-    """Indices of the lines that begin a chunk."""
-    hashes = np.array([int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little") for line in lines], dtype=np.uint64)
-    rolled = np.zeros(len(lines), dtype=np.uint64)
-    for back in range(WINDOW):
-        factor = np.uint64(pow(BASE, back + 1, 1 << 64))
-        rolled[back:] += hashes[: len(lines) - back] * factor
-    rolled ^= rolled >> np.uint64(32)
-    return [0, *(i for i in np.flatnonzero(rolled % np.uint64(MEAN_LINES) == 0).tolist() if i)]
-
-
 def chunks(text: str) -> list[Chunk]:
-    """First line, end line and digest of every chunk that has at least two lines with words."""
+    """First line, end line and digest of every chunk: WINDOW lines with words in a row, and what lies between them."""
     lines = text.encode().split(b"\n")
-    if len(lines) < 2:
-        return []
-    starts = chunk_starts(lines)
-    found = []
-    for first, end in zip(starts, [*starts[1:], len(lines)]):
-        if sum(bool(line.strip()) for line in lines[first:end]) >= 2:
-            found.append((first, end, hashlib.blake2b(b"\n".join(lines[first:end]), digest_size=16).digest()))
-    return found
+    worded = [i for i, line in enumerate(lines) if line.strip()]
+    spans = [(first, last + 1) for first, last in zip(worded, worded[WINDOW - 1 :])]
+    return [(first, end, hashlib.blake2b(b"\n".join(lines[first:end]), digest_size=16).digest()) for first, end in spans]
 
 
 def _listed(docs: DataFrame) -> DataFrame:
@@ -94,14 +79,15 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id, place, digest`` of every chunk to remove."""
-    listed = durable(_listed(docs).distinct())
-    leads = listed.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    again = listed.join(leads.select("digest", "lead"), "digest").withColumn("leads", F.struct("doc_id", "place") == F.col("lead"))
-    wanted = again.groupBy("doc_id").agg(F.collect_list(F.struct("place", "digest", "leads")).alias("listed"))
+    listed = durable(_listed(docs))
+    at = F.struct("doc_id", "place")
+    leads = listed.groupBy("digest").agg(F.min(at).alias("lead"), F.max(at).alias("last")).where("lead < last")
+    again = listed.join(leads.select("digest", "lead"), "digest").withColumn("leads", at == F.col("lead"))
+    wanted = cut(again.groupBy("doc_id").agg(F.collect_set(F.struct("place", "digest", "leads")).alias("listed")))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
-    cut = durable(_texts(texts.join(wanted, "doc_id")).distinct())
-    first = cut.where("leads").select("digest", F.col("bytes").alias("first_bytes"))
-    same = cut.where("not leads").join(first, "digest").where(F.col("bytes") == F.col("first_bytes"))
+    found = cut(_texts(texts.join(wanted, "doc_id")).distinct())
+    first = found.where("leads").select("digest", F.col("bytes").alias("first_bytes"))
+    same = found.where("not leads").join(first, "digest").where(F.col("bytes") == F.col("first_bytes"))
     return same.select("doc_id", "place", "digest")
 
 
@@ -124,15 +110,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one more column: ``CUT`` (text without repeated chunks, chunks and lines removed)."""
 
     @F.arrow_udf(RESULT)
-    def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
+    def left(text: pa.Array, cuts: pa.Array) -> pa.Array:
         kind = pa.struct([("text", pa.string()), ("chunks", pa.int64()), ("lines", pa.int64())])
         done = [c and _without(t, c) for t, c in zip(text.to_pylist(), cuts.to_pylist())]  # null where nothing is listed
         return pa.array([d and dict(zip(("text", "chunks", "lines"), d)) for d in done], kind)
 
     gone = repeated(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("place", "digest")).alias("gone_chunks"))
+    gone = cut(gone)
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["of"], "left")
     text = F.when(gone["of"].isNotNull(), docs["text"].cast("string"))
-    return joined.select(*(docs[c] for c in docs.columns), cut(text, gone["gone_chunks"]).alias(CUT))
+    return joined.select(*(docs[c] for c in docs.columns), left(text, gone["gone_chunks"]).alias(CUT))
 
 
 def clean(docs: DataFrame) -> DataFrame:
