@@ -103,5 +103,17 @@ def test_sanitised_text(documents):
     assert "orblax" not in rows[11] and "agent@" not in rows[11] and "ordinary things" in rows[11]
 
 
+def test_rare_entities_and_pools(documents):
+    """An entity in three texts, and a mail domain in five of which no address occurs twice."""
+    plain = [f"nothing at all is said here, line {i}" for i in range(3000)]
+    rare = [f"Quimby number {i} can be had at q.uimby@rare.org at once" for i in range(3)]
+    pooled = [f"staff {i} of Vandelay write from desk{i}@latex.com every day" for i in range(5)]
+    got = {r["doc_id"]: r for r in private_data.spans(documents(plain + rare + pooled)).where("doc_id > 3000").collect()}
+    told = {k: {r["text"][s["start"] : s["end"]] for s in r["term"]} for k, r in got.items()}
+    assert all("Quimby" in told[k] and "number" in told[k] for k in (3001, 3002, 3003))
+    assert all("Vandelay" in told[k] for k in range(3004, 3009))
+    assert all("nothing" not in t for t in told.values())
+
+
 def test_empty_table(documents):
     assert private_data.report(documents([])).count() == 0

@@ -3,11 +3,17 @@
 Only DataFrame functions. E-mail addresses, IP addresses, card and phone numbers are protected entities. How much a term
 tells about an entity is estimated from the corpus: over distinct texts, the pointwise mutual information of term and
 entity, ``ln(N * both / (entity * term))``, as a share of the entity's own information ``ln(N / entity)``. A share of 1
-means that whoever reads the term knows the entity. A term that stands with an entity in SUPPORT texts or more discloses it
-from GENERALISE on: there it is replaced by its kind, from REMOVE on it is dropped, in the texts that hold the entity.
+means that whoever reads the term knows the entity. A term discloses an entity from GENERALISE on: there it is replaced by
+its kind, from REMOVE on it is dropped, in the texts that hold the entity.
 
-Counts are made with partial sums per (entity, term), so an entity in a third of all texts makes no heavy group, and only
-terms of texts that share an entity are paired at all. Copies of a text under other doc_ids count once.
+Every entity is estimated, whatever the number of its texts. Where term and entity share fewer than SUPPORT texts, the share
+of the term's texts that hold the entity is taken at its lower confidence bound (Wilson, CONFIDENCE standard deviations): few
+texts count as little evidence, and as more evidence the more texts the corpus has that the term is not in. Entities are
+pooled besides, by mail domain and by prefix of address or number, and a pool is estimated like an entity of its own.
+
+Entities and pools held by the same texts have the same estimates and are one class. Counts are made with partial sums per
+(class, term), so an entity in a third of all texts makes no heavy group, and a text is paired once with all that only it
+holds. Copies of a text under other doc_ids count once.
 
 Offsets are code points, ends exclusive. Null texts count as empty. Rows that share a doc_id share their entities; repeated
 rows get equal results; an empty table gives an empty one.
@@ -20,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import NOT_SPACE, SPACE, whole_text
+from tillmark.llm.common import NOT_SPACE, SPACE, cut, whole_text
 from tillmark.session import durable
 
 # The contract's patterns. Possessive repeats and the look-behinds change no match: what they keep the matcher from trying
@@ -36,8 +42,12 @@ KINDS = (*PATTERNS, "term")
 #: What a text must hold for a pattern to be tried at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Texts a term and an entity share at least, and the shares of the entity's information from which a term discloses it.
+#: Shared texts from which counts are taken as they are, and the shares of the entity's information from which a term discloses it.
 SUPPORT, GENERALISE, REMOVE = 4, 0.90, 0.97
+#: Standard deviations to the lower bound of a smaller count: 95 % of one side.
+CONFIDENCE = 1.645
+#: Digits that a pool of numbers has in common, and parts that a pool of addresses has.
+PREFIX = {"card": 6, "phone": 4, "ip": 2}
 #: Least characters of a term.
 TERM_CHARS = 4
 SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -137,34 +147,74 @@ def _entities() -> Column:
     return F.array_distinct(F.concat(*(F.transform(kind, _value(kind)) for kind in PATTERNS)))
 
 
+def _pool(kind: str) -> Callable[[Column], Column]:
+    if kind == "email":
+        return lambda m: F.concat(F.lit("pool email:"), F.lower(F.substring_index(m["value"], "@", -1)))
+    if kind == "ip":
+        return lambda m: F.concat(F.lit("pool ip:"), F.substring_index(m["value"], ".", PREFIX["ip"]))
+    return lambda m: F.concat(F.lit(f"pool {kind}:"), F.left(_digits(m["value"]), F.lit(PREFIX[kind])))
+
+
+def _pools() -> Column:
+    """The distinct pools of the protected values of a row of :func:`find`."""
+    return F.array_distinct(F.concat(*(F.transform(kind, _pool(kind)) for kind in PATTERNS)))
+
+
+def _may_hold(text: Column) -> Column:
+    """False only where no pattern can match."""
+    some = F.contains(text, F.lit("@")) | F.contains(text, F.lit("+"))
+    return some | text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]") | text.rlike("[0-9][0-9 -]{13}")
+
+
+def _share(n_texts: int, n_entity: Column, n_term: Column, n_both: Column) -> Column:
+    """Of the entity's information, what the term tells; from the lower bound of the term's texts where they are few."""
+    counted = F.lit(float(n_texts)) * n_both / (n_entity * n_term)
+    p, z = n_both / n_term, CONFIDENCE**2
+    low = (p + z / (2 * n_term) - F.sqrt(z * (p * (1 - p) / n_term + z / (4 * n_term * n_term)))) / (1 + z / n_term)
+    bounded = F.lit(float(n_texts)) * low / n_entity
+    share = F.log(F.when(n_both >= SUPPORT, counted).otherwise(bounded)) / F.log(F.lit(float(n_texts)) / n_entity)
+    return F.least(share, F.lit(1.0))
+
+
+def classes(held: DataFrame, n_texts: int) -> DataFrame:
+    """``doc_id, digest, class, n_entity`` of all entities and pools that a text holds; ``held`` as in :func:`disclosures`."""
+    holds = held.select("doc_id", "digest", F.explode("entities").alias("entity"))
+    texts = holds.select("digest", "entity").distinct()
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "digest")) for seed in range(2)]
+    of = texts.groupBy("entity").agg(F.count("*").alias("n_entity"), *(m.alias(f"mark_{i}") for i, m in enumerate(marks)))
+    of = of.where(F.col("n_entity") < n_texts).select("entity", "n_entity", F.concat_ws(":", "n_entity", "mark_0", "mark_1").alias("class"))
+    return holds.join(of, "entity").select("doc_id", "digest", "class", "n_entity").distinct()
+
+
 def disclosures(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """``entity, term, share`` of every term that discloses an entity; ``held`` has ``doc_id, digest, entities``."""
-    nothing = docs.sparkSession.createDataFrame([], "entity string, term string, share double")
+    """``doc_id, term, share`` of every term that discloses an entity of the text; ``held`` has ``doc_id, digest, entities``."""
+    nothing = docs.sparkSession.createDataFrame([], "doc_id bigint, term string, share double")
     first = held.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     n_texts = first.count()
-    in_text = held.select("digest", F.explode("entities").alias("entity")).distinct()
-    several = in_text.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    hold = durable(in_text.join(several, "entity").join(first, "digest").select("doc_id", "digest", "entity", "n_entity"))
+    hold = cut(classes(held, n_texts))
     if hold.isEmpty():
         return nothing
 
     texts = docs.select(docs["doc_id"].cast("long").alias("of"), whole_text().alias("text"))
-    lists = hold.groupBy("doc_id").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
-    pairs = texts.join(lists, texts["of"] == lists["doc_id"]).select("entities", F.explode(_terms(F.col("text"))).alias("term"))
-    pairs = pairs.select(F.explode("entities").alias("e"), "term")
-    both = pairs.groupBy("e.entity", "e.n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    both = durable(both)
+    once = hold.join(first, ["digest", "doc_id"], "left_semi")
+    lists = once.groupBy("doc_id").agg(F.collect_list(F.struct("class", "n_entity")).alias("classes"))
+    holders = texts.where(_may_hold(F.col("text"))).join(lists, texts["of"] == lists["doc_id"])
+    pairs = holders.select("classes", F.explode(_terms(F.col("text"))).alias("term")).select(F.explode("classes").alias("e"), "term")
+    both = pairs.groupBy("e.class", "e.n_entity", "term").agg(F.count("*").alias("n_both"))
+    # a term has at least the texts it shares: what cannot disclose with these alone need not be counted elsewhere
+    both = cut(both.where(_share(n_texts, F.col("n_entity"), F.col("n_both"), F.col("n_both")) >= GENERALISE))
+    if both.isEmpty():
+        return nothing
 
     # the first text of each digest stands for its copies; terms are summed before anything is shuffled
     texts = texts.withColumn("own_digest", F.sha2(F.col("text").cast("binary"), 256))
-    same = (texts["of"] == first["doc_id"]) & (texts["own_digest"] == first["digest"])
-    once = texts.join(first, same, "left_semi").select(F.explode(_terms(F.col("text"))).alias("term"))
-    of_term = once.groupBy("term").agg(F.count("*").alias("n_term"))
-    share = F.log(F.lit(float(n_texts)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(
-        F.lit(float(n_texts)) / F.col("n_entity")
-    )
-    known = both.where(F.col("n_entity") < n_texts).join(of_term, "term").withColumn("share", F.least(share, F.lit(1.0)))
-    return known.where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    copies = durable(held.select("doc_id", "digest").join(first, ["digest", "doc_id"], "left_anti").distinct())
+    copy = (texts["of"] == copies["doc_id"]) & (texts["own_digest"] == copies["digest"])
+    words = texts.join(copies, copy, "left_anti").select(F.explode(_terms(F.col("text"))).alias("term"))
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    share = _share(n_texts, F.col("n_entity"), F.col("n_term"), F.col("n_both"))
+    told = both.join(of_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("class", "term", "share")
+    return hold.select("doc_id", "class").distinct().join(told, "class").groupBy("doc_id", "term").agg(F.max("share").alias("share"))
 
 
 def _of_terms(terms: Column) -> Column:
@@ -178,10 +228,9 @@ def _of_terms(terms: Column) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """:func:`find` with the column ``term``: start, end and share of the words that disclose an entity of their text."""
     found = find(docs)
-    held = durable(found.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), _entities().alias("entities")))
-    told = durable(disclosures(docs, held))
-    revealed = held.select("doc_id", F.explode("entities").alias("entity")).distinct().join(told, "entity")
-    revealed = revealed.groupBy("doc_id", "term").agg(F.max("share").alias("share"))
+    entities = F.concat(_entities(), _pools())
+    held = durable(found.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), entities.alias("entities")))
+    revealed = cut(disclosures(docs, held))
     lists = revealed.groupBy(F.col("doc_id").alias("of")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "share")))).alias("shares")
     )
