@@ -72,5 +72,17 @@ def test_counts_and_verdicts_equal_brute_force(spark, monkeypatch):
     assert stay.columns == df.columns and stay.count() == 2 * sum(w[6] for w in want.values())
 
 
+def test_rare_junk_source_is_judged_by_its_language(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST", 40)
+    rnd = random.Random(4)
+    clean = lambda: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randrange(3, 9))) for _ in range(rnd.randrange(90, 160)))
+    junk = lambda: " ".join("#$%&|" * 12 + str(rnd.random()) for _ in range(rnd.randrange(90, 160)))
+    rows = [(clean(), "x", source) for source in ("one", "two") for _ in range(80)] + [(junk(), "x", "rare") for _ in range(5)]
+    rows += [(clean(), "x", "small") for _ in range(5)] + [(junk(), "y", "alone") for _ in range(5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.verdicts(df).where("kept").collect()}
+    assert kept == set(range(160)) | set(range(165, 170))
+
+
 def test_empty_table(documents):
     assert quality.verdicts(documents([])).count() == 0 and quality.keep(documents([])).count() == 0

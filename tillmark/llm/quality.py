@@ -7,7 +7,8 @@ far from the final estimate are rejected.
 
 The steps run on a small table of vectors cut to the shared folder, aggregate by group with partial sums and exchange one
 row per group, so a source that holds a third of all rows is no heavier than the rest. Groups with too few documents use
-the estimate of their language, then of all documents; every group has at least the estimate of all.
+the estimate of their language, then of all documents; these rest on all sound documents of the language or the table, those
+of large groups too, and are made only where a group needs them.
 
 Null texts count as empty, null languages and sources as groups of their own. Repeated rows count as often as they occur.
 An empty table gives an empty result. Documents that fail a base rule take no part in the estimates.
@@ -105,16 +106,28 @@ FLOOR = {"words": 1.2, "length": 0.15, "symbols": 0.4, "lines": 1.0, "repeats":
 
 
 def _cells(sound: DataFrame) -> DataFrame:
-    """Per language and source the ``cell`` an estimate is made for: itself, or a pool of groups that are too small."""
+    """Per language and source the ``cell`` it is judged by, and the ``cells`` whose estimates its rows are part of.
+
+    A group below LEAST is judged by all sound rows of its language, and where these are too few by all sound rows.
+    """
 
     def named(*columns: str) -> Column:
         return F.to_json(F.array(*(F.coalesce(F.col(c), F.lit("\u0000")) for c in columns)))
 
     sized = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pooled = sized.withColumn("cell", F.when(F.col("n") >= LEAST, named("lang", "source")).otherwise(named("lang")))
-    own = pooled.groupBy("cell").agg(F.sum("n").alias("in_cell"))
-    pooled = pooled.join(own, "cell").withColumn("cell", F.when(F.col("in_cell") >= LEAST, F.col("cell")).otherwise(F.lit("")))
-    return pooled.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "cell")
+    sized = sized.withColumn("own", named("lang", "source")).withColumn("wide", named("lang"))
+    wide = sized.groupBy("wide").agg(F.sum("n").alias("in_wide"))
+    sized = sized.join(wide, "wide")
+    cell = F.when(F.col("n") >= LEAST, F.col("own")).when(F.col("in_wide") >= LEAST, F.col("wide")).otherwise("")
+    judged = durable(sized.withColumn("cell", cell).select("lang", "source", "own", "wide", "cell"))
+    # only cells that judge a group are estimated
+    used = judged.select("cell").distinct()
+    part = judged.select("lang", "source", F.explode(F.array("own", "wide", F.lit(""))).alias("part")).join(used, F.col("part") == F.col("cell"))
+    part = part.groupBy(F.coalesce("lang", F.lit("\u0000")).alias("l"), F.coalesce("source", F.lit("\u0000")).alias("s")).agg(
+        F.collect_set("part").alias("cells")
+    )
+    same = (F.coalesce("lang", F.lit("\u0000")) == F.col("l")) & (F.coalesce("source", F.lit("\u0000")) == F.col("s"))
+    return judged.join(part, same).select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "cell", "cells")
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
@@ -170,7 +183,7 @@ def judge(stats: DataFrame, reach: float = REACH) -> DataFrame:
     stats = durable(stats.withColumn("base_failed", base_failed()).withColumns(features))
     cells = durable(_cells(stats.where(~F.col("base_failed"))))
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    sound = durable(stats.where(~F.col("base_failed")).join(cells, same).select("cell", *FEATURES))
+    sound = durable(stats.where(~F.col("base_failed")).join(cells, same).select(F.explode("cells").alias("cell"), *FEATURES))
 
     middle = sound.groupBy("cell").agg(*(F.percentile_approx(f, 0.5, 10_000).alias(f"q_{f}") for f in FEATURES))
     off = sum((F.abs(F.col(f) - F.col(f"q_{f}")) / FLOOR[f] for f in FEATURES), F.lit(0.0))
@@ -179,7 +192,7 @@ def judge(stats: DataFrame, reach: float = REACH) -> DataFrame:
         estimate = durable(_estimate(_nearest(near.select("cell", "off", *FEATURES))))
         near = sound.join(estimate, "cell").withColumn("off", _squared())
 
-    judged = stats.join(cells, same, "left").join(estimate, "cell", "left").withColumn("distance", _squared())
+    judged = stats.join(cells.drop("cells"), same, "left").join(estimate, "cell", "left").withColumn("distance", _squared())
     kept = ~F.col("base_failed") & (F.col("distance") <= reach)
     return judged.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*stats.columns, "distance", "kept")
 
