@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import byte_bpe, line_chunks, mixing, ngram_join, private_data, quality, substrings, token_counts, toxicity, vectors
+from tillmark.llm import (
+    byte_bpe,
+    conversations,
+    line_chunks,
+    mixing,
+    ngram_join,
+    private_data,
+    quality,
+    substrings,
+    token_counts,
+    toxicity,
+    vectors,
+)
 from tillmark.llm.common import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +75,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 RUNNERS: dict[str, Runner] = {
     "op1_vectors": op1_vectors,
     "op2_substrings": op2_substrings,
@@ -74,6 +90,7 @@ RUNNERS: dict[str, Runner] = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_chunks": op10_line_chunks,
+    "op13_conversations": op13_conversations,
 }
 
 
