@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillmark.llm import (
     byte_bpe,
     conversations,
+    lexical,
     line_chunks,
     mixing,
     ngram_join,
@@ -75,6 +76,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damage(table(spark, sf_dir, "conversations")))
 
@@ -90,6 +95,7 @@ RUNNERS: dict[str, Runner] = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_chunks": op10_line_chunks,
+    "op12_lexical": op12_lexical,
     "op13_conversations": op13_conversations,
 }
 
@@ -115,4 +121,25 @@ select doc_id, source, round(rate, 9) rate, n_copies, cast(copy as int) as "copy
 from counts, unnest(range(n_copies)) s(copy)
 """
 
-ORACLES: dict[str, str] = {"op8_mixing": MIX_SQL}
+def _words(columns: str, table: str) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    return f"select {columns}, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '{pattern}')) term from {table}"
+
+
+SEARCH_SQL = f"""
+with words as ({_words("doc_id", "documents")}),
+tfs as (select doc_id, term, count(*) tf from words group by all),
+sizes as (select doc_id, count(*) n from words group by doc_id),
+totals as (select count(*) n_docs, cast(sum(n) as bigint) total from sizes),
+asked as (select item_id, term, count(*) reps from ({_words("item_id", "benchmark")}) group by all),
+weights as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1))) as bigint) w
+ from tfs, totals where term in (select term from asked) group by term, n_docs),
+scores as (select item_id, doc_id,
+ cast(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // total)))) as bigint) score
+ from asked join weights using (term) join tfs using (term) join sizes using (doc_id), totals group by item_id, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) "rank", doc_id, score
+from scores where score > 0 qualify "rank" <= 20
+"""
+
+ORACLES: dict[str, str] = {"op8_mixing": MIX_SQL, "op12_lexical": SEARCH_SQL}
