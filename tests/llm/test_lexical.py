@@ -81,8 +81,7 @@ def test_empty_tables(spark):
     assert lexical.search(docs, some.withColumnRenamed("doc_id", "item_id")).collect() == []
 
 
-def test_few_documents_are_left_to_score(spark):
-    """Bounds must rule most documents out, and never one that holds a term."""
+def test_bounds_are_never_below_and_mostly_near(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     items = next(lexical._groups(spark.read.parquet(f"{SF_DIR}/benchmark.parquet")))
     blocks = lexical.index(docs)
@@ -92,7 +91,7 @@ def test_few_documents_are_left_to_score(spark):
     bound = {(r["item"], r["doc_id"]): r["bound"] for r in bounds.collect()}
     exact = {(r["item"], r["doc_id"]): r["score"] for r in lexical._exact(docs, bounds, shared).collect()}
     assert all(bound[p] >= s for p, s in exact.items())
-    assert sum(bound[p] == s for p, s in exact.items()) > 0.5 * len(exact)
+    assert set(exact) == set(bound) and sum(bound[p] <= 1.5 * s for p, s in exact.items()) > 0.9 * len(exact)
 
 
 def test_query_equals_sql(spark):

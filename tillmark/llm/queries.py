@@ -17,6 +17,7 @@ from tillmark.llm import (
     ngram_join,
     private_data,
     quality,
+    secret_scan,
     substrings,
     token_counts,
     toxicity,
@@ -76,6 +77,10 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.report(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -95,6 +100,7 @@ RUNNERS: dict[str, Runner] = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_chunks": op10_line_chunks,
+    "op11_secrets": op11_secrets,
     "op12_lexical": op12_lexical,
     "op13_conversations": op13_conversations,
 }
