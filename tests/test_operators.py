@@ -95,6 +95,52 @@ def test_turn_by_turn_publication_equals_brute_force(spark, tmp_path, seed):
     assert {r.raw_artifact_id: (r.overlap, r.published) for r in got} == brute_force_turns(reports, sales, held)
 
 
+def decided(spark, folder, reports, sales, held):
+    got = publishing.decide_publication(
+        spark.createDataFrame(reports, "raw_artifact_id string, turn double, accepted boolean, has_product boolean"),
+        spark.createDataFrame(sales, "raw_artifact_id string, external_sale_id string, is_out boolean"),
+        spark.createDataFrame(held, "raw_artifact_id string, external_sale_id string"),
+        str(folder),
+    )
+    return {r.raw_artifact_id: (r.overlap, r.published) for r in got.collect()}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_chains_equal_brute_force(spark, tmp_path, seed):
+    """Links of both kinds: sale ids a rival gains by publishing, and sale ids it gives up by publishing."""
+    rng = random.Random(100 + seed)
+    n = 30
+    reports = [(f"a{i}", float(i), rng.random() < 0.95, rng.random() < 0.9) for i in range(n)]
+    sales, held = {(f"a{i}", f"own{i}"): True for i in range(n)}, set()
+    for i in range(1, n):
+        to = i - 1 if rng.random() < 0.7 else rng.randrange(i)
+        sales[(f"a{i}", f"link{i}")] = True
+        kind = rng.random()
+        if kind < 0.6:
+            sales[(f"a{to}", f"link{i}")] = rng.random() < 0.5
+        if kind > 0.5:
+            held.add((f"a{to}", f"link{i}"))
+        if rng.random() < 0.15:
+            sales[(f"a{i}", f"link{rng.randrange(1, n)}")] = True
+    sales = [(a, s, out) for (a, s), out in sales.items()]
+    assert decided(spark, tmp_path, reports, sales, sorted(held)) == brute_force_turns(reports, sales, held)
+
+
+@pytest.mark.parametrize("n, cuts", [(40, 12), (1000, 25)])
+def test_a_chain_takes_few_cuts(spark, tmp_path, n, cuts):
+    reports = [(f"a{i}", float(i), True, True) for i in range(n)]
+    sales = [(f"a{i}", f"s{j}", True) for i in range(n) for j in (i, i + 1)]
+    assert decided(spark, tmp_path, reports, sales, [("old", "nothing")]) == brute_force_turns(reports, sales, [])
+    assert sum(path.name.startswith("cut-") for path in tmp_path.iterdir()) <= cuts
+
+
+def test_many_reports_wait_for_one(spark, tmp_path):
+    reports = [(f"a{i}", float(i), i != 5, True) for i in range(60)]
+    sales = [("a0", "s0", True), ("a1", "s0", True), ("a1", "s1", True)]
+    sales += [(f"a{i}", s, True) for i in range(2, 60) for s in ("s1", f"t{i % 20}")]
+    assert decided(spark, tmp_path, reports, sales, [("a1", "s1")]) == brute_force_turns(reports, sales, [("a1", "s1")])
+
+
 def movement(i, direction="OUT", quantity="1", price="10", discount="0", total="10", previous=None, resulting=None):
     number = lambda v: None if v is None else Decimal(v)
     return ("r", i, direction, number(quantity), number(price), number(discount), number(total), number(previous), number(resulting), (1, i, None, f"y={i}"), None)

@@ -56,8 +56,10 @@ def decide_publication(
 
     A report is kept out when, at its turn, another artifact's active attempt holds one of its OUT sale
     ids. Each round settles every report whose earlier rivals are settled; rivals are compared through
-    the smallest turn per sale id, so no pairs of reports are formed. A round only reads what is still
-    contested, and the smallest open turn is always settled, so the rounds end.
+    the two smallest turns per sale id, so no pairs of reports are formed. A report that waits for one rival
+    alone publishes if that one does or if it does not; such links are followed by doubling, so a chain of n
+    reports takes about log2(n) joins in one round. A round only reads what is still contested, and the
+    smallest open turn is always settled, so the rounds end.
     """
     state = durable(
         reports.select(
@@ -73,7 +75,8 @@ def decide_publication(
     contested = durable(_contested_sales(state, sales, held), folder)
     unsettled = None
     while unsettled != 0:
-        state = durable(_settle_round(state, contested), folder)
+        links = _followed(durable(_verdicts(state, contested), folder), folder)
+        state = durable(_settled(state, links), folder)
         still_open = state.filter("open").count()
         if still_open and (unsettled is None or still_open * COMPACT_AT <= unsettled):
             contested = durable(_still_asked(contested, state), folder)
@@ -115,39 +118,90 @@ def _contested_sales(state: DataFrame, sales: DataFrame, held: DataFrame) -> Dat
     return lookup_join(rows, rivals, ["external_sale_id"], "left_semi")
 
 
-def _settle_round(state: DataFrame, contested: DataFrame) -> DataFrame:
+def _verdicts(state: DataFrame, contested: DataFrame) -> DataFrame:
+    """Every open report: ``free`` (null while it waits), and the one rival it waits ``for``.
+
+    With ``opposite`` the report is free exactly when that rival does not publish, else exactly when it does, which
+    is the case where the rival holds the sale id from before and gives it up by publishing.
+    """
     known = state.select("turn", "open", "may_publish", "published")
     rows = lookup_join(contested, known, ["turn"], "left")
-    never = ~F.coalesce(F.col("published"), F.lit(False)) & ~(F.col("open") & F.col("may_publish"))
+    undecided = F.col("open") & F.col("may_publish")
+    never = ~F.coalesce(F.col("published"), F.lit(False)) & ~undecided
     at = F.col("turn")
     per_sale = rows.groupBy("external_sale_id").agg(
         F.bool_or(at.isNull()).alias("outside"),
         F.min(F.when(F.col("published") & ~F.col("old"), at)).alias("new_holder"),
         F.min(F.when(never & F.col("old"), at)).alias("kept_holder"),
         F.max(F.when(F.col("old"), at)).alias("later_holder"),
-        F.min(F.when(F.col("open") & F.col("may_publish"), at)).alias("undecided"),
+        F.min(F.when(undecided, at)).alias("first"),
+    )
+    is_first = at == F.col("first")
+    seconds = lookup_join(rows, per_sale.select("external_sale_id", "first"), ["external_sale_id"]).groupBy("external_sale_id").agg(
+        F.min(F.when(undecided & ~is_first, at)).alias("second"),
+        F.bool_or(is_first & ~F.col("old")).alias("gains"),
+        F.bool_or(is_first & F.col("old")).alias("gives_up"),
     )
     asking = rows.filter(F.col("is_out") & F.col("open")).select("external_sale_id", "turn")
-    met = lookup_join(asking, per_sale, ["external_sale_id"])
+    met = lookup_join(asking, per_sale.join(seconds, "external_sale_id"), ["external_sale_id"])
     blocked = (
         F.col("outside")
         | F.coalesce(F.col("new_holder") < at, F.lit(False))
         | F.coalesce(F.col("kept_holder") < at, F.lit(False))
         | F.coalesce(F.col("later_holder") > at, F.lit(False))
     )
-    verdicts = met.groupBy("turn").agg(
-        F.bool_or(blocked).alias("_blocked"), F.bool_or(F.coalesce(F.col("undecided") < at, F.lit(False))).alias("_wait")
+    waits = F.coalesce(F.col("first") < at, F.lit(False))
+    found = met.groupBy("turn").agg(
+        F.bool_or(blocked).alias("blocked"),
+        F.min(F.when(waits, F.col("first"))).alias("low"),
+        F.max(F.when(waits, F.col("first"))).alias("high"),
+        F.bool_or(F.coalesce(F.col("second") < at, F.lit(False))).alias("more"),
+        F.bool_or(waits & F.col("gains")).alias("gains"),
+        F.bool_or(waits & F.col("gives_up")).alias("gives_up"),
     )
-    joined = state.join(verdicts, "turn", "left")
-    blocked_now = F.coalesce(F.col("_blocked"), F.lit(False))
-    waits = ~blocked_now & F.coalesce(F.col("_wait"), F.lit(False))
+    verdicts = state.filter("open").select("turn").join(found, "turn", "left")
+    alone = (F.col("low") == F.col("high")) & ~F.col("more")
+    # A rival that holds a sale id from before and again holds it whatever becomes of it.
+    kept_out = F.coalesce(F.col("blocked") | (alone & F.col("gains") & F.col("gives_up")), F.lit(False))
+    return verdicts.select(
+        "turn",
+        F.when(kept_out, False).when(F.col("low").isNull(), True).alias("free"),
+        F.when(~kept_out & alone, F.col("low")).alias("for"),
+        F.coalesce("gains", F.lit(False)).alias("opposite"),
+    )
+
+
+def _followed(links: DataFrame, folder: str | None) -> DataFrame:
+    """Links of :func:`_verdicts` followed to their ends: each step doubles how far every link reaches.
+
+    A report that others wait for may publish, so it publishes exactly when it is free. A link that ends at a report
+    with several rivals stays unknown.
+    """
+    while not links.filter(F.col("for").isNotNull()).isEmpty():
+        ends = links.select(
+            F.col("turn").alias("for"), F.col("free").alias("_free"), F.col("for").alias("_for"), F.col("opposite").alias("_opposite")
+        )
+        farther = lookup_join(links.filter(F.col("for").isNotNull()), ends, ["for"]).select(
+            "turn",
+            (F.col("opposite") != F.col("_free")).alias("free"),
+            F.when(F.col("_free").isNull(), F.col("_for")).alias("for"),
+            (F.col("opposite") != F.col("_opposite")).alias("opposite"),
+        )
+        links = durable(links.filter(F.col("for").isNull()).unionByName(farther), folder)
+    return links
+
+
+def _settled(state: DataFrame, links: DataFrame) -> DataFrame:
+    joined = state.join(links.select("turn", "free"), "turn", "left")
+    settled = F.col("open") & F.col("free").isNotNull()
+    free = F.coalesce(F.col("free"), F.lit(False))
     return joined.select(
         "raw_artifact_id",
         "turn",
-        (F.col("open") & waits).alias("open"),
+        (F.col("open") & ~settled).alias("open"),
         "may_publish",
-        (F.col("overlap") | (F.col("open") & blocked_now)).alias("overlap"),
-        (F.col("published") | (F.col("open") & F.col("may_publish") & ~blocked_now & ~waits)).alias("published"),
+        (F.col("overlap") | (settled & ~free)).alias("overlap"),
+        (F.col("published") | (settled & F.col("may_publish") & free)).alias("published"),
     )
 
 
