@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillmark.fixed import TOP_PRODUCTS
 from tillmark.functions.numbers import plain_text, stripped_text
-from tillmark.functions.times import day_text, iso_text
+from tillmark.functions.times import day_text, in_bounds, iso_text
 from tillmark.operators.joins import lookup_join
 from tillmark.operators.published import (
     QUANTITIES, REVENUE, of_product, product_totals, ratio_to_cents, sale_totals, sales_between, visible_items,
@@ -69,6 +69,24 @@ def dashboard(
     return Dashboard(kpis_of_days(days), daily_series(days), top_products(products, tables["product"]))
 
 
+def maintained_dashboard(
+    parts: DataFrame,
+    products: DataFrame,
+    product_id: str | None = None,
+    start: dt.datetime | None = None,
+    end: dt.datetime | None = None,
+) -> Dashboard:
+    """QY1 from the ledger of sums that batches keep (``sold_part``); no item, sale or pointer is read.
+
+    What replaced attempts had added cancels out, so a sale or product counts while items of it are left.
+    """
+    rows = of_product(parts, product_id).filter(in_bounds(F.col("occurred_at"), start, end))
+    sums = [F.sum(c).cast(t).alias(c) for c, t in (("quantity", QUANTITIES), ("revenue", REVENUE), ("items", "bigint"))]
+    days = _days(rows.groupBy("sale_id").agg(F.max("occurred_at").alias("occurred_at"), *sums).filter("items > 0"))
+    sold = rows.groupBy("product_id").agg(*sums).filter("items > 0").drop("items")
+    return Dashboard(kpis_of_days(days), daily_series(days), top_products(sold, products))
+
+
 def daily_series(days: DataFrame) -> DataFrame:
     """AG3."""
     return days.select("date", "quantity", "revenue").orderBy("date")

@@ -9,8 +9,9 @@ from tillmark.fixed import DEFAULT_PROFILE
 from tillmark.functions.marks import message_number, message_value, provenance, validation_status
 from tillmark.functions.numbers import line_total, plain_text
 from tillmark.functions.times import iso_text
-from tillmark.operators import layout, publishing, validation
+from tillmark.operators import layout, maintained, publishing, validation
 from tillmark.registered.base import iso, movement_cte, query
+from tillmark.session import durable
 
 RULE = DEFAULT_PROFILE.rule_version
 VERSION = DEFAULT_PROFILE.parser_version
@@ -244,6 +245,24 @@ def jn8_overlap(spark, sf_dir):
     return publishing.overlapping_artifacts(incoming, held)
 
 
+@query("jn8_maintained_holders", f"""with {movement_cte(False)}, own as (select distinct product_key k, external_sale_id s from mv),
+held as (select k, s from own join part on k = p_partkey where p_size = 50 or (p_size = 49 and s::bigint % 2 = 0))
+select s external_sale_id, min('raw-'||k) lowest, max('raw-'||k) highest, count(*) holders from held group by 1""")
+def jn8_maintained_holders(spark, sf_dir):
+    """Who holds each sale id after a second batch: parts of size 50 came, those of 49 published again with half their sales, those of 48 with none."""
+    rows = tb.movements(spark, sf_dir).withColumn("raw_artifact_id", F.concat(F.lit("raw-"), F.col("product_key").cast("string")))
+    size = tb.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_key"), "p_size").filter("p_size >= 48")
+    pairs = durable(rows.join(size, "product_key").select("raw_artifact_id", "external_sale_id", "p_size").distinct())
+    ledger = durable(pairs.filter("p_size < 50").select(*maintained.HOLDING, F.lit(True).alias("held"), F.lit(0).alias("batch")))
+    gained = maintained.holdings(pairs.filter("p_size = 50 or (p_size = 49 and cast(external_sale_id as bigint) % 2 = 0)"))
+    moved = pairs.filter("p_size < 50").select("raw_artifact_id").distinct()
+    changes = maintained.held_changes(maintained.holders(ledger, "batch"), gained, moved).withColumn("batch", F.lit(1))
+    now = maintained.holders(ledger.unionByName(changes), "batch")
+    return now.groupBy("external_sale_id").agg(
+        F.min("raw_artifact_id").alias("lowest"), F.max("raw_artifact_id").alias("highest"), F.count(F.lit(1)).alias("holders")
+    )
+
+
 @query("vr6_turn_by_turn_publication", f"""with recursive {movement_cte(False)},
 own as (select product_key k, external_sale_id s, bool_or(direction = 'OUT') is_out from mv group by 1, 2),
 rival as (select a.k, list(distinct b.k) ks from own a join own b on a.s = b.s and a.k <> b.k where a.is_out group by 1),

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from tillmark import testbed as tb
 from tillmark.functions.numbers import plain_text, stripped_text
 from tillmark.functions.times import iso_text
+from tillmark.operators import maintained
+from tillmark.operators.joins import lookup_join
 from tillmark.operators.paging import take_page
 from tillmark.operators.published import (
     REVENUE, of_product, product_totals, published_items, published_products, published_sales, ratio_to_cents,
     sale_totals, sales_between, visible_items,
 )
-from tillmark.plans.dashboard import as_text, dashboard, top_products
+from tillmark.plans.dashboard import as_text, dashboard, maintained_dashboard, top_products
 from tillmark.plans.products import product_detail, product_page, products_page, search_products
 from tillmark.plans.sales import recent_sales, sale_detail, sale_lines, sale_rows, sale_summary, sales_page
 from tillmark.registered.base import PRODUCT, SALE, iso, query, stripped, visible
+from tillmark.session import durable
 
 START, END = dt.datetime(1995, 1, 1), dt.datetime(1997, 12, 31, 23, 59, 59)
 RANGE = "occurred_at between timestamp '1995-01-01 00:00:00' and timestamp '1997-12-31 23:59:59'"
@@ -71,6 +74,41 @@ def qy1_top_products(spark, sf_dir):
     return as_text(dashboard(tb.read_tables(spark, sf_dir), start=START, end=END)).top_products
 
 
+def _maintained(spark, sf_dir, product=None, start=START, end=END):
+    """The dashboard of a ledger: every published artifact first sold half as much under another attempt, which was replaced."""
+    t = tb.read_tables(spark, sf_dir)
+    pointers = t["artifact_publication"].select(F.col("active_parse_attempt_id").alias("parse_attempt_id"))
+    old = lambda c: F.concat(F.lit("old-"), c)
+    earlier = t["sale_item"].filter("line_number <= 4").withColumns(
+        {"parse_attempt_id": old(F.col("parse_attempt_id")), "product_id": F.reverse("product_id")}
+    )
+    replaced = pointers.select(old(F.col("parse_attempt_id")).alias("parse_attempt_id"))
+    ledger = durable(maintained.sold_parts(lookup_join(earlier, replaced, ["parse_attempt_id"], "left_semi"), t["sale"]))
+    added = maintained.sold_parts(visible_items(t["sale_item"], t["artifact_publication"]), t["sale"])
+    ledger = ledger.unionByName(added).unionByName(maintained.withdrawn_parts(ledger, replaced))
+    return as_text(maintained_dashboard(ledger, t["product"], product, start, end))
+
+
+@query("qy1_maintained_kpis", _kpis(RANGE))
+def qy1_maintained_kpis(spark, sf_dir):
+    return _maintained(spark, sf_dir).kpis
+
+
+@query("ag1_maintained_product_kpis", _kpis(ANY, PRODUCT_ID))
+def ag1_maintained_product_kpis(spark, sf_dir):
+    return _maintained(spark, sf_dir, PRODUCT_ID, None, None).kpis
+
+
+@query("ag3_maintained_daily", _daily(ANY))
+def ag3_maintained_daily(spark, sf_dir):
+    return _maintained(spark, sf_dir, None, None, None).daily
+
+
+@query("ag4_maintained_top_products", _top(RANGE))
+def ag4_maintained_top_products(spark, sf_dir):
+    return _maintained(spark, sf_dir).top_products
+
+
 @query("ag1_kpis", _kpis(ANY))
 def ag1_kpis(spark, sf_dir):
     return as_text(dashboard(tb.read_tables(spark, sf_dir))).kpis

@@ -85,4 +85,10 @@ TABLES: dict[str, T.StructType] = {
         ("discount_percentage", QUANTITY), ("total", MONEY), ("previous_stock", QUANTITY),
         ("resulting_stock", QUANTITY),
     ),
+    # Ledgers kept up to date by every batch (operators/maintained.py).
+    "held_sale": _table(("external_sale_id", STRING), ("raw_artifact_id", STRING), ("held", BOOL)),
+    "sold_part": _table(
+        ("parse_attempt_id", STRING), ("sale_id", STRING), ("product_id", STRING), ("occurred_at", NTZ),
+        ("quantity", T.DecimalType(38, 6)), ("revenue", T.DecimalType(38, 2)), ("items", LONG),
+    ),
 }
