@@ -42,12 +42,14 @@ def latest_attempts(attempts: DataFrame, profile: ReportProfile = DEFAULT_PROFIL
     ours = attempts.filter(
         (F.col("parser_name") == profile.parser_name) & (F.col("parser_version") == profile.parser_version)
     )
-    newest = ours.groupBy("raw_artifact_id").agg(F.max(F.struct("attempt_count", "id", "status")).alias("a"))
+    columns = ["attempt_count", "id", "status", *(["records_found"] if "records_found" in attempts.columns else [])]
+    newest = ours.groupBy("raw_artifact_id").agg(F.max(F.struct(*columns)).alias("a"))
     return newest.select(
         "raw_artifact_id",
         F.col("a.id").alias("latest_attempt_id"),
         F.col("a.status").alias("latest_status"),
         F.col("a.attempt_count").alias("latest_count"),
+        *([F.col("a.records_found").alias("latest_records")] if len(columns) == 4 else []),
     )
 
 
@@ -126,22 +128,29 @@ def file_counters() -> list[Column]:
     ]
 
 
-def import_counters(jobs: DataFrame, files: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """AG10: one row (name, value) per counter, each from one pass over its table."""
+#: AG10: names of the counters, and the columns that hold them.
+COUNTERS = {
+    "imports.completed": "completed", "imports.duplicates": "duplicates", "imports.warnings": "warnings",
+    "imports.failures": "failures", "imports.duration.ms": "duration_ms", "raw.storage.bytes": "raw_storage_bytes",
+}
+
+
+def counter_row(jobs: DataFrame, files: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """AG10: one row with a column per counter, from one pass over each table."""
     done = jobs.agg(F.count_if(F.col("status").isin("SUCCEEDED", "PARTIAL_SUCCESS", "FAILED")).alias("completed"))
-    stored = artifacts.agg(F.coalesce(F.sum(F.when(F.col("byte_size") > 0, F.col("byte_size"))), F.lit(0)).alias("bytes"))
-    names = {
-        "imports.duplicates": "duplicates", "imports.warnings": "warnings",
-        "imports.failures": "failures", "imports.duration.ms": "duration_ms",
-    }
-    of_files = files.agg(*file_counters()).select(
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("long").alias("value")) for n, c in names.items()])
-        ).alias("m")
-    ).select("m.*")
-    return (
-        done.select(F.lit("imports.completed").alias("name"), F.col("completed").cast("long").alias("value"))
-        .unionByName(of_files)
-        .unionByName(stored.select(F.lit("raw.storage.bytes").alias("name"), F.col("bytes").cast("long").alias("value")))
+    stored = artifacts.agg(
+        F.coalesce(F.sum(F.when(F.col("byte_size") > 0, F.col("byte_size"))), F.lit(0)).alias("raw_storage_bytes")
     )
+    return done.crossJoin(files.agg(*file_counters())).crossJoin(stored).select(*(F.col(c).cast("long") for c in COUNTERS.values()))
 
+
+def counters_by_name(rows: DataFrame) -> DataFrame:
+    """AG10: rows of counters, added up, as (name, value)."""
+    sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS.values()])
+    named = [F.struct(F.lit(name).alias("name"), F.col(c).alias("value")) for name, c in COUNTERS.items()]
+    return sums.select(F.explode(F.array(*named)).alias("counter")).select("counter.*")
+
+
+def import_counters(jobs: DataFrame, files: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """AG10: one row (name, value) per counter of whole tables."""
+    return counters_by_name(counter_row(jobs, files, artifacts))

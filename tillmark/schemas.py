@@ -85,6 +85,19 @@ TABLES: dict[str, T.StructType] = {
         ("discount_percentage", QUANTITY), ("total", MONEY), ("previous_stock", QUANTITY),
         ("resulting_stock", QUANTITY),
     ),
+    # What became of every file of an upload, and of every file that was to be read again.
+    "import_result": _table(
+        ("import_file_id", STRING), ("import_job_id", STRING), ("raw_artifact_id", STRING), ("sha256", STRING),
+        ("original_filename", STRING), ("previous_attempt_id", STRING), ("parse_attempt_id", STRING),
+        ("deduplicated", BOOL), ("published", BOOL), ("job_status", STRING), ("file_status", STRING),
+        ("parse_status", STRING), ("records_found", INT), ("parsed_quantity_total", T.DecimalType(29, 6)),
+        ("parsed_revenue_total", T.DecimalType(29, 6)), ("refused", STRING),
+    ),
+    # Counters of an upload; their sums over batches are the running totals.
+    "import_counter": _table(
+        ("completed", LONG), ("duplicates", LONG), ("warnings", LONG), ("failures", LONG), ("duration_ms", LONG),
+        ("raw_storage_bytes", LONG),
+    ),
     # Ledgers kept up to date by every batch (operators/maintained.py).
     "held_sale": _table(("external_sale_id", STRING), ("raw_artifact_id", STRING), ("held", BOOL)),
     "sold_part": _table(
