@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillmark.operators import bookkeeping as books
 from tillmark.operators import joins, publishing, validation
 from tillmark.operators.series import hour_histogram, leader_share, series_summary
-from tillmark.sources.audits import integrity_audit, orphan_files
+from tillmark.sources.audits import constraint_audit, integrity_audit, orphan_files, rule_events
 from tillmark.sources.files import BatchRejected, check_batch, with_admission
 
 HOW = ["inner", "left", "left_semi", "left_anti"]
@@ -234,6 +234,33 @@ def test_integrity_order(spark):
     assert got == {"ok": "OK", "gone": "MISSING", "size": "SIZE_MISMATCH", "hash": "HASH_MISMATCH"}
 
 
+def test_audit_scans_each_table_once(spark, tmp_path):
+    schemas = {
+        "raw_artifact": "id string, sha256 string, storage_key string, byte_size long",
+        "parse_attempt": "id string, raw_artifact_id string, parser_name string, parser_version string, status string, attempt_count int",
+        "artifact_publication": "raw_artifact_id string, active_parse_attempt_id string",
+    }
+    rows = {"raw_artifact": [("r", "h", "s", 1)], "parse_attempt": [("a", "r", "p", "v", "VALID", 1)], "artifact_publication": [("r", "a")]}
+
+    def audit(**more):
+        tables = {}
+        for name, schema in schemas.items():
+            path = str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}")
+            spark.createDataFrame(rows[name] + more.get(name, []), schema).write.parquet(path)
+            tables[name] = spark.read.schema(schema).parquet(path)
+        return tables, sorted((r.rule, r.key) for r in constraint_audit(tables).collect())
+
+    tables, found = audit()
+    plan = rule_events(tables).groupBy("space", "value").count()._jdf.queryExecution().executedPlan().toString()
+    assert found == [] and plan.count("FileScan") == 3
+    hot = [(f"a{i}", "gone", "p", "v", "VALID", 1 if i else 0) for i in range(30)]
+    _, found = audit(parse_attempt=hot, artifact_publication=[("r", "a5")])
+    assert found == sorted(
+        [("fk_parse_attempt_artifact", f"a{i}") for i in range(30)]
+        + [("uq_parse_attempt_version", "gone|p|v|1"), ("ck_parse_attempt_count", "a0"), ("pk_artifact_publication", "r"), ("fk_artifact_publication_attempt", "r")]
+    )
+
+
 def test_series_summary(spark):
     def summary(*values):
         rows = spark.createDataFrame([(dt.date(2026, 1, i + 1), Decimal(v)) for i, v in enumerate(values)], "date date, v decimal(28,6)")

@@ -163,6 +163,21 @@ def sf6_line_total(spark, sf_dir):
     return rows.select("parse_attempt_id", "source_record_index", plain_text(value).alias("calculated"))
 
 
+@query("sf6_fine_prices", """with l as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) * 1000 + l_linenumber q,
+ cast(cast(l_extendedprice as decimal(15,2)) * 100 as bigint) * 10000 // 7 p, 10000 - 125 * l_linenumber f from lineitem)
+select l_orderkey, l_linenumber, cast(cast((cast(q as hugeint) * p * f + 50000000000) // 100000000000 as decimal(22,0)) * cast(0.01 as decimal(3,2)) as varchar) calculated from l""")
+def sf6_fine_prices(spark, sf_dir):
+    """Line totals of quantities with three decimals, prices with six and discounts with two."""
+    rows = tb.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber",
+        "cast(cast(cast(l_quantity as bigint) * 1000 + l_linenumber as decimal(13,0)) * 0.001 as decimal(19,6)) quantity",
+        "cast(cast(cast(cast(l_extendedprice as decimal(15,2)) * 100 as bigint) * 10000 div 7 as decimal(18,0)) * 0.000001 as decimal(19,6)) unit_price",
+        "cast(l_linenumber * 1.25 as decimal(19,6)) discount",
+    )
+    value = line_total(F.col("quantity"), F.col("unit_price"), F.col("discount"))
+    return rows.select("l_orderkey", "l_linenumber", plain_text(value).alias("calculated"))
+
+
 @query("sf7_validation_status", """select event_id, case event_type when 'view' then 'VALID' when 'click' then 'WARNING' else 'INVALID' end status from events""")
 def sf7_validation_status(spark, sf_dir):
     severity = F.expr("case event_type when 'view' then 'Info' when 'click' then 'Warning' when 'error' then 'Error' when 'purchase' then 'Fatal' else 'Strange' end")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark import testbed as tb
@@ -156,15 +159,15 @@ def sk2_raw_store(spark, sf_dir):
 
 @query("jn10_orphans", f"""with {FILES}, stored as (select distinct on (sha256) sha256, byte_size, created_at from f order by sha256, created_at)
 select sha256, cast(byte_size as bigint) length from stored where sha256 not in (select sha256 from f where lang = 'en')
- and created_at <= timestamp '2026-01-01 00:10:00'""")
+ and created_at <= (select max(created_at) from f) - interval 60 second""")
 def jn10_orphans(spark, sf_dir):
-    """Stored contents of all documents against a registry that only knows the English ones."""
+    """Stored contents of all documents against a registry that only knows the English ones, but for the last minute's."""
     files = tb.import_files(spark, sf_dir).withColumn("storage_key", storage_key(F.col("sha256")))
     stored = files.groupBy("storage_key", "sha256").agg(
         F.min("byte_size").alias("length"), F.min("created_at").alias("modificationTime")
     )
-    cutoff = F.lit("2026-01-01 00:10:00").cast("timestamp")
-    return orphan_files(stored, files.filter("lang = 'en'"), cutoff).select("sha256", "length")
+    cutoff = files.agg((F.max("created_at") - F.expr("interval 60 seconds")).alias("cutoff")).first()["cutoff"]
+    return orphan_files(stored, files.filter("lang = 'en'"), F.lit(cutoff)).select("sha256", "length")
 
 
 @query("so3_known_storage_keys", f"with {FILES} select file_id, sha256 in (select sha256 from f where lang = 'en') known from f")
@@ -346,6 +349,84 @@ def vr11_constraint_audit(spark, sf_dir):
     )
 
 
+_MODEL = {
+    "raw_artifact": """select concat('raw-', s_suppkey) id, case when s_nationkey = 3 then 'h-same' else concat('h', s_suppkey) end sha256,
+ case when s_nationkey = 4 then 's-same' else concat('s', s_suppkey) end storage_key, case when s_nationkey = 11 then -1 else s_suppkey end byte_size from supplier""",
+    "parse_attempt": """select concat(kind, '-', s_suppkey) id, concat(case when kind in ('d', 'e') then 'gone-' else 'raw-' end, s_suppkey) raw_artifact_id,
+ 'p' parser_name, 'v' parser_version, case when s_nationkey = 9 then null else 'VALID' end status,
+ case when s_nationkey = 12 then 0 when kind = 'c' then 2 else 1 end attempt_count
+ from supplier join (select 'a' kind, -1 nation union all select 'b', 5 union all select 'c', 6 union all select 'd', 13 union all select 'e', 19) kinds
+ on nation = -1 or nation = s_nationkey""",
+    "import_job": "select concat('job-', n_nationkey) id, case when n_nationkey = 8 then 'LOST' else 'SUCCEEDED' end status from nation",
+    "import_file": """select concat('f-', s_suppkey) id, case when s_nationkey = 14 then 'job-gone' else concat('job-', s_nationkey) end import_job_id,
+ concat(case when s_nationkey = 15 then 'gone-' else 'raw-' end, s_suppkey) raw_artifact_id,
+ case when s_nationkey <> 18 then concat(case when s_nationkey = 16 then 'gone-' else 'a-' end, s_suppkey) end parse_attempt_id,
+ case when s_nationkey = 17 then 'f-gone' when s_nationkey = 18 then concat('f-', s_suppkey) end duplicate_of_import_file_id,
+ case when s_nationkey = 10 then 'X' else 'IMPORTED' end status from supplier""",
+    "artifact_publication": """select concat(case when kind = 'e' then 'gone-' else 'raw-' end, s_suppkey) raw_artifact_id,
+ concat(case when kind = 'a' and s_nationkey = 20 then 'gone' when kind = 'd' then 'a' else kind end, '-', s_suppkey) active_parse_attempt_id
+ from supplier join (select 'a' kind, -1 nation union all select 'c', 6 union all select 'd', 7 union all select 'e', 19) kinds on nation = -1 or nation = s_nationkey""",
+    "validation_result": """select case when l_quantity = 5 then 'a-gone' else concat('a-', l_suppkey) end parse_attempt_id,
+ case when l_quantity = 3 then 'FAILED' else 'VALID' end status from lineitem""",
+    "parsed_movement": """select case when l_quantity = 6 then 'a-gone' else concat('a-', l_suppkey) end parse_attempt_id, l_orderkey * 8 + l_linenumber source_record_index,
+ case when l_quantity = 4 then 'LOST' else 'OUT' end direction from lineitem join (select 1 time union all select 2) times on time = 1 or l_quantity = 1""",
+    "product": """select concat('p-', p_partkey) id, 'POS' external_source, case when p_size = 50 then 'same' else concat('', p_partkey) end external_id,
+ case when p_size = 49 then 'a-gone' else concat('a-', s) end first_seen_parse_attempt_id from part, (select min(s_suppkey) s from supplier) least""",
+    "sale": """select concat('s-', o_orderkey) id, 'POS' external_source,
+ case when o_orderstatus = 'P' then concat('P', o_custkey) else concat('', o_orderkey) end external_sale_id,
+ case when o_orderpriority like '1%' then 'a-gone' else concat('a-', s) end first_seen_parse_attempt_id from orders, (select min(s_suppkey) s from supplier) least""",
+    "sale_item": """select case when l_quantity = 7 then 's-gone' else concat('s-', l_orderkey) end sale_id, case when l_quantity = 8 then 'p-gone' else concat('p-', l_partkey) end product_id,
+ case when l_quantity = 9 then 'a-gone' else concat('a-', l_suppkey) end parse_attempt_id, l_orderkey * 8 + l_linenumber source_record_index
+ from lineitem join (select 1 time union all select 2) times on time = 1 or l_quantity = 2""",
+}
+
+
+def _break(rule: str, key: str, source: str) -> str:
+    return f"select '{rule}' as rule, {key} as key from {source}"
+
+
+def _nation(rule: str, key: str, *numbers: int) -> str:
+    return _break(rule, f"{key}||s_suppkey", f"supplier where s_nationkey in ({', '.join(map(str, numbers))})")
+
+
+def _line(rule: str, key: str, quantity: int) -> str:
+    return _break(rule, key, f"lineitem where l_quantity = {quantity}")
+
+
+BREAKS = [
+    _break("uq_raw_artifact_sha256", "'h-same'", "supplier where s_nationkey = 3 having count(*) > 1"),
+    _break("uq_raw_artifact_storage_key", "'s-same'", "supplier where s_nationkey = 4 having count(*) > 1"),
+    _break("uq_parse_attempt_version", "'raw-'||s_suppkey||'|p|v|1'", "supplier where s_nationkey = 5"),
+    _nation("pk_artifact_publication", "'raw-'", 6, 7), _nation("uq_artifact_publication_attempt", "'a-'", 7),
+    _line("uq_parsed_movement_attempt_index", "'a-'||l_suppkey||'|'||(l_orderkey * 8 + l_linenumber)", 1),
+    _break("uq_product_external", "'POS|same'", "part where p_size = 50 having count(*) > 1"),
+    _break("uq_sale_external", "'POS|P'||o_custkey", "orders where o_orderstatus = 'P' group by o_custkey having count(*) > 1"),
+    _line("uq_sale_item_attempt_index", "'a-'||l_suppkey||'|'||(l_orderkey * 8 + l_linenumber)", 2),
+    _break("ck_import_job_status", "'job-8'", "nation where n_nationkey = 8"), _nation("ck_parse_attempt_status", "'a-'", 9),
+    _nation("ck_import_file_status", "'f-'", 10), _line("ck_validation_result_status", "'a-'||l_suppkey", 3),
+    _line("ck_parsed_movement_direction", "'a-'||l_suppkey", 4), _nation("ck_raw_artifact_byte_size", "'raw-'", 11),
+    _nation("ck_parse_attempt_count", "'a-'", 12), _nation("fk_parse_attempt_artifact", "'d-'", 13), _nation("fk_parse_attempt_artifact", "'e-'", 19),
+    _nation("fk_import_file_job", "'f-'", 14), _nation("fk_import_file_artifact", "'f-'", 15), _nation("fk_import_file_attempt", "'f-'", 16),
+    _nation("fk_import_file_duplicate_of", "'f-'", 17), _nation("fk_artifact_publication_artifact", "'gone-'", 19),
+    _nation("fk_artifact_publication_attempt", "'raw-'", 20), _line("fk_validation_result_attempt", "'a-gone'", 5),
+    _line("fk_parsed_movement_attempt", "'a-gone'", 6), _break("fk_product_first_attempt", "'p-'||p_partkey", "part where p_size = 49"),
+    _break("fk_sale_first_attempt", "'s-'||o_orderkey", "orders where o_orderpriority like '1%'"), _line("fk_sale_item_sale", "'s-gone'", 7),
+    _line("fk_sale_item_product", "'p-gone'", 8), _line("fk_sale_item_attempt", "'a-gone'", 9),
+]
+
+
+@query("vr11_all_rules", " union all ".join(BREAKS))
+def vr11_all_rules(spark, sf_dir):
+    """All ten tables of the data model, made from the given ones, with breaks of each of the thirty rules."""
+    given = {name: tb.table(spark, sf_dir, name) for name in ("supplier", "nation", "lineitem", "part", "orders")}
+    return constraint_audit({name: _select(spark, sql, given) for name, sql in _MODEL.items()})
+
+
+def _select(spark, sql: str, given: dict[str, DataFrame]) -> DataFrame:
+    """A query over frames by name, without registering views."""
+    return spark.sql(re.sub(r"\b(from|join) (supplier|nation|lineitem|part|orders)\b", r"\1 {\2}", sql), **given)
+
+
 # --- import history -----------------------------------------------------------------------------------
 
 HISTORY = f"""{movement_cte(True)},{FILES},
