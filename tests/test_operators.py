@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillmark.operators import bookkeeping as books
-from tillmark.operators import joins, publishing, validation
+from tillmark.operators import joins, paging, publishing, validation
 from tillmark.operators.series import hour_histogram, leader_share, series_summary
 from tillmark.sources.audits import constraint_audit, integrity_audit, orphan_files, rule_events
 from tillmark.sources.files import BatchRejected, check_batch, with_admission
@@ -261,6 +261,24 @@ def test_audit_scans_each_table_once(spark, tmp_path):
     )
 
 
+def test_far_pages(spark, monkeypatch):
+    """Page 100,000, ties, pages across ranges, the last page and pages behind it; only a small part is sorted at the end."""
+    rows = spark.range(1_000_500).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"), "id")
+    order = [F.desc("k"), F.col("id")]
+    want = sorted(((-r.k, r.id) for r in rows.toLocalIterator()))
+    for page, size in ((100_000, 10), (100_049, 10), (10_004, 100), (10_005, 100)):
+        content = paging.take_page(rows, order, page, size).content
+        assert [(-r.k, r.id) for r in content.collect()] == want[page * size : (page + 1) * size]
+    part, offset = paging.narrowed(rows, order, 1_000_000, 10)
+    assert part.count() <= paging.SMALL and offset < paging.SMALL
+    monkeypatch.setattr(paging, "SMALL", 50)  # several levels, and rows that cannot be told apart
+    monkeypatch.setattr(paging, "RANGES", 7)
+    few = spark.range(3_000).select(F.least("id", F.lit(2_000)).alias("k"), "id")
+    for offset in (0, 1_234, 1_990, 2_500):
+        part, left = paging.narrowed(few, [F.col("k")], offset, 20)
+        assert [r.k for r in part.orderBy("k").offset(left).limit(20).collect()] == [min(i, 2_000) for i in range(offset, offset + 20)]
+
+
 def test_series_summary(spark):
     def summary(*values):
         rows = spark.createDataFrame([(dt.date(2026, 1, i + 1), Decimal(v)) for i, v in enumerate(values)], "date date, v decimal(28,6)")

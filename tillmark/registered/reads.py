@@ -359,3 +359,14 @@ def sf10_sf11_decimal_texts(spark, sf_dir):
         "sale_id", "product_id", plain_text(F.col("total")).alias("plain"), stripped_text(F.col("total")).alias("stripped"),
         stripped_text(F.col("quantity")).alias("stripped_quantity"),
     )
+
+
+@query("tk3_far_page", """with r as (select l_orderkey, l_linenumber, l_shipdate, row_number() over (order by l_shipdate desc, l_orderkey, l_linenumber) - 1 i, count(*) over () n from lineitem)
+select l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') l_shipdate, i - (n // 200) * 100 as place from r where i // 100 = n // 200""")
+def tk3_far_page(spark, sf_dir):
+    """The page of a hundred lines in the middle of all lines, latest first."""
+    rows = tb.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    order = [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")]
+    page = take_page(rows, order, rows.count() // 200, 100).content
+    place = F.row_number().over(Window.orderBy(*order)) - 1  # at most a hundred rows
+    return page.select("l_orderkey", "l_linenumber", F.substring(F.col("l_shipdate").cast("string"), 1, 10).alias("l_shipdate"), place.cast("long").alias("place"))
