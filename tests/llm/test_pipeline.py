@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import test_mixing, test_ngram_join, test_quality
-from tillmark.llm import byte_bpe, line_chunks, mixing, quality
+from tillmark.llm import byte_bpe, line_chunks, mixing
 from tillmark.llm.queries import MIX_POWER, MIX_SEED
 
 
@@ -29,7 +29,6 @@ def without_repeats(rows):
 
 def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
     tiktoken = pytest.importorskip("tiktoken")
-    monkeypatch.setattr(quality, "LEAST", 10_000)
     rnd = random.Random(8)
     vocabulary = [f"w{i}" for i in range(500)]
     line = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
@@ -48,7 +47,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
-    judged = test_quality.by_hand([("all", t) for _, t, _ in rows])
+    judged = test_quality.by_hand([(("en", s), t) for _, t, s in rows])
     kept = [(i, t, s) for (i, t, s), j in zip(rows, judged) if j[-1]]
     texts = without_repeats([(i, t) for i, t, _ in kept])
     order = [i for i, _, _ in kept]

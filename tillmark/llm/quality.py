@@ -1,17 +1,20 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
 Only DataFrame functions. Each text gives a few counts; their transformed rates form a vector. For every language and
-source a minimum-covariance-determinant estimate gives centre and scatter: starting from coordinate-wise medians, each
-concentration step keeps the share of documents nearest to the current estimate and estimates again from those. Documents
-far from the final estimate are rejected.
-
-The steps run on a small table of vectors cut to the shared folder, aggregate by group with partial sums and exchange one
-row per group, so a source that holds a third of all rows is no heavier than the rest. Groups with too few documents use
-the estimate of their language, then of all documents; these rest on all sound documents of the language or the table, those
-of large groups too, and are made only where a group needs them.
-
-Null texts count as empty, null languages and sources as groups of their own. Repeated rows count as often as they occur.
-An empty table gives an empty result. Documents that fail a base rule take no part in the estimates.
+source, every language and the whole table a minimum-covariance-determinant estimate gives centre and scatter: from several
+starts, each concentration step keeps the share of documents nearest to the current estimate and estimates again from those;
+the start that ends with the least determinant counts, and its scatter is scaled for the share it rests on. A source is
+judged by its own estimate and that of its language, and this by its own and that of the table, weighted by their documents
+(n of them weigh n / (n + LEAST)), so small sources lean on their language without a step in size. Documents whose squared
+Mahalanobis distance lies beyond a quantile of the chi-square distribution are rejected.
+
+The steps run on a small table of vectors cut to the shared folder and aggregate by group with partial sums. What they
+exchange is one row per group, itself written, so the optimizer broadcasts it while it is small; no row of a document is
+dealt by its group, and a source that holds a third of all rows is no heavier than the rest.
+
+Null texts count as empty, null languages and sources as groups of their own. Repeated rows and ties count as often as they
+occur. Very long texts are one row of five counts like others. Columns but doc_id, text, lang and source are not read, so
+their names cannot clash. An empty table gives an empty result. Documents that fail a base rule take no part in the estimates.
 """
 
 from __future__ import annotations
@@ -23,10 +26,14 @@ from tillmark.llm.common import NOT_SPACE, SPACE, whole_text
 from tillmark.session import durable
 
 FEATURES = ("words", "length", "symbols", "lines", "repeats")
-#: Share of a group that an estimate rests on, concentration steps, and the least documents for an estimate of its own.
+#: Share of a group that an estimate rests on, concentration steps, and the documents at which a group weighs half.
 SHARE, STEPS, LEAST = 0.75, 6, 200
-#: Largest accepted squared distance.
-REACH = 60.0
+#: What the scatter of the nearest SHARE of normal vectors falls short by: SHARE / P(chi2(7) <= the SHARE quantile of chi2(5)).
+CONSISTENT = 1.413
+#: Largest accepted squared distance: the 1 - 1e-9 quantile of the chi-square distribution with five degrees.
+REACH = 50.8
+#: The coordinates each start looks at.
+STARTS = ((0, 1, 2, 3, 4), (0, 1), (2, 3, 4))
 #: Bins to a factor of e in the histogram that the share is read from.
 PER_E = 50
 
@@ -100,66 +107,51 @@ def vectors() -> dict[str, Column]:
     }
 
 
-#: Standard deviations added to every estimate: they keep a group of equal documents from rejecting all others, and say
-#: how far apart clean documents may lie in a statistic that hardly varies.
-FLOOR = {"words": 1.2, "length": 0.15, "symbols": 0.4, "lines": 1.0, "repeats": 0.8}
+#: Variances that counting alone gives the statistics, added to every estimate so that it can be inverted: of the words and
+#: their mean length in the shortest document, and of one symbol, line or window more in a document of 200 words.
+RIDGE = {"words": 0.02, "length": 0.005, "symbols": 0.16, "lines": 0.48, "repeats": 0.31}
+P = len(FEATURES)
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
-def _cells(sound: DataFrame) -> DataFrame:
-    """Per language and source the ``cell`` it is judged by, and the ``cells`` whose estimates its rows are part of.
+def _named(*columns: str) -> Column:
+    return F.to_json(F.array(*(F.coalesce(F.col(c), F.lit("\u0000")) for c in columns)))
 
-    A group below LEAST is judged by all sound rows of its language, and where these are too few by all sound rows.
-    """
 
-    def named(*columns: str) -> Column:
-        return F.to_json(F.array(*(F.coalesce(F.col(c), F.lit("\u0000")) for c in columns)))
+def _moments(rows: DataFrame) -> DataFrame:
+    """Per cell and start the mean ``m_*``, the scaled scatter ``s_*_*`` and the logarithm ``det`` of its determinant."""
+    sums = [F.avg(a).alias(f"m_{i}") for i, a in enumerate(FEATURES)]
+    sums += [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"r_{i}_{j}") for i, j in PAIRS]
+    out = rows.groupBy("cell", "start").agg(*sums)
+    scatter = {f"s_{i}_{j}": (F.col(f"r_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENT for i, j in PAIRS}
+    out = _factored(out.withColumns(scatter))
+    return out.withColumn("det", sum((F.log(F.col(f"c_{i}_{i}")) for i in range(P)), F.lit(0.0)))
 
-    sized = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    sized = sized.withColumn("own", named("lang", "source")).withColumn("wide", named("lang"))
-    wide = sized.groupBy("wide").agg(F.sum("n").alias("in_wide"))
-    sized = sized.join(wide, "wide")
-    cell = F.when(F.col("n") >= LEAST, F.col("own")).when(F.col("in_wide") >= LEAST, F.col("wide")).otherwise("")
-    judged = durable(sized.withColumn("cell", cell).select("lang", "source", "own", "wide", "cell"))
-    # only cells that judge a group are estimated
-    used = judged.select("cell").distinct()
-    part = judged.select("lang", "source", F.explode(F.array("own", "wide", F.lit(""))).alias("part")).join(used, F.col("part") == F.col("cell"))
-    part = part.groupBy(F.coalesce("lang", F.lit("\u0000")).alias("l"), F.coalesce("source", F.lit("\u0000")).alias("s")).agg(
-        F.collect_set("part").alias("cells")
-    )
-    same = (F.coalesce("lang", F.lit("\u0000")) == F.col("l")) & (F.coalesce("source", F.lit("\u0000")) == F.col("s"))
-    return judged.join(part, same).select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "cell", "cells")
-
-
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Per cell the mean ``m_*`` and the rows ``i_*_*`` of the inverse Cholesky factor of the floored covariance."""
-    p = len(FEATURES)
-    sums = [F.count("*").cast("double").alias("n")]
-    sums += [F.avg(a).alias(f"m_{i}") for i, a in enumerate(FEATURES)]
-    sums += [F.avg(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES[: i + 1])]
-    out = rows.groupBy("cell").agg(*sums)
-    for i in range(p):  # Cholesky factor, row by row
-        for j in range(i + 1):
-            value = F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")
-            for k in range(j):
-                value = value - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
-            if i == j:
-                value = F.sqrt(F.greatest(value, F.lit(0.0)) + F.lit(FLOOR[FEATURES[i]] ** 2))
-            else:
-                value = value / F.col(f"c_{j}_{j}")
-            out = out.withColumn(f"c_{i}_{j}", value)
-    for i in range(p):  # its inverse
-        for j in range(i + 1):
-            value = F.lit(1.0 if i == j else 0.0)
-            for k in range(j, i):
-                value = value - F.col(f"c_{i}_{k}") * F.col(f"i_{k}_{j}")
-            out = out.withColumn(f"i_{i}_{j}", value / F.col(f"c_{i}_{i}"))
-    return out.select("cell", *(f"m_{i}" for i in range(p)), *(f"i_{i}_{j}" for i in range(p) for j in range(i + 1)))
+
+def _factored(out: DataFrame) -> DataFrame:
+    """With the Cholesky factor ``c_*_*`` of scatter and RIDGE, and its inverse ``i_*_*``."""
+    for i, j in PAIRS:
+        value = F.col(f"s_{i}_{j}")
+        for k in range(j):
+            value = value - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
+        if i == j:
+            # what counting gives is a lower bound of what is left of each statistic's variance
+            value = F.sqrt(F.greatest(value, F.lit(0.0)) + F.lit(RIDGE[FEATURES[i]]))
+        else:
+            value = value / F.col(f"c_{j}_{j}")
+        out = out.withColumn(f"c_{i}_{j}", value)
+    for i, j in PAIRS:
+        value = F.lit(1.0 if i == j else 0.0)
+        for k in range(j, i):
+            value = value - F.col(f"c_{i}_{k}") * F.col(f"i_{k}_{j}")
+        out = out.withColumn(f"i_{i}_{j}", value / F.col(f"c_{i}_{i}"))
+    return out
 
 
 def _squared() -> Column:
-    """Squared Mahalanobis distance to the estimate of the cell."""
+    """Squared Mahalanobis distance to an estimate."""
     total = F.lit(0.0)
-    for i in range(len(FEATURES)):
+    for i in range(P):
         part = F.lit(0.0)
         for j in range(i + 1):
             part = part + F.col(f"i_{i}_{j}") * (F.col(FEATURES[j]) - F.col(f"m_{j}"))
@@ -168,31 +160,64 @@ def _squared() -> Column:
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
-    """Per cell the rows up to the smallest bin of ``off`` that has SHARE of them in it or below; from exact counts."""
+    """Per cell and start the rows up to the smallest bin of ``off`` that has SHARE of them in it or below; from exact counts."""
     rows = rows.withColumn("bin", F.floor(F.log(F.least(F.col("off"), F.lit(1e12)) + 1e-6) * PER_E))
-    bins = rows.groupBy("cell", "bin").agg(F.count("*").alias("n"))
-    below = Window.partitionBy("cell").orderBy("bin")
-    ranked = bins.withColumn("upto", F.sum("n").over(below)).withColumn("all", F.sum("n").over(Window.partitionBy("cell")))
-    edges = ranked.where(F.col("upto") >= SHARE * F.col("all")).groupBy("cell").agg(F.min("bin").alias("edge"))
-    return rows.join(edges, "cell").where(F.col("bin") <= F.col("edge"))
+    bins = rows.groupBy("cell", "start", "bin").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("cell", "start")  # a few thousand bins at most
+    ranked = bins.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("all", F.sum("n").over(of))
+    edges = durable(ranked.where(F.col("upto") >= SHARE * F.col("all")).groupBy("cell", "start").agg(F.min("bin").alias("edge")))
+    return rows.join(edges, ["cell", "start"]).where(F.col("bin") <= F.col("edge"))
+
+
+def _medians(rows: DataFrame, suffix: str, *more: Column) -> DataFrame:
+    columns = more or tuple(F.col(f) for f in FEATURES)
+    return durable(rows.groupBy("cell").agg(*(F.percentile_approx(c, 0.5, 10_000).alias(f"{suffix}_{f}") for f, c in zip(FEATURES, columns))))
+
+
+def estimates(sound: DataFrame) -> DataFrame:
+    """Per ``cell`` of ``cell`` and FEATURES the estimate of least determinant: ``m_*`` and ``s_*_*``."""
+    middle = _medians(sound, "q")
+    centred = sound.join(middle, "cell")
+    spread = _medians(centred, "d", *(F.abs(F.col(f) - F.col(f"q_{f}")) for f in FEATURES))
+    near = centred.join(spread, "cell")
+    off = [F.abs(F.col(f) - F.col(f"q_{f}")) / (1.4826 * F.col(f"d_{f}") + RIDGE[f] ** 0.5) for f in FEATURES]
+    starts = F.array(*(F.struct(F.lit(n).alias("start"), sum((off[i] for i in of), F.lit(0.0)).alias("off")) for n, of in enumerate(STARTS)))
+    near = near.select("cell", *FEATURES, F.explode(starts).alias("s")).select("cell", *FEATURES, "s.start", "s.off")
+    for _ in range(STEPS):
+        found = durable(_moments(_nearest(near)))
+        near = sound.join(found, "cell").withColumn("off", _squared()).select("cell", *FEATURES, "start", "off")
+    values = [f"m_{i}" for i in range(P)] + [f"s_{i}_{j}" for i, j in PAIRS]
+    best = found.groupBy("cell").agg(F.min(F.struct(F.round("det", 9), "start", *values)).alias("best"))
+    return durable(best.select("cell", *(F.col(f"best.{v}").alias(v) for v in values)))
+
+
+def _weighted(sound: DataFrame, found: DataFrame) -> DataFrame:
+    """Per language and source the estimate it is judged by: its own, its language's and the table's by their documents."""
+    sized = sound.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    sized = durable(sized.withColumn("own", _named("lang", "source")).withColumn("wide", _named("lang")))
+    total = sized.groupBy("wide").agg(F.sum("n").alias("n_wide"))
+    values = [c for c in found.columns if c != "cell"]
+    joined = sized.join(total, "wide")
+    for level in ("own", "wide"):
+        joined = joined.join(found.select(F.col("cell").alias(level), *(F.col(v).alias(f"{level}_{v}") for v in values)), level)
+    joined = joined.crossJoin(found.where("cell = ''").drop("cell"))  # one row
+    weight, outer = F.col("n") / (F.col("n") + LEAST), F.col("n_wide") / (F.col("n_wide") + LEAST)
+    mixed = {v: weight * F.col(f"own_{v}") + (1 - weight) * (outer * F.col(f"wide_{v}") + (1 - outer) * F.col(v)) for v in values}
+    out = _factored(joined.withColumns(mixed))
+    keep_columns = [f"m_{i}" for i in range(P)] + [f"i_{i}_{j}" for i, j in PAIRS]
+    return durable(out.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *keep_columns))
 
 
 def judge(stats: DataFrame, reach: float = REACH) -> DataFrame:
     """``stats`` (see :func:`base_counts`) with ``base_failed``, squared ``distance`` (null if failed) and ``kept``."""
     features = {name: F.when(~F.col("base_failed"), value) for name, value in vectors().items()}
     stats = durable(stats.withColumn("base_failed", base_failed()).withColumns(features))
-    cells = durable(_cells(stats.where(~F.col("base_failed"))))
+    sound = stats.where(~F.col("base_failed"))
+    cells = F.explode(F.array(_named("lang", "source"), _named("lang"), F.lit(""))).alias("cell")
+    found = estimates(durable(sound.select(cells, *FEATURES)))
+    groups = _weighted(sound, found)
     same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source"))
-    sound = durable(stats.where(~F.col("base_failed")).join(cells, same).select(F.explode("cells").alias("cell"), *FEATURES))
-
-    middle = sound.groupBy("cell").agg(*(F.percentile_approx(f, 0.5, 10_000).alias(f"q_{f}") for f in FEATURES))
-    off = sum((F.abs(F.col(f) - F.col(f"q_{f}")) / FLOOR[f] for f in FEATURES), F.lit(0.0))
-    near = sound.join(middle, "cell").withColumn("off", off)
-    for _ in range(STEPS):
-        estimate = durable(_estimate(_nearest(near.select("cell", "off", *FEATURES))))
-        near = sound.join(estimate, "cell").withColumn("off", _squared())
-
-    judged = stats.join(cells.drop("cells"), same, "left").join(estimate, "cell", "left").withColumn("distance", _squared())
+    judged = stats.join(groups, same, "left").withColumn("distance", F.when(~F.col("base_failed"), _squared()))
     kept = ~F.col("base_failed") & (F.col("distance") <= reach)
     return judged.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*stats.columns, "distance", "kept")
 
