@@ -1,23 +1,29 @@
 import hashlib
 import random
+from collections import Counter
 
 from tillmark.llm import line_chunks
 
 
 def by_hand(rows):
-    """Chunks by first occurrence, compared by their text."""
-    first, out = {}, {}
+    """Chunks by first occurrence, compared by their text; lines of first occurrences of what is repeated stay."""
+    first, times, out = {}, Counter(), {}
     for key, text in sorted(rows, key=lambda r: r[0]):
         for begin, end, _ in line_chunks.chunks(text or ""):
-            first.setdefault("\n".join((text or "").split("\n")[begin:end]), (key, begin))
+            chunk = "\n".join((text or "").split("\n")[begin:end])
+            first.setdefault(chunk, (key, begin))
+            times[chunk] += 1
     for key, text in rows:
-        lines, drop, n = (text or "").split("\n"), set(), 0
+        lines, drop, stay, n = (text or "").split("\n"), set(), set(), 0
         for begin, end, _ in line_chunks.chunks(text or ""):
-            if first["\n".join(lines[begin:end])] != (key, begin):
+            chunk = "\n".join(lines[begin:end])
+            if first[chunk] != (key, begin):
                 drop |= set(range(begin, end))
                 n += 1
-        kept = "\n".join(line for i, line in enumerate(lines) if i not in drop)
-        out[key] = (len(lines), n, len(drop), hashlib.sha256(kept.encode()).hexdigest())
+            elif times[chunk] > 1:
+                stay |= set(range(begin, end))
+        kept = "\n".join(line for i, line in enumerate(lines) if i not in drop - stay)
+        out[key] = (len(lines), n, len(drop - stay), kept)
     return out
 
 
@@ -34,7 +40,7 @@ def test_repeated_chunks_go(spark, documents):
     texts.append("\n".join(passage * 300))
     df = documents(texts)
     got = {r["doc_id"]: (r["n_lines"], r["n_removed_chunks"], r["n_removed_lines"], r["kept_sha256"]) for r in line_chunks.report(df).collect()}
-    want = by_hand(list(enumerate(texts, 1)))
+    want = {k: (*v, hashlib.sha256(kept.encode()).hexdigest()) for k, (*v, kept) in by_hand(list(enumerate(texts, 1))).items()}
     assert got == want
     assert sum(w[1] for w in want.values()) > 100
     cleaned = line_chunks.clean(df)
@@ -43,6 +49,26 @@ def test_repeated_chunks_go(spark, documents):
     assert row["n_chars"] == len(row["text"]) < len(texts[-1])
 
 
+def test_what_goes_still_stands_where_it_came_first(documents):
+    texts = ["A\nB", "A\nB\nC", "B\nC\nD", "C\nD", "x\nx\nx", "x\nx"]
+    left = {r["doc_id"]: r["text"] for r in line_chunks.clean(documents(texts)).collect()}
+    assert left == {1: "A\nB", 2: "B\nC", 3: "C\nD", 4: "", 5: "x\nx", 6: ""}
+    rnd = random.Random(11)
+    texts = ["\n".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 9))) for _ in range(80)]
+    stay = [r["text"] for r in line_chunks.clean(documents(texts)).collect()]
+    for text in texts:
+        lines = text.split("\n")
+        for first, end, _ in line_chunks.chunks(text):
+            assert any(f"\n{chr(10).join(lines[first:end])}\n" in f"\n{other}\n" for other in stay)
+
+
+def test_rows_of_one_doc_id(spark):
+    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "q\na\nb"), (2, "b\nc\nz"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"] or "") for r in line_chunks.clean(df).collect())
+    assert got == [(1, "a\nb\nc"), (1, "a\nb\nc"), (1, "q"), (2, ""), (2, "z")]
+
+
 def test_boundaries_do_not_shift():
     rnd = random.Random(5)
     lines = [f"line {rnd.random()}" for _ in range(200)]

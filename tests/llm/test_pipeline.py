@@ -7,24 +7,14 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tests.llm import test_mixing, test_ngram_join, test_quality
-from tillmark.llm import byte_bpe, line_chunks, mixing
+from tests.llm import test_line_chunks, test_mixing, test_ngram_join, test_quality
+from tillmark.llm import byte_bpe, mixing
 from tillmark.llm.queries import MIX_POWER, MIX_SEED
 
 
 def without_repeats(rows):
     """(doc_id, text) -> text without chunks seen before."""
-    first, out = {}, {}
-    for key, text in sorted(rows):
-        for begin, end, _ in line_chunks.chunks(text):
-            first.setdefault("\n".join(text.split("\n")[begin:end]), (key, begin))
-    for key, text in rows:
-        lines, drop = text.split("\n"), set()
-        for begin, end, _ in line_chunks.chunks(text):
-            if first["\n".join(lines[begin:end])] != (key, begin):
-                drop |= set(range(begin, end))
-        out[key] = "\n".join(line for i, line in enumerate(lines) if i not in drop)
-    return out
+    return {key: kept for key, (*_, kept) in test_line_chunks.by_hand(rows).items()}
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):

@@ -4,15 +4,17 @@ A text is a list of lines. Every line with words begins a chunk, which ends behi
 over the lines, and chunks overlap. Where a chunk lies thus depends on nothing but its own lines: any passage of two or more
 lines with words that occurs again is made of the same chunks, whatever stands before or behind it. A chunk that occurs
 again anywhere is removed there, after its bytes are compared with those of its first occurrence (smallest doc_id, then
-place). Of every line that goes an equal line stays. As chunks overlap, lines of a first occurrence can go with a repeated
-chunk beside it: of a line written three times in a row one copy is left.
+place). The lines of a first occurrence stay, also where a repeated chunk reaches into them, so every chunk that goes still
+stands whole where it came first: of a line written three times in a row two copies are left.
 
 Only chunk digests are grouped over all documents, with partial minima, so a passage in a third of all documents makes no
-heavy group; texts of repeated chunks alone are shuffled for the comparison.
+heavy group; texts of repeated chunks alone are shuffled for the comparison. A very long text is one row; its chunks are
+dealt by digest like those of others.
 
 Lines without words count as part of a chunk only between its two lines with words, and then have to be equal too. Null and
 empty texts have no chunks and stay as they are. Rows that share a doc_id are told apart by digest: a chunk goes where place
-and digest are both on the list. Repeated rows of one doc_id are one occurrence. Other columns are kept.
+and digest are both on the list. Repeated rows of one doc_id are one occurrence. Other columns are kept, whatever their
+names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, digest`` of every chunk to remove."""
+    """``doc_id, place, digest`` of every chunk to remove, and with ``leads`` of every first occurrence to keep."""
     listed = durable(_listed(docs))
     at = F.struct("doc_id", "place")
     leads = listed.groupBy("digest").agg(F.min(at).alias("lead"), F.max(at).alias("last")).where("lead < last")
@@ -88,15 +90,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = cut(_texts(texts.join(wanted, "doc_id")).distinct())
     first = found.where("leads").select("digest", F.col("bytes").alias("first_bytes"))
     same = found.where("not leads").join(first, "digest").where(F.col("bytes") == F.col("first_bytes"))
-    return same.select("doc_id", "place", "digest")
+    columns = ["doc_id", "place", "digest", "leads"]
+    return same.select(*columns).unionByName(found.where("leads").select(*columns))
 
 
 def _without(text: str, cuts: list[dict]) -> tuple[str, int, int]:
-    """The text without the listed chunks, and how many chunks and lines went."""
-    gone = {(c["place"], c["digest"]) for c in cuts}
+    """The text without the listed chunks but for lines of first occurrences, and how many chunks and lines went."""
+    listed = {(c["place"], c["digest"]): c["leads"] for c in cuts}
     lines = text.encode().split(b"\n")
-    spans = [(first, end) for first, end, digest in chunks(text) if (first, digest) in gone]
-    drop = {i for first, end in spans for i in range(first, end)}
+    found = [(first, end, listed[first, digest]) for first, end, digest in chunks(text) if (first, digest) in listed]
+    spans = [(first, end) for first, end, leads in found if not leads]
+    stay = {i for first, end, leads in found if leads for i in range(first, end)}
+    drop = {i for first, end in spans for i in range(first, end)} - stay
     left = b"\n".join(line for i, line in enumerate(lines) if i not in drop)
     return left.decode(), len(spans), len(drop)
 
@@ -112,11 +117,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     @F.arrow_udf(RESULT)
     def left(text: pa.Array, cuts: pa.Array) -> pa.Array:
         kind = pa.struct([("text", pa.string()), ("chunks", pa.int64()), ("lines", pa.int64())])
-        done = [c and _without(t, c) for t, c in zip(text.to_pylist(), cuts.to_pylist())]  # null where nothing is listed
+        rows = zip(text.to_pylist(), cuts.to_pylist())
+        done = [_without(t, c) if c and t is not None else None for t, c in rows]  # null where nothing is listed
         return pa.array([d and dict(zip(("text", "chunks", "lines"), d)) for d in done], kind)
 
-    gone = repeated(docs).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("place", "digest")).alias("gone_chunks"))
-    gone = cut(gone)
+    listed = F.collect_list(F.struct("place", "digest", "leads")).alias("gone_chunks")
+    some = F.bool_or(~F.col("leads")).alias("some")
+    gone = cut(repeated(docs).groupBy(F.col("doc_id").alias("of")).agg(listed, some).where("some").drop("some"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["of"], "left")
     text = F.when(gone["of"].isNotNull(), docs["text"].cast("string"))
     return joined.select(*(docs[c] for c in docs.columns), left(text, gone["gone_chunks"]).alias(CUT))
