@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from tillmark.llm.common import arrow_map, texts_of, whole_text
 
-#: Matches whose ids a worker keeps; when full the table starts anew. Only speed depends on it.
-KEPT_MATCHES = 600_000
+#: Bytes of matches, their ids and what they decode to that a task keeps; released when it ends.
+KEPT_BYTES = 96 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,24 +93,48 @@ class ByteCodec:
         )
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.matches = splitter(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.forget()
         back = {letter: b for b, letter in enumerate(letters)}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for letters_of_token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_of[rank] = bytes(back[c] for c in letters_of_token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
+    def forget(self) -> None:
+        """Empty the caches: ids and decoded bytes of matches, KEPT_BYTES at most."""
+        self.known: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.kept = 0
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode matches, and decode what they became, once for all their occurrences."""
+        table = self.bytes_of
+        for match, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            ids = encoding.ids
+            self.known[match] = np.array(ids, dtype="<u4").tobytes()
+            self.plain[match] = b"".join([table[i] for i in ids])
+            self.kept += 350 + 3 * len(match) + 4 * len(ids)
+
+    def _found(self, text: str) -> tuple[list[str], list[bytes]]:
+        """The matches of a text and the ids of each."""
         found = self.matches(text)
-        known = self.known
-        fresh = [m for m in dict.fromkeys(found) if m not in known]
-        if fresh:
-            if len(known) + len(fresh) > KEPT_MATCHES:
-                known = self.known = {}
-                fresh = list(dict.fromkeys(found))
-            for match, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[match] = np.array(encoding.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, found)), dtype="<u4")
+        ids = list(map(self.known.get, found))
+        if None in ids:
+            fresh = list({match for match, known in zip(found, ids) if known is None})
+            if self.kept > KEPT_BYTES:
+                self.forget()
+                fresh = list(set(found))
+            self._learn(fresh)
+            ids = list(map(self.known.__getitem__, found))
+        return found, ids
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self._found(text)[1]), dtype="<u4")
+
+    def there_and_back(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a text (little-endian, 32 bits) and the bytes they decode to, match by match."""
+        found, ids = self._found(text)
+        return b"".join(ids), b"".join(map(self.plain.__getitem__, found))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids; a character split over tokens is whole again."""
@@ -130,18 +154,20 @@ class ByteCodec:
 _CODECS: dict[tuple[str, str], ByteCodec] = {}
 
 
+def _kept_codec(name: tuple[str, str], shared: object, pattern: str) -> ByteCodec:
+    """A function of the module, not a closure: closures travel with a copy of the table and would build a codec per task."""
+    if name not in _CODECS:
+        _CODECS[name] = ByteCodec(shared.value, pattern)
+    return _CODECS[name]
+
+
 def _codec(docs: DataFrame, path: str, pattern: str) -> Callable[[], ByteCodec]:
     """The rank file travels with the job, so workers need no file of the driver's; a worker builds its codec once."""
     ranks = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     name = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), pattern
 
-    def own() -> ByteCodec:
-        if name not in _CODECS:
-            _CODECS[name] = ByteCodec(shared.value, pattern)
-        return _CODECS[name]
-
-    return own
+    return lambda: _kept_codec(name, shared, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -157,6 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", column
             spans = [own.offsets(t, i) for t, i in zip(texts, ids)]
             yield {"key": batch.column("key"), "ids": ids, "starts": [s[0] for s in spans], "ends": [s[1] for s in spans]}
 
+        work.close = own.forget
         return work
 
     kind = docs.schema[key].dataType.simpleString()
@@ -190,14 +217,15 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-            ids = [own.encode(t) for t in texts_of(batch)]
+            both = [own.there_and_back(t) for t in texts_of(batch)]
             yield {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": [len(i) for i in ids],
-                "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids],
-                "decoded_sha256": [hashlib.sha256(own.decode(i)).hexdigest() for i in ids],
+                "n_tokens": [len(ids) // 4 for ids, _ in both],
+                "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids, _ in both],
+                "decoded_sha256": [hashlib.sha256(decoded).hexdigest() for _, decoded in both],
             }
 
+        work.close = own.forget
         return work
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))

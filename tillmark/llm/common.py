@@ -34,7 +34,8 @@ def arrow_map(
     """``mapInArrow`` with bounded slices.
 
     ``start`` runs once per task and gives the function that turns a slice of at most ``rows`` rows into any number of
-    column dictionaries; they get the types of ``schema``.
+    column dictionaries; they get the types of ``schema``. Where that function has a ``close``, it is called when the task
+    ends, so that a reused worker does not keep what the task had cached.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -43,14 +44,17 @@ def arrow_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
-            for first in range(0, batch.num_rows, rows):
-                for columns in work(batch.slice(first, rows)):
-                    arrays = [
-                        columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
-                        for f in target
-                    ]
-                    yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, rows):
+                    for columns in work(batch.slice(first, rows)):
+                        arrays = [
+                            columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
+                            for f in target
+                        ]
+                        yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        finally:
+            getattr(work, "close", lambda: None)()
 
     return df.mapInArrow(run, schema)
 

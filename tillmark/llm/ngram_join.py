@@ -38,6 +38,8 @@ PROFILE = 256
 #: Fragments of the order, rows of a prefix partition, rounds of one node against the others.
 FRAGMENTS, PART_ROWS, ROUNDS = 8, 400_000, 2
 
+#: Hashes of words, known to a worker while a task runs: KEPT words at most, about 200 bytes each.
+KEPT = 250_000
 _WORDS: dict[bytes, int] = {}
 
 
@@ -51,6 +53,11 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
 
 
+def _forget() -> None:
+    """Called when a task ends, so that a reused worker keeps no words; closures travel with their own copy of the table."""
+    _WORDS.clear()
+
+
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
     """Sorted hashes of the distinct word n-grams of a text."""
     words = text.encode().lower().split()
@@ -58,7 +65,7 @@ def shingles(text: str, size: int = WORDS) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     if len(words) < size:
         return np.array([_hash(b" ".join(words))], dtype=np.uint64)
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > KEPT:
         _WORDS.clear()
     for word in set(words).difference(_WORDS):
         _WORDS[word] = _hash(word)
@@ -106,6 +113,7 @@ def _surveyed(docs: DataFrame) -> DataFrame:
         if counts.any():
             blocks = [b.tobytes() for b in counts.reshape(-1, BLOCK)]
             yield rows(len(blocks), block=range(len(blocks)), counts=blocks)
+        _forget()
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, n bigint, node bigint, profile binary, block int, counts binary")
@@ -164,6 +172,7 @@ def _prefixes(docs: DataFrame, ranks: object, parts: int) -> DataFrame:
                     size = 0
         if held:
             yield packed()
+        _forget()
 
     rows = docs.select(whole_text().alias("text"))
     return rows.mapInArrow(run, "part int, grams binary, nodes binary, sizes binary")
@@ -228,6 +237,7 @@ def _segments(docs: DataFrame, ranks: object, cuts: np.ndarray) -> DataFrame:
                 [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))],
                 names=["node", "fragment", "grams"],
             )
+        _forget()
 
     return docs.mapInArrow(run, "node bigint, fragment int, grams binary")
 
