@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from tillmark.llm.common import arrow_map, texts_of, whole_text
 
-#: Bytes of matches, their ids and what they decode to that a task keeps; released when it ends.
-KEPT_BYTES = 96 << 20
+#: Bytes of matches and their ids that a task keeps; released when it ends.
+KEPT_BYTES = 144 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,40 +101,21 @@ class ByteCodec:
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
 
     def forget(self) -> None:
-        """Empty the caches: ids and decoded bytes of matches, KEPT_BYTES at most."""
+        """Empty the cache: matches and their ids, about KEPT_BYTES at most."""
         self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
         self.kept = 0
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode matches, and decode what they became, once for all their occurrences."""
-        table = self.bytes_of
-        for match, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            ids = encoding.ids
-            self.known[match] = np.array(ids, dtype="<u4").tobytes()
-            self.plain[match] = b"".join([table[i] for i in ids])
-            self.kept += 350 + 3 * len(match) + 4 * len(ids)
-
-    def _found(self, text: str) -> tuple[list[str], list[bytes]]:
-        """The matches of a text and the ids of each."""
+    def encode(self, text: str) -> np.ndarray:
         found = self.matches(text)
-        ids = list(map(self.known.get, found))
-        if None in ids:
-            fresh = list({match for match, known in zip(found, ids) if known is None})
+        fresh = [m for m in dict.fromkeys(found) if m not in self.known]
+        if fresh:
             if self.kept > KEPT_BYTES:
                 self.forget()
-                fresh = list(set(found))
-            self._learn(fresh)
-            ids = list(map(self.known.__getitem__, found))
-        return found, ids
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self._found(text)[1]), dtype="<u4")
-
-    def there_and_back(self, text: str) -> tuple[bytes, bytes]:
-        """The ids of a text (little-endian, 32 bits) and the bytes they decode to, match by match."""
-        found, ids = self._found(text)
-        return b"".join(ids), b"".join(map(self.plain.__getitem__, found))
+                fresh = list(dict.fromkeys(found))
+            for match, encoding in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+                self.known[match] = np.array(encoding.ids, dtype="<u4").tobytes()
+                self.kept += 200 + 2 * len(match) + 4 * len(encoding.ids)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, found)), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids; a character split over tokens is whole again."""
@@ -217,12 +198,12 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-            both = [own.there_and_back(t) for t in texts_of(batch)]
+            ids = [own.encode(t) for t in texts_of(batch)]
             yield {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": [len(ids) // 4 for ids, _ in both],
-                "ids_sha256": [hashlib.sha256(ids).hexdigest() for ids, _ in both],
-                "decoded_sha256": [hashlib.sha256(decoded).hexdigest() for _, decoded in both],
+                "n_tokens": [len(i) for i in ids],
+                "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids],
+                "decoded_sha256": [hashlib.sha256(own.decode(i)).hexdigest() for i in ids],
             }
 
         work.close = own.forget
