@@ -24,55 +24,55 @@ def check(spark, cases, column, kind="string"):
 
 def test_brazilian_decimal(spark):
     cases = [
-        ("R$ 56,90", "56.90"), ("3.013,07", "3013.07"), ("52,986", "52.986"), ("12.34", "12.34"), (None, None),
-        ("", None), ("  ", None), ("-", None), ("+", None), (".", None), ("not-a-number", None), ("5-", "-5"),
-        ("1,2,3", None), ("-5-", None), ("r$7", "7"), ("1 234,5 kg", "1234.5"), ("1e5", "15"), ("+3", "3"), ("a R$ 2", "2"),
+        ("R$ 4,05", "4.05"), ("87.654,32", "87654.32"), ("6,125", "6.125"), ("0.75", "0.75"), (None, None), ("", None), ("\t", None),
+        ("+-", None), ("abc", None), ("71-", "-71"), ("4,5,6,7", None), ("-8-", None), ("r$9,1", "9.1"), ("2 000,25 un", "2000.25"),
+        ("3e2", "32"), ("+64", "64"), ("total R$ 15", "15"),
     ]
     check(spark, [(t, None if v is None else Decimal(v).quantize(Decimal("0.000001"))) for t, v in cases], numbers.parse_brazilian_decimal)
 
 
 def test_display_texts(spark):
-    check(spark, [("3013.07", "R$ 3.013,07"), ("21.78", "R$ 21,78"), ("-1.5", "R$ -1,50"), (None, "—"), ("", "—"), ("junk", "—")], numbers.money_text)
+    check(spark, [("45210.9", "R$ 45.210,90"), ("7.05", "R$ 7,05"), ("-320.4", "R$ -320,40"), (None, "—"), ("", "—"), ("x1", "—")], numbers.money_text)
     check(
         spark,
-        [("52.986", "52,986"), ("0.416", "0,416"), ("1000", "1.000"), ("10.500", "10,5"), ("-1.25", "-1,25"), (None, "—")],
+        [("7.125", "7,125"), ("0.008", "0,008"), ("25000", "25.000"), ("3.400", "3,4"), ("-6.05", "-6,05"), (None, "—")],
         numbers.quantity_text,
     )
-    check(spark, [("8", "8%"), ("8.00", "8%"), ("8.50", "8.5%"), ("10", "10%"), (None, "—")], numbers.percent_text)
-    check(spark, [(1234, "1.234"), (-12, "-12"), (0, "0")], numbers.integer_text, "bigint")
-    check(spark, [("2026-07-19T13:07:03", "19/07/2026 13:07:03"), ("2026-07-19T13:07", "19/07/2026 13:07"), (None, "—"), ("not-iso", "not-iso")], times.local_time_text)
-    check(spark, [("2026-07-19", "19/07/2026"), (None, "—"), ("bad", "bad")], times.local_date_text)
-    check(spark, [("2026-07-19T13:07", "19/07/2026 13:07"), (None, ""), ("not-iso", "not-iso")], times.time_input_text)
+    check(spark, [("15", "15%"), ("15.000", "15%"), ("2.250", "2.25%"), ("30", "30%"), (None, "—")], numbers.percent_text)
+    check(spark, [(987654, "987.654"), (-5, "-5"), (0, "0")], numbers.integer_text, "bigint")
+    check(spark, [("2025-11-30T06:45:09", "30/11/2025 06:45:09"), ("2025-11-30T06:45", "30/11/2025 06:45"), (None, "—"), ("yesterday", "yesterday")], times.local_time_text)
+    check(spark, [("2025-11-30", "30/11/2025"), (None, "—"), ("soon", "soon")], times.local_date_text)
+    check(spark, [("2025-11-30T06:45", "30/11/2025 06:45"), (None, ""), ("soon", "soon")], times.time_input_text)
 
 
 def test_plain_and_stripped(spark):
-    rows = spark.sql("select 1 i, cast(10.840 as decimal(19,3)) a, cast(10 as decimal(19,0)) b, cast(1.50 as decimal(3,2)) c, cast(100 as decimal(19,6)) d")
+    rows = spark.sql("select 1 i, cast(7.250 as decimal(19,3)) a, cast(40 as decimal(19,0)) b, cast(2.30 as decimal(3,2)) c, cast(300 as decimal(19,6)) d")
     got = rows.select(*[numbers.stripped_text(F.col(c)) for c in "abcd"]).first()
-    assert list(got) == ["10.84", "10", "1.5", "100"]
-    assert rows.select(numbers.plain_text(F.col("d"))).first()[0] == "100.000000"
+    assert list(got) == ["7.25", "40", "2.3", "300"]
+    assert rows.select(numbers.plain_text(F.col("d"))).first()[0] == "300.000000"
 
 
 def test_sum_of_texts(spark):
-    rows = spark.createDataFrame([("0.510",), ("0.416",), (None,), ("junk",), (" 5",)], "x string")
-    assert rows.agg(numbers.sum_of_texts(F.col("x"))).first()[0] == Decimal("0.926")
+    rows = spark.createDataFrame([("1.250",), ("0.305",), (None,), ("n/a",), (" 8",)], "x string")
+    assert rows.agg(numbers.sum_of_texts(F.col("x"))).first()[0] == Decimal("1.555")
     assert rows.limit(0).agg(numbers.sum_of_texts(F.col("x"))).first()[0] == 0
 
 
 def test_time_input(spark):
     cases = [
-        ("19/07/2026 13:07", "2026-07-19T13:07"), ("19/07/2026 13:07:03", "2026-07-19T13:07:03"), ("1/7/2026 9:5:3", "2026-07-01T09:05:03"),
-        ("2026-07-19T13:07", "2026-07-19T13:07"), ("", ""), ("  ", ""), ("19/07/2026", None), ("31/02/2026 13:07", None),
-        ("29/02/2024 13:07", "2024-02-29T13:07"), ("29/02/1900 13:07", None), ("31/04/2026 13:07", None), ("19/07/2026 24:00", None),
-        ("19/07/2026 13:60", None), ("19/07/2026 13:07:60", None), ("19/07/2026 13:07 junk", None), ("2026-7-19T13:07", None),
+        ("30/11/2025 06:45", "2025-11-30T06:45"), ("30/11/2025 06:45:09", "2025-11-30T06:45:09"), ("5/3/2025 4:7:1", "2025-03-05T04:07:01"),
+        ("2025-11-30T06:45", "2025-11-30T06:45"), ("", ""), ("\t", ""), ("30/11/2025", None), ("30/02/2025 06:45", None),
+        ("29/02/2028 23:59", "2028-02-29T23:59"), ("29/02/2100 06:45", None), ("31/06/2025 06:45", None), ("30/11/2025 24:30", None),
+        ("30/11/2025 06:61", None), ("30/11/2025 06:45:75", None), ("30/11/2025 06:45 h", None), ("2025-1-30T06:45", None),
     ]
     check(spark, cases, times.parse_time_input)
     check(
-        spark, [("19/07/2026 13:07", "2026-07-19T13:07:59"), ("19/07/2026 13:07:03", "2026-07-19T13:07:03")],
+        spark, [("30/11/2025 06:45", "2025-11-30T06:45:59"), ("30/11/2025 06:45:09", "2025-11-30T06:45:09")],
         lambda c: times.parse_time_input(c, True),
     )
-    check(spark, [("not-a-date", ""), (None, ""), ("19/07/2026 13:07", "2026-07-19T13:07")], times.normalize_time_filter)
+    check(spark, [("tomorrow", ""), (None, ""), ("30/11/2025 06:45", "2025-11-30T06:45")], times.normalize_time_filter)
     pairs = spark.createDataFrame(
-        [("2026-07-02T00:00", "2026-07-01T23:59:59", True), ("2026-07-01T00:00", "2026-07-01T00:00:59", False), ("", "2026-07-01T00:00:59", False)],
+        [("2025-05-10T08:00", "2025-05-10T07:59:59", True), ("2025-05-10T08:00", "2025-05-10T08:00:59", False), ("", "2025-05-10T08:00:59", False)],
         "a string, b string, w boolean",
     )
     assert all(r[0] == r[1] for r in pairs.select(times.range_inverted(F.col("a"), F.col("b")), "w").collect())
@@ -83,7 +83,7 @@ def test_report_time_has_no_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        cases = [("07/08/2026 12:22:13", "2026-08-07T12:22:13"), ("21/10/2018 00:30:00", "2018-10-21T00:30:00"), ("31/02/2026 10:00:00", None), ("7/8/2026 12:22:13", None), ("07/08/2026 12:22:60", None)]
+        cases = [("30/11/2025 06:45:09", "2025-11-30T06:45:09"), ("04/11/2018 00:15:00", "2018-11-04T00:15:00"), ("30/02/2025 10:00:00", None), ("3/1/2025 06:45:09", None), ("30/11/2025 06:45:61", None)]
         split = lambda c: times.iso_text(times.parse_report_time(F.split(c, " ")[0], F.split(c, " ")[1]))
         check(spark, cases, split)
     finally:
@@ -98,9 +98,9 @@ def test_open_bounds(spark):
 
 def test_filename_hints(spark):
     names = [
-        "AUDITORIA 41, 01_07-20_07.QRP", "AUDITORIA.QRP", "AUDITORIA JULHO FINAL.QRP", None, "???@@@", "relatorio_20_07.QRP",
-        "AUDITORIA 01/07-20/07.QRP", "relatorio 20/07.QRP", "folder/AUDITORIA 01/07-20/07.QRP", "folder\\relatorio_20_07.QRP",
-        "/relatorio_20_07.QRP", "relatorio_20_07.QRP/", "x_00_07.QRP", "x_01_00.QRP", "x_32_07.QRP", "x_01_13.QRP", "AUDITORIA", ".qrp",
+        "AUDITORIA 872, 05_03-18_04.QRP", "AUDITORIA.qrp", "AUDITORIA ANUAL.QRP", None, "###", "fechamento_18_04.QRP",
+        "AUDITORIA 05/03-18/04.QRP", "fechamento 18/04.QRP", "dir/AUDITORIA 05/03-18/04.QRP", "dir\\fechamento_18_04.QRP",
+        "/fechamento_18_04.QRP", "fechamento_18_04.QRP/", "y_00_04.QRP", "y_05_00.QRP", "y_40_04.QRP", "y_05_14.QRP", "AUDITORIA", ".QRP",
     ]
     got = values(spark, names, hints.filename_hints)
     empty = values(spark, names, lambda c: hints.hints_empty(hints.filename_hints(c)))
@@ -108,11 +108,11 @@ def test_filename_hints(spark):
         (h.productCodeHint, h.periodHint and (h.periodHint.start.day, h.periodHint.start.month, h.periodHint.end.day, h.periodHint.end.month),
          h.singleDateHint and (h.singleDateHint.day, h.singleDateHint.month)) for h in got
     ]
-    period = (1, 7, 20, 7)
+    period, day = (5, 3, 18, 4), (18, 4)
     none = (None, None, None)
     assert shown == [
-        ("41", period, None), none, none, none, none, (None, None, (20, 7)), ("01", period, None), (None, None, (20, 7)),
-        ("01", period, None), (None, None, (20, 7)), (None, None, (20, 7)), none, none, none, none, none, none, none,
+        ("872", period, None), none, none, none, none, (None, None, day), ("05", period, None), (None, None, day),
+        ("05", period, None), (None, None, day), (None, None, day), none, none, none, none, none, none, none,
     ]
     assert empty == [s == none for s in shown]
     assert got[3].originalFilename == "" and got[0].provenance == "INFERRED_DATA"
@@ -120,21 +120,21 @@ def test_filename_hints(spark):
 
 
 def test_hints_document(spark):
-    text = values(spark, ["a_20_07.QRP"], lambda c: hints.hints_json(hints.filename_hints(c)))[0]
+    text = values(spark, ["z_18_04.QRP"], lambda c: hints.hints_json(hints.filename_hints(c)))[0]
     assert text == (
-        '{"originalFilename":"a_20_07.QRP","provenance":"INFERRED_DATA","productCodeHint":null,"periodHint":null,'
-        '"singleDateHint":{"day":20,"month":7,"year":null}}'
+        '{"originalFilename":"z_18_04.QRP","provenance":"INFERRED_DATA","productCodeHint":null,"periodHint":null,'
+        '"singleDateHint":{"day":18,"month":4,"year":null}}'
     )
-    check(spark, [("nope", "nope"), (None, None), ('{"a": 1}', '{"a":1}'), ("[1, 2]", "[1,2]")], hints.read_hints)
-    assert values(spark, [text], hints.typed_hints)[0].singleDateHint.month == 7
+    check(spark, [("plain", "plain"), (None, None), ('{"k": [2]}', '{"k":[2]}'), ("[3, 4]", "[3,4]")], hints.read_hints)
+    assert values(spark, [text], hints.typed_hints)[0].singleDateHint.month == 4
 
 
 def test_statuses_and_marks(spark):
     check(spark, [("Info", "VALID"), ("Warning", "WARNING"), ("Error", "INVALID"), ("Fatal", "INVALID"), ("99", "INVALID")], marks.validation_status)
     check(spark, [("VALID", "IMPORTED"), ("WARNING", "WARNING"), ("INVALID", "INVALID"), ("FAILED", "FAILED"), ("PENDING", "FAILED")], marks.file_status)
-    message = "sourceValue=1 calculatedValue=1 difference=0 tolerance=0.001 ruleVersion=v1 extra=1"
-    check(spark, [(message, "v1"), ("no-kv", None)], lambda c: marks.message_value(c, "ruleVersion"))
-    check(spark, [(message, Decimal("0.001000"))], lambda c: marks.message_number(c, "tolerance"))
+    message = "sourceValue=5 calculatedValue=4 difference=1 tolerance=0.02 ruleVersion=r7 note=2"
+    check(spark, [(message, "r7"), ("plain words", None)], lambda c: marks.message_value(c, "ruleVersion"))
+    check(spark, [(message, Decimal("0.020000"))], lambda c: marks.message_number(c, "tolerance"))
     check(spark, [("a" * 64, "aa/aa/" + "a" * 64), ("abc", None)], marks.storage_key)
     row = spark.sql("select cast(null as int) n, 1 p, 2 r, 3L b, 'y=9' d, cast(null as string) e")
     assert row.select(marks.locator_text(*[F.col(c) for c in "nnne"])).first()[0] == "SourceLocator[page=null, recordIndex=null, byteOffset=null, detail=null]"
@@ -144,7 +144,7 @@ def test_statuses_and_marks(spark):
 
 
 def test_average_rounds_half_away_from_zero(spark):
-    cases = [("10.00", 4, "2.50"), ("0.25", 2, "0.13"), ("-0.25", 2, "-0.13"), ("3705.88", 108, "34.31"), ("100.00", 3, "33.33"), ("0.00", 5, "0.00"), ("5.00", 0, None)]
+    cases = [("10.00", 4, "2.50"), ("0.25", 2, "0.13"), ("-0.25", 2, "-0.13"), ("1250.55", 36, "34.74"), ("100.00", 3, "33.33"), ("0.00", 5, "0.00"), ("5.00", 0, None)]
     rows = spark.createDataFrame([(i, Decimal(a), n) for i, (a, n, _) in enumerate(cases)], "i int, a decimal(38,2), n bigint")
     got = [r[0] for r in rows.orderBy("i").select(ratio_to_cents(F.col("a"), F.col("n")).cast("string")).collect()]
     assert got == [w for _, _, w in cases]
