@@ -1,7 +1,7 @@
 import hashlib
 import re
 from collections import Counter
-from math import log
+from math import log, sqrt
 
 from tillmark.llm import private_data
 
@@ -33,10 +33,17 @@ def base(text):
 def words_of(text):
     for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
         word = re.sub(r"^[\W_]+|[\W_]+$", "", m.group().lower())
-        if len(word) >= private_data.TERM_CHARS:
+        if word:
             yield m.start() + m.group().lower().index(word), word
 
 
+def wilson(hits, count):
+    """The smaller root of (hits / count - x)^2 = z^2 x (1 - x) / count."""
+    z = private_data.CONFIDENCE**2
+    a, b, c = 1 + z / count, -(2 * hits / count + z / count), (hits / count) ** 2
+    return (-b - sqrt(b * b - 4 * a * c)) / (2 * a)
+
+
 def by_hand(texts):
     """Base spans of every text, and the words that disclose one of its entities."""
     texts = [t or "" for t in texts]
@@ -48,9 +55,9 @@ def by_hand(texts):
         by_term.update(w)
         by_both.update((a, b) for a in e for b in w)
     share = {
-        (e, t): log(n * c / (by_entity[e] * by_term[t])) / log(n / by_entity[e])
+        (e, t): log(n * wilson(c, by_term[t]) / by_entity[e]) / log(n / by_entity[e])
         for (e, t), c in by_both.items()
-        if c >= private_data.SUPPORT and by_entity[e] < n
+        if by_entity[e] < n
     }
     out = []
     for text, own in zip(texts, entities):
@@ -80,7 +87,7 @@ TEXTS = [
     "9" * 30_000 + " " + "a" * 30_000 + " " + "1 " * 20_000 + "." * 5000,
     " ".join(f"user{i}@host{i}.com" for i in range(300)),
 ] + [f"(Zorblax!) wrote text{i} to agent@secret.org about ordinary things, zorblax {i}" for i in range(8)]
-TEXTS += [f"ordinary things number {i} were said about nothing" for i in range(30)] + [TEXTS[-1]]
+TEXTS += [f"ordinary things number {i} were said about nothing" for i in range(300)] + [TEXTS[-1]]
 
 
 def test_spans_equal_brute_force(documents):

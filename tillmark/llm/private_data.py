@@ -6,27 +6,32 @@ entity, ``ln(N * both / (entity * term))``, as a share of the entity's own infor
 means that whoever reads the term knows the entity. A term discloses an entity from GENERALISE on: there it is replaced by
 its kind, from REMOVE on it is dropped, in the texts that hold the entity.
 
-Every entity is estimated, whatever the number of its texts. Where term and entity share fewer than SUPPORT texts, the share
-of the term's texts that hold the entity is taken at its lower confidence bound (Wilson, CONFIDENCE standard deviations): few
-texts count as little evidence, and as more evidence the more texts the corpus has that the term is not in. Entities are
-pooled besides, by mail domain and by prefix of address or number, and a pool is estimated like an entity of its own.
+Every entity is estimated, whatever the number of its texts, and every word is a term, whatever its length. The share of a
+term's texts that hold the entity is taken at its lower confidence bound (Wilson, CONFIDENCE standard deviations): few texts
+count as little evidence, and as more evidence the more texts the corpus has that the term is not in. Entities are pooled
+besides, by mail domain and by prefix of address or number, and a pool is estimated like an entity of its own.
 
 Entities and pools held by the same texts have the same estimates and are one class. Counts are made with partial sums per
 (class, term), so an entity in a third of all texts makes no heavy group, and a text is paired once with all that only it
 holds. Copies of a text under other doc_ids count once.
 
-Offsets are code points, ends exclusive. Null texts count as empty. Rows that share a doc_id share their entities; repeated
-rows get equal results; an empty table gives an empty one.
+Texts are read twice and not shuffled: the first reading leaves narrow rows (spans, entities, 64-bit hashes of the distinct
+terms) that everything is counted from; the second looks up where the disclosing terms stand, and shuffles one copy of a text
+only where it holds an entity that a term discloses. A window runs over the words of one text.
+
+Offsets are code points, ends exclusive. Null texts count as empty. A text's entities are its own: rows that share a doc_id
+with other texts lend it none. Repeated rows get equal results; equal shares need no order, since all of them count. Very long
+texts take linear time. Other columns are not looked at, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import NOT_SPACE, SPACE, cut, whole_text
+from tillmark.llm.common import SPACE, cut, whole_text
 from tillmark.session import durable
 
 # The contract's patterns. Possessive repeats and the look-behinds change no match: what they keep the matcher from trying
@@ -42,16 +47,17 @@ KINDS = (*PATTERNS, "term")
 #: What a text must hold for a pattern to be tried at all.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: Shared texts from which counts are taken as they are, and the shares of the entity's information from which a term discloses it.
-SUPPORT, GENERALISE, REMOVE = 4, 0.90, 0.97
-#: Standard deviations to the lower bound of a smaller count: 95 % of one side.
+#: Shares of the entity's information from which a term discloses it.
+GENERALISE, REMOVE = 0.90, 0.97
+#: Standard deviations to the lower bound of a count: 95 % of one side.
 CONFIDENCE = 1.645
 #: Digits that a pool of numbers has in common, and parts that a pool of addresses has.
 PREFIX = {"card": 6, "phone": 4, "ip": 2}
-#: Least characters of a term.
-TERM_CHARS = 4
 SPANS = "array<struct<start:int,end:int,value:string>>"
-OUTER = r"[^\p{L}\p{N}\x20\x09-\x0D]"
+SHOWN = "array<struct<start:int,end:int,share:double>>"
+#: What stands before the first and behind the last letter or digit of a word.
+LEAD = r"^[^\p{L}\p{N}]++"
+EDGES = LEAD + r"|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
 
 def _digits(value: Column) -> Column:
@@ -136,10 +142,15 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
+def _term(word: Column) -> Column:
+    """The term of a word: without outer punctuation, in lower case."""
+    return F.lower(F.regexp_replace(word, EDGES, ""))
+
+
 def _terms(text: Column) -> Column:
-    """The distinct terms of a text: lower-cased words without outer punctuation."""
-    words = F.transform(F.split(F.lower(text), f"{SPACE}+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= TERM_CHARS))
+    """Hashes of the distinct terms of a text."""
+    terms = F.array_distinct(F.transform(F.array_distinct(F.split(text, f"{SPACE}+")), _term))
+    return F.transform(F.filter(terms, lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
 def _entities() -> Column:
@@ -166,92 +177,104 @@ def _may_hold(text: Column) -> Column:
     return some | text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]") | text.rlike("[0-9][0-9 -]{13}")
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def _share(n_texts: int, n_entity: Column, n_term: Column, n_both: Column) -> Column:
-    """Of the entity's information, what the term tells; from the lower bound of the term's texts where they are few."""
-    counted = F.lit(float(n_texts)) * n_both / (n_entity * n_term)
+    """Of the entity's information, what the term tells, from the lower bound of the term's texts that hold the entity."""
     p, z = n_both / n_term, CONFIDENCE**2
     low = (p + z / (2 * n_term) - F.sqrt(z * (p * (1 - p) / n_term + z / (4 * n_term * n_term)))) / (1 + z / n_term)
-    bounded = F.lit(float(n_texts)) * low / n_entity
-    share = F.log(F.when(n_both >= SUPPORT, counted).otherwise(bounded)) / F.log(F.lit(float(n_texts)) / n_entity)
+    share = F.log(F.lit(float(n_texts)) * low / n_entity) / F.log(F.lit(float(n_texts)) / n_entity)
     return F.least(share, F.lit(1.0))
 
 
-def classes(held: DataFrame, n_texts: int) -> DataFrame:
-    """``doc_id, digest, class, n_entity`` of all entities and pools that a text holds; ``held`` as in :func:`disclosures`."""
-    holds = held.select("doc_id", "digest", F.explode("entities").alias("entity"))
-    texts = holds.select("digest", "entity").distinct()
-    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "digest")) for seed in range(2)]
-    of = texts.groupBy("entity").agg(F.count("*").alias("n_entity"), *(m.alias(f"mark_{i}") for i, m in enumerate(marks)))
-    of = of.where(F.col("n_entity") < n_texts).select("entity", "n_entity", F.concat_ws(":", "n_entity", "mark_0", "mark_1").alias("class"))
-    return holds.join(of, "entity").select("doc_id", "digest", "class", "n_entity").distinct()
-
-
-def disclosures(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """``doc_id, term, share`` of every term that discloses an entity of the text; ``held`` has ``doc_id, digest, entities``."""
-    nothing = docs.sparkSession.createDataFrame([], "doc_id bigint, term string, share double")
-    first = held.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    n_texts = first.count()
-    hold = cut(classes(held, n_texts))
+def survey(docs: DataFrame) -> DataFrame:
+    """Per row ``doc_id, digest``, the base spans of each kind, ``entities`` (pools too) and ``terms`` (hashes)."""
+    found = find(docs)
+    spans_of = [F.transform(kind, _span()).alias(kind) for kind in PATTERNS]
+    entities = F.concat(_entities(), _pools()).alias("entities")
+    return found.select("doc_id", _digest(F.col("text")).alias("digest"), *spans_of, entities, _terms(F.col("text")).alias("terms"))
+
+
+def classes(holders: DataFrame, n_texts: int) -> DataFrame:
+    """``digest, class, n_entity`` of all entities and pools that a text holds; ``holders`` has ``digest, entities`` once per text."""
+    holds = holders.select("digest", F.explode("entities").alias("entity"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "digest")).alias(f"mark_{seed}") for seed in range(2)]
+    of = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), *marks).where(F.col("n_entity") < n_texts)
+    of = of.select("entity", "n_entity", F.concat_ws(":", "n_entity", "mark_0", "mark_1").alias("class"))
+    return holds.join(of, "entity").select("digest", "class", "n_entity").distinct()
+
+
+def disclosures(texts: DataFrame) -> DataFrame:
+    """``digest, term, share`` of every term that discloses an entity of the text; ``texts`` has ``digest, entities, terms`` once per text."""
+    nothing = texts.sparkSession.createDataFrame([], "digest binary, term bigint, share double")
+    n_texts = texts.count()
+    holders = texts.where(F.size("entities") > 0)
+    hold = cut(classes(holders, n_texts))
     if hold.isEmpty():
         return nothing
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("of"), whole_text().alias("text"))
-    once = hold.join(first, ["digest", "doc_id"], "left_semi")
-    lists = once.groupBy("doc_id").agg(F.collect_list(F.struct("class", "n_entity")).alias("classes"))
-    holders = texts.where(_may_hold(F.col("text"))).join(lists, texts["of"] == lists["doc_id"])
-    pairs = holders.select("classes", F.explode(_terms(F.col("text"))).alias("term")).select(F.explode("classes").alias("e"), "term")
+    lists = hold.groupBy("digest").agg(F.collect_list(F.struct("class", "n_entity")).alias("classes"))
+    pairs = holders.join(lists, "digest").select("classes", F.explode("terms").alias("term")).select(F.explode("classes").alias("e"), "term")
     both = pairs.groupBy("e.class", "e.n_entity", "term").agg(F.count("*").alias("n_both"))
     # a term has at least the texts it shares: what cannot disclose with these alone need not be counted elsewhere
     both = cut(both.where(_share(n_texts, F.col("n_entity"), F.col("n_both"), F.col("n_both")) >= GENERALISE))
     if both.isEmpty():
         return nothing
 
-    # the first text of each digest stands for its copies; terms are summed before anything is shuffled
-    texts = texts.withColumn("own_digest", F.sha2(F.col("text").cast("binary"), 256))
-    copies = durable(held.select("doc_id", "digest").join(first, ["digest", "doc_id"], "left_anti").distinct())
-    copy = (texts["of"] == copies["doc_id"]) & (texts["own_digest"] == copies["digest"])
-    words = texts.join(copies, copy, "left_anti").select(F.explode(_terms(F.col("text"))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     share = _share(n_texts, F.col("n_entity"), F.col("n_term"), F.col("n_both"))
     told = both.join(of_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("class", "term", "share")
-    return hold.select("doc_id", "class").distinct().join(told, "class").groupBy("doc_id", "term").agg(F.max("share").alias("share"))
+    return hold.select("digest", "class").join(told, "class").groupBy("digest", "term").agg(F.max("share").alias("share"))
 
 
-def _of_terms(terms: Column) -> Column:
-    """A pattern for the words that are one of the terms; it takes in what stands before the term in its word."""
-    any_term = F.array_join(F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}])", r"\\$1")), "|")
-    return F.concat(
-        F.lit(rf"(?iu)(?<!{NOT_SPACE}){OUTER}*+(?:"), any_term, F.lit(rf")(?={OUTER}*+(?:{SPACE}|\z))")
-    )
+def _places(docs: DataFrame, revealed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``digest, term``: start, end and share of the words of a text that are a term revealed for it.
+
+    ``firsts`` has ``digest, first``, the smallest doc_id of a text; only that copy is read.
+    """
+    wanted = cut(firsts.join(revealed.select("digest").distinct(), "digest").select("digest", "first"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("first"), whole_text().alias("text"))
+    texts = texts.where(_may_hold(F.col("text"))).withColumn("digest", _digest(F.col("text")))
+    texts = texts.join(wanted, ["digest", "first"]).select("digest", "text").dropDuplicates(["digest"])
+
+    pieces = texts.select("digest", F.posexplode(F.split("text", SPACE)).alias("at", "word"))
+    before = Window.partitionBy("digest").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    words = pieces.withColumn("begin", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
+    start = F.col("begin") + F.length("word") - F.length(F.regexp_replace("word", LEAD, ""))
+    end = start + F.length(F.regexp_replace("word", EDGES, ""))
+    words = words.select("digest", F.xxhash64(_term(F.col("word"))).alias("term"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+    places = words.join(revealed, ["digest", "term"]).groupBy("digest")
+    return places.agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
+
+
+def terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``digest, term`` (start, end, share) for the texts in which terms disclose an entity; ``rows`` is their :func:`survey`."""
+    once = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in ("entities", "terms")))
+    texts = cut(once)
+    return cut(_places(docs, cut(disclosures(texts)), texts.select("digest", "first")))
+
+
+def _with_terms(rows: DataFrame, shown: DataFrame) -> DataFrame:
+    """``rows`` (``digest`` and base spans) with the column ``term``; words that overlap a base span are left out."""
+    rows = rows.join(shown, "digest", "left").withColumn("base", _listed(tuple(PATTERNS)))
+    clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    term = F.filter(F.coalesce("term", F.array().cast(SHOWN)), clear)
+    return rows.withColumn("term", term).drop("digest", "base")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """:func:`find` with the column ``term``: start, end and share of the words that disclose an entity of their text."""
-    found = find(docs)
-    entities = F.concat(_entities(), _pools())
-    held = durable(found.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), entities.alias("entities")))
-    revealed = cut(disclosures(docs, held))
-    lists = revealed.groupBy(F.col("doc_id").alias("of")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "share")))).alias("shares")
-    )
-    rows = found.join(lists, found["doc_id"] == lists["of"], "left").drop("of")
-    rows = rows.withColumn("own", F.array_intersect(F.map_keys("shares"), _terms(F.col("text"))))
-    words = F.when(F.size("own") > 0, _matches(F.col("text"), _of_terms(F.col("own")))).otherwise(F.array().cast(SPANS))
-    rows = rows.withColumn("words", words).withColumn("base", _listed(tuple(PATTERNS)))
-
-    def term(m: Column) -> Column:
-        inner = F.regexp_replace(m["value"], f"^{OUTER}+", "")
-        start = (m["end"] - F.length(inner)).cast("int").alias("start")
-        return F.struct(start, m["end"].alias("end"), F.element_at("shares", F.lower(inner)).alias("share"))
-
-    rows = rows.withColumn("term", F.transform("words", term))
-    clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    return rows.withColumn("term", F.filter("term", clear)).drop("own", "words", "base", "shares")
+    shown = terms(docs, durable(survey(docs)))
+    return _with_terms(find(docs).withColumn("digest", _digest(F.col("text"))), shown)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document the number of base spans of each kind, a digest of them, and all spans in writing."""
-    rows = spans(docs).withColumn("base", _listed(tuple(PATTERNS))).withColumn("all", _listed(KINDS))
+    rows = durable(survey(docs))
+    rows = _with_terms(rows.select("doc_id", "digest", *PATTERNS), terms(docs, rows))
+    rows = rows.withColumn("base", _listed(tuple(PATTERNS))).withColumn("all", _listed(KINDS))
     return rows.select(
         "doc_id",
         *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in PATTERNS),
