@@ -15,9 +15,11 @@ Entities and pools held by the same texts have the same estimates and are one cl
 (class, term), so an entity in a third of all texts makes no heavy group, and a text is paired once with all that only it
 holds. Copies of a text under other doc_ids count once.
 
-Texts are read twice and not shuffled: the first reading leaves narrow rows (spans, entities, 64-bit hashes of the distinct
-terms) that everything is counted from; the second looks up where the disclosing terms stand, and shuffles one copy of a text
-only where it holds an entity that a term discloses. A window runs over the words of one text.
+The first reading of the texts leaves narrow rows: spans, entities and, where there are any, 64-bit hashes of the distinct
+terms. Terms are counted over all rows with partial sums, and what copies count too much is taken off again, so that texts
+need not be brought together; only the first of each group of copies, and of each text that holds a disclosed entity, is
+looked up once more by its doc_id. The look-up of copies is a merge join at every size, the one step that shuffles the texts:
+the list of copies grows with the table. A window runs over the words of one text.
 
 Offsets are code points, ends exclusive. Null texts count as empty. A text's entities are its own: rows that share a doc_id
 with other texts lend it none. Repeated rows get equal results; equal shares need no order, since all of them count. Very long
@@ -190,11 +192,12 @@ def _share(n_texts: int, n_entity: Column, n_term: Column, n_both: Column) -> Co
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Per row ``doc_id, digest``, the base spans of each kind, ``entities`` (pools too) and ``terms`` (hashes)."""
+    """Per row ``doc_id, digest``, the base spans of each kind, ``entities`` (pools too) and, beside entities, ``terms`` (hashes)."""
     found = find(docs)
     spans_of = [F.transform(kind, _span()).alias(kind) for kind in PATTERNS]
-    entities = F.concat(_entities(), _pools()).alias("entities")
-    return found.select("doc_id", _digest(F.col("text")).alias("digest"), *spans_of, entities, _terms(F.col("text")).alias("terms"))
+    found = found.withColumn("entities", F.concat(_entities(), _pools()))
+    terms = F.when(F.size("entities") > 0, _terms(F.col("text"))).alias("terms")
+    return found.select("doc_id", _digest(F.col("text")).alias("digest"), *spans_of, "entities", terms)
 
 
 def classes(holders: DataFrame, n_texts: int) -> DataFrame:
@@ -206,11 +209,30 @@ def classes(holders: DataFrame, n_texts: int) -> DataFrame:
     return holds.join(of, "entity").select("digest", "class", "n_entity").distinct()
 
 
-def disclosures(texts: DataFrame) -> DataFrame:
-    """``digest, term, share`` of every term that discloses an entity of the text; ``texts`` has ``digest, entities, terms`` once per text."""
-    nothing = texts.sparkSession.createDataFrame([], "digest binary, term bigint, share double")
+def _firsts(docs: DataFrame, wanted: DataFrame, may_hold: bool = False) -> DataFrame:
+    """``digest, text`` and the other columns of ``wanted`` (``digest, first``), the smallest doc_id of each text."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("first"), whole_text().alias("text"))
+    if may_hold:
+        texts = texts.where(_may_hold(F.col("text")))
+    texts = texts.withColumn("digest", _digest(F.col("text"))).join(wanted, ["digest", "first"])
+    return texts.drop("first").dropDuplicates(["digest"])
+
+
+def _counted(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """``term, n_term``: distinct texts that hold a term; ``copies`` has ``digest, first, n`` of the texts of several rows."""
+    every = docs.select(F.explode(_terms(whole_text())).alias("term"), F.lit(1).cast("long").alias("n"))
+    again = _firsts(docs, copies.hint("merge")).select(F.explode(_terms(F.col("text"))).alias("term"), (1 - F.col("n")).alias("n"))
+    return every.unionByName(again).groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def disclosures(docs: DataFrame, texts: DataFrame, holders: DataFrame) -> DataFrame:
+    """``digest, term, share`` of every term that discloses an entity of the text.
+
+    ``texts`` has ``digest, first, n`` (smallest doc_id, rows) of every text, ``holders`` ``digest, entities, terms`` of those
+    with an entity.
+    """
+    nothing = docs.sparkSession.createDataFrame([], "digest binary, term bigint, share double")
     n_texts = texts.count()
-    holders = texts.where(F.size("entities") > 0)
     hold = cut(classes(holders, n_texts))
     if hold.isEmpty():
         return nothing
@@ -223,7 +245,7 @@ def disclosures(texts: DataFrame) -> DataFrame:
     if both.isEmpty():
         return nothing
 
-    of_term = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = _counted(docs, cut(texts.where("n > 1")))
     share = _share(n_texts, F.col("n_entity"), F.col("n_term"), F.col("n_both"))
     told = both.join(of_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("class", "term", "share")
     return hold.select("digest", "class").join(told, "class").groupBy("digest", "term").agg(F.max("share").alias("share"))
@@ -235,11 +257,7 @@ def _places(docs: DataFrame, revealed: DataFrame, firsts: DataFrame) -> DataFram
     ``firsts`` has ``digest, first``, the smallest doc_id of a text; only that copy is read.
     """
     wanted = cut(firsts.join(revealed.select("digest").distinct(), "digest").select("digest", "first"))
-    texts = docs.select(docs["doc_id"].cast("long").alias("first"), whole_text().alias("text"))
-    texts = texts.where(_may_hold(F.col("text"))).withColumn("digest", _digest(F.col("text")))
-    texts = texts.join(wanted, ["digest", "first"]).select("digest", "text").dropDuplicates(["digest"])
-
-    pieces = texts.select("digest", F.posexplode(F.split("text", SPACE)).alias("at", "word"))
+    pieces = _firsts(docs, wanted, may_hold=True).select("digest", F.posexplode(F.split("text", SPACE)).alias("at", "word"))
     before = Window.partitionBy("digest").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     words = pieces.withColumn("begin", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)))
     start = F.col("begin") + F.length("word") - F.length(F.regexp_replace("word", LEAD, ""))
@@ -251,9 +269,10 @@ def _places(docs: DataFrame, revealed: DataFrame, firsts: DataFrame) -> DataFram
 
 def terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``digest, term`` (start, end, share) for the texts in which terms disclose an entity; ``rows`` is their :func:`survey`."""
-    once = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), *(F.any_value(c).alias(c) for c in ("entities", "terms")))
-    texts = cut(once)
-    return cut(_places(docs, cut(disclosures(texts)), texts.select("digest", "first")))
+    texts = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    values = [F.any_value(c).alias(c) for c in ("entities", "terms")]
+    holders = cut(rows.where(F.size("entities") > 0).groupBy("digest").agg(F.min("doc_id").alias("first"), *values))
+    return cut(_places(docs, cut(disclosures(docs, texts, holders)), holders.select("digest", "first")))
 
 
 def _with_terms(rows: DataFrame, shown: DataFrame) -> DataFrame:
