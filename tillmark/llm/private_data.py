@@ -205,7 +205,7 @@ def classes(holders: DataFrame, n_texts: int) -> DataFrame:
     holds = holders.select("digest", F.explode("entities").alias("entity"))
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "digest")).alias(f"mark_{seed}") for seed in range(2)]
     of = holds.groupBy("entity").agg(F.count("*").alias("n_entity"), *marks).where(F.col("n_entity") < n_texts)
-    of = of.select("entity", "n_entity", F.concat_ws(":", "n_entity", "mark_0", "mark_1").alias("class"))
+    of = of.select("entity", "n_entity", F.xxhash64("n_entity", "mark_0", "mark_1").alias("class"))
     return holds.join(of, "entity").select("digest", "class", "n_entity").distinct()
 
 
@@ -263,8 +263,10 @@ def _places(docs: DataFrame, revealed: DataFrame, firsts: DataFrame) -> DataFram
     start = F.col("begin") + F.length("word") - F.length(F.regexp_replace("word", LEAD, ""))
     end = start + F.length(F.regexp_replace("word", EDGES, ""))
     words = words.select("digest", F.xxhash64(_term(F.col("word"))).alias("term"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-    places = words.join(revealed, ["digest", "term"]).groupBy("digest")
-    return places.agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
+    # words lie by text already, so a text's terms come to them as one row and nothing is shuffled again
+    lists = revealed.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    words = words.join(lists, "digest").withColumn("share", F.try_element_at("shares", F.col("term"))).where("share is not null")
+    return words.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("term"))
 
 
 def terms(docs: DataFrame, rows: DataFrame) -> DataFrame:
