@@ -9,8 +9,9 @@ counted in each fragment apart and the parts are summed per pair.
 Only classes are asked for, so pairs inside a group need not all be tried. Documents with equal sets are one node. Among
 the nodes that share a prefix n-gram one is tried against all others; what is linked by then needs no further trial. After
 a few such rounds, each with another one, only n-grams are left whose nodes lie in several classes, and there all pairs
-across classes that were not tried yet are tried. No link between different classes can be missed, and a group of
-thousands of near copies costs a few times its size.
+across classes that were not tried yet are tried where their places in the two prefixes allow for a link: what two sets
+share from their first common n-gram on is bounded by what lies behind it. No link between different classes can be missed,
+and a group of thousands of near copies that link costs a few times its size.
 
 Words are cut by ASCII white space, A-Z lower-cased; n-grams and sets are told apart by 64-bit hashes. A
 document with fewer words than an n-gram has them all as one; null, empty or blank texts have no n-gram and link with
@@ -141,19 +142,20 @@ def _prefixes(docs: DataFrame, ranks: object, parts: int) -> DataFrame:
     """The first n-grams of every document in the global order, packed by ``part`` of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def packed() -> pa.RecordBatch:
-            grams, nodes, sizes = (np.concatenate(c) for c in zip(*held))
+            grams, nodes, sizes, places = (np.concatenate(c) for c in zip(*held))
             part = (grams >> np.uint64(20)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            grams, nodes, sizes, part = grams[order], nodes[order], sizes[order], part[order]
+            grams, nodes, sizes, places, part = grams[order], nodes[order], sizes[order], places[order], part[order]
             present, first = np.unique(part, return_index=True)
             ends = [*first[1:], len(part)]
             sliced = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(present.astype(np.int32)), sliced(grams), sliced(nodes), sliced(sizes)], names=["part", "grams", "nodes", "sizes"]
+                [pa.array(present.astype(np.int32)), sliced(grams), sliced(nodes), sliced(sizes), sliced(places)],
+                names=["part", "grams", "nodes", "sizes", "places"],
             )
 
         for batch in batches:
@@ -164,7 +166,14 @@ def _prefixes(docs: DataFrame, ranks: object, parts: int) -> DataFrame:
                     continue
                 rank = ranks.value[(grams % np.uint64(BUCKETS)).astype(np.int64)]
                 chosen = grams[np.argsort(rank, kind="stable")[: n - (-(-PERCENT * n // 100)) + 1]]
-                held.append((chosen, np.full(len(chosen), _node(grams), dtype=np.int64), np.full(len(chosen), n, dtype=np.uint32)))
+                held.append(
+                    (
+                        chosen,
+                        np.full(len(chosen), _node(grams), dtype=np.int64),
+                        np.full(len(chosen), n, dtype=np.uint32),
+                        np.arange(len(chosen), dtype=np.uint32),
+                    )
+                )
                 size += len(chosen)
                 if size > 1_000_000:
                     yield packed()
@@ -175,38 +184,44 @@ def _prefixes(docs: DataFrame, ranks: object, parts: int) -> DataFrame:
         _forget()
 
     rows = docs.select(whole_text().alias("text"))
-    return rows.mapInArrow(run, "part int, grams binary, nodes binary, sizes binary")
+    return rows.mapInArrow(run, "part int, grams binary, nodes binary, sizes binary, places binary")
 
 
 def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
-    """``gram, node, n`` for n-grams that several nodes have in their prefixes; of n-grams with equal nodes, one."""
+    """``gram, node, n, place`` (in the node's prefix) for n-grams that several nodes have in their prefixes.
+
+    Of n-grams with equal nodes the first in the global order stays: what its nodes share, they share from there on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"grams": np.uint64, "nodes": np.int64, "sizes": np.uint32}
+        kinds = {"grams": np.uint64, "nodes": np.int64, "sizes": np.uint32, "places": np.uint32}
         held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         for batch in batches:
             for c, kind in kinds.items():
                 held[c] += [np.frombuffer(b, dtype=kind) for b in batch.column(c).to_pylist()]
         if not held["grams"]:
             return
-        grams, nodes, sizes = (np.concatenate(held[c]) for c in kinds)
+        grams, nodes, sizes, places = (np.concatenate(held[c]) for c in kinds)
+        held.clear()
         order = np.lexsort((nodes, grams))
-        grams, nodes, sizes = grams[order], nodes[order], sizes[order]
+        grams, nodes, sizes, places = grams[order], nodes[order], sizes[order], places[order]
         fresh = np.ones(len(grams), dtype=bool)
         fresh[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
-        grams, nodes, sizes = grams[fresh], nodes[fresh], sizes[fresh]
+        grams, nodes, sizes, places = grams[fresh], nodes[fresh], sizes[fresh], places[fresh]
         first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
         counts = np.diff([*first, len(grams)])
         marks = np.add.reduceat(_mix(nodes.view(np.uint64)), first)
         keep = np.zeros(len(first), dtype=bool)
         several = np.flatnonzero(counts > 1)
+        several = several[np.argsort(places[first[several]], kind="stable")]  # equal nodes begin with the same node
         keep[several[np.unique(np.stack([marks[several], counts[several].astype(np.uint64)]), axis=1, return_index=True)[1]]] = True
         rows = np.repeat(keep, counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(grams[rows].view(np.int64)), pa.array(nodes[rows]), pa.array(sizes[rows].astype(np.int64))], names=["gram", "node", "n"]
+            [pa.array(grams[rows].view(np.int64)), pa.array(nodes[rows]), *(pa.array(c[rows].astype(np.int64)) for c in (sizes, places))],
+            names=["gram", "node", "n", "place"],
         )
 
-    return prefixes.repartition(parts, "part").mapInArrow(run, "gram bigint, node bigint, n bigint")
+    return prefixes.repartition(parts, "part").mapInArrow(run, "gram bigint, node bigint, n bigint, place bigint")
 
 
 def _cuts(counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -280,10 +295,15 @@ def _close_in_size(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Column:
+    """Whether two sets that share nothing before these places can still share enough."""
+    return (100 + PERCENT) * F.least(n_a - place_a, n_b - place_b) >= PERCENT * (n_a + n_b)
+
+
 def _across(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of n-grams whose nodes lie in several classes, with their ``class``."""
     rows = shared.join(classes, shared["node"] == classes["id"], "left").select(
-        "gram", "node", "n", F.coalesce("component_id", "node").alias("class")
+        "gram", "node", "n", "place", F.coalesce("component_id", "node").alias("class")
     )
     split = rows.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     return rows.join(split.select("gram"), "gram")
@@ -325,8 +345,10 @@ def classes(docs: DataFrame) -> DataFrame:
                 F.col("one.node").alias("x"), F.col("node").alias("y"), F.col("one.n").alias("n_x"), F.col("n").alias("n_y")
             )
         else:  # whatever lies in different classes still
-            other = rows.select("gram", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("class").alias("class_y"))
-            pairs = rows.join(other, "gram").where("class < class_y").select(F.col("node").alias("x"), "y", F.col("n").alias("n_x"), "n_y")
+            other = rows.select("gram", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "place", "class")))
+            may = _reachable(F.col("n"), F.col("place"), F.col("n_y"), F.col("place_y"))
+            pairs = rows.join(other, "gram").where((F.col("class") < F.col("class_y")) & may)
+            pairs = pairs.select(F.col("node").alias("x"), F.col("node_y").alias("y"), F.col("n").alias("n_x"), "n_y")
         pairs = _ordered(pairs.where(_close_in_size(F.col("n_x"), F.col("n_y")))).join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         if pairs.isEmpty():
