@@ -53,6 +53,34 @@ def test_classes_equal_brute_force(spark, documents, seed):
     assert len({c for _, c in want.values()}) < len(want) - 30
 
 
+def family(rnd, base, count, least, most):
+    """Copies of ``base`` with passages replaced, from nearly equal to far apart, some of them by words others use too."""
+    pool = [[f"p{rnd.randrange(40)}" for _ in range(6)] for _ in range(12)]
+    out = []
+    for _ in range(count):
+        words = list(base)
+        for _ in range(rnd.randrange(least, most)):
+            at = rnd.randrange(len(words))
+            words[at : at + 3] = rnd.choice(pool)[: rnd.randrange(1, 6)] if rnd.random() < 0.5 else [f"u{rnd.randrange(10**6)}"]
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_large_groups_equal_brute_force(spark, documents, seed, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", (2, 3, 8)[seed - 3])
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(400)}" for _ in range(110)]
+    near = base[:30] + [f"n{i}" for i in range(14)] + base[44:]
+    texts = family(rnd, base, 90, 0, 9) + family(rnd, near, 50, 1, 7) + family(rnd, base[:80], 30, 0, 4)
+    rnd.shuffle(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes(documents(texts)).collect()}
+    want = by_hand(texts)
+    assert got == want
+    sizes = [list(c for _, c in want.values()).count(c) for _, c in want.values()]
+    assert max(sizes) > 20 and sizes.count(1) > 20
+
+
 def test_one_of_each_and_repeated_rows(spark, documents):
     df = documents(["a b c d e f", "A B c d e f", None, "", "x y"])
     twice = df.unionByName(df)

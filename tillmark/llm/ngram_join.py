@@ -6,12 +6,16 @@ prefixes give the candidates. A profile (n-grams per bucket of their hashes) bou
 pairs that cannot reach the similarity go. The order is cut into fragments of equal mass; the overlap of a candidate pair is
 counted in each fragment apart and the parts are summed per pair.
 
-Only classes are asked for, so pairs inside a group need not all be tried. Documents with equal sets are one node. Among
-the nodes that share a prefix n-gram one is tried against all others; what is linked by then needs no further trial. After
-a few such rounds, each with another one, only n-grams are left whose nodes lie in several classes, and there all pairs
-across classes that were not tried yet are tried where their places in the two prefixes allow for a link: what two sets
-share from their first common n-gram on is bounded by what lies behind it. No link between different classes can be missed,
-and a group of thousands of near copies that link costs a few times its size.
+Only classes are asked for, so pairs inside a group need not all be tried. Documents with equal sets are one node. Nodes
+that share a prefix n-gram are a group. A group of at most ``SMALL`` nodes tries its pairs, where their places in the two
+prefixes allow for a link: what two sets share from their first common n-gram on is bounded by what lies behind it. In a
+larger one a pivot is tried against all others, which merges what lies close to it. What two nodes of such a group still
+may have in common shows in how they differ from the pivot: sets alike enough differ in at most ``q (n + m)`` elements,
+``q = (1 - T) / (1 + T)``, so of two linked nodes one of which is not linked with the pivot, the differences from the pivot
+overlap. They are sets with a least overlap again, so their prefixes, elements rare among the pivot's nodes first, give the
+groups of the next turn. Nodes that one class holds leave. After ``TURNS`` turns what groups are left try all pairs across
+classes. No link between different classes can be missed, and neither thousands of near copies that link nor thousands
+that lie just too far apart are tried pair by pair.
 
 Words are cut by ASCII white space, A-Z lower-cased; n-grams and sets are told apart by 64-bit hashes. A
 document with fewer words than an n-gram has them all as one; null, empty or blank texts have no n-gram and link with
@@ -25,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillmark.llm.common import components, cut, texts_of, whole_text
+from tillmark.session import discard, new_workspace
 
 #: Words of an n-gram and the least similarity in percent.
 WORDS, PERCENT = 5, 75
@@ -36,8 +41,10 @@ WORDS, PERCENT = 5, 75
 BUCKETS, BLOCK = 1 << 20, 1 << 12
 #: Buckets of a set's profile, one byte each.
 PROFILE = 256
-#: Fragments of the order, rows of a prefix partition, rounds of one node against the others.
-FRAGMENTS, PART_ROWS, ROUNDS = 8, 400_000, 2
+#: Fragments of the order, rows of a prefix partition.
+FRAGMENTS, PART_ROWS = 8, 400_000
+#: Nodes of a group that tries all its pairs, turns of one node against the others.
+SMALL, TURNS = 8, 3
 
 #: Hashes of words, known to a worker while a task runs: KEPT words at most, about 200 bytes each.
 KEPT = 250_000
@@ -300,13 +307,80 @@ def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Co
     return (100 + PERCENT) * F.least(n_a - place_a, n_b - place_b) >= PERCENT * (n_a + n_b)
 
 
-def _across(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of n-grams whose nodes lie in several classes, with their ``class``."""
-    rows = shared.join(classes, shared["node"] == classes["id"], "left").select(
+def _across(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows ``gram, node, n, place`` of groups whose nodes lie in several classes, with their ``class`` and the group's ``size``."""
+    rows = groups.join(classes, groups["node"] == classes["id"], "left").select(
         "gram", "node", "n", "place", F.coalesce("component_id", "node").alias("class")
     )
-    split = rows.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    return rows.join(split.select("gram"), "gram")
+    split = rows.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low < high")
+    return rows.join(split.select("gram", "size"), "gram")
+
+
+def _pairs_within(rows: DataFrame) -> DataFrame:
+    """All pairs across classes of the groups in ``rows`` that can link."""
+    other = rows.select("gram", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "place", "class")))
+    may = _reachable(F.col("n"), F.col("place"), F.col("n_y"), F.col("place_y"))
+    pairs = rows.join(other, "gram").where((F.col("class") < F.col("class_y")) & may)
+    return pairs.select(F.col("node").alias("x"), F.col("node_y").alias("y"), F.col("n").alias("n_x"), "n_y")
+
+
+def _circles(rows: DataFrame, turn: int) -> DataFrame:
+    """``c, node, n_c, n``: the pivot of each group with every other node of the group; another pivot each turn."""
+    one = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn)))
+    middle = rows.groupBy("gram").agg(one.alias("one"))
+    both = rows.join(middle, "gram").where(F.col("node") != F.col("one.node"))
+    return both.select(F.col("one.node").alias("c"), "node", F.col("one.n").alias("n_c"), "n").distinct()
+
+
+def _open_circles(circles: DataFrame, classes: DataFrame) -> DataFrame:
+    """The circles with two nodes or more besides the pivot that do not lie in one class all."""
+    held = circles.join(classes, circles["node"] == classes["id"], "left").select(
+        "c", "node", "n_c", "n", F.coalesce("component_id", "node").alias("class")
+    )
+    several = held.groupBy("c").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    return held.join(several.select("c"), "c").select("c", "node", "n_c", "n")
+
+
+def _whole_sets(texts: DataFrame) -> DataFrame:
+    """``node, grams`` (all n-grams, sorted) of texts ``node, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), texts_of(batch)):
+                grams = shingles(text)
+                if _node(grams) == node:  # else another row of the same doc_id
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([node], pa.int64()), pa.array([grams.view(np.int64)], pa.list_(pa.int64()))], names=["node", "grams"]
+                    )
+        _forget()
+
+    return texts.mapInArrow(run, "node bigint, grams array<bigint>").dropDuplicates(["node"])
+
+
+def _differences(circles: DataFrame, sets: DataFrame) -> DataFrame:
+    """The groups ``gram, node, n, place`` of the next turn: nodes of a circle that differ from its pivot alike.
+
+    With ``d`` elements in which a node differs from its pivot ``c``, two nodes that link share at least
+    ``(d + d' - q (n + n')) / 2`` of them. As ``d' - q n' >= -q n_c`` always, and ``> q n_c`` for the partner of a node that links
+    with ``c`` (two such nodes are of one class), the least overlap of a node is known from its own numbers.
+    """
+    of_node = sets.select("node", F.col("grams").alias("own"))
+    of_pivot = sets.select(F.col("node").alias("c"), F.col("grams").alias("pivot"))
+    both = circles.join(of_node, "node").join(of_pivot, "c")
+    apart = F.concat(F.array_except("own", "pivot"), F.array_except("pivot", "own"))
+    differ = both.select("c", "node", "n_c", "n", apart.alias("apart")).withColumn("d", F.size("apart").cast("long"))
+    scaled, twice = (100 + PERCENT) * F.col("d"), 2 * (100 + PERCENT)
+    beyond = scaled - (100 - PERCENT) * (F.col("n") + F.col("n_c"))
+    within = scaled - (100 - PERCENT) * (F.col("n") - F.col("n_c"))
+    least = F.when(beyond > 0, F.ceil(beyond / twice)).otherwise(F.floor(within / twice) + 1)
+    rows = differ.select("c", "node", "n", (F.col("d") - least + 1).alias("reach"), F.explode("apart").alias("element"))
+    often = rows.groupBy("c", "element").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, ["c", "element"]).withColumn("at", F.row_number().over(Window.partitionBy("c", "node").orderBy("often", "element")))
+    prefixes = ranked.where("at <= reach and often > 1").select(F.xxhash64("c", "element").alias("gram"), "node", "n")
+    groups = prefixes.distinct()
+    marks = groups.groupBy("gram").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).where("size > 1")
+    first = marks.groupBy("size", "mark").agg(F.min("gram").alias("gram"))  # of groups with equal nodes one
+    return groups.join(first.select("gram"), "gram").select("gram", "node", "n", F.lit(0).cast("long").alias("place"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -331,37 +405,34 @@ def classes(docs: DataFrame) -> DataFrame:
 
     sets = surveyed.where("block is null").select("doc_id", "n", "node")
     profiles = surveyed.where("block is null").groupBy("node").agg(F.min_by("profile", "doc_id").alias("profile"))
-    shared = cut(_shared(_prefixes(docs, ranks, parts), parts))
+    scratch = new_workspace(spark, "ngram-join")
+    groups = cut(_shared(_prefixes(docs, ranks, parts), parts), scratch)
     places = _cuts(counts, rank)
 
-    tried = shared.sparkSession.createDataFrame([], "a long, b long")
-    found = shared.sparkSession.createDataFrame([], "id long, component_id long")
-    for turn in range(ROUNDS + 1):
-        rows = _across(shared, found)
-        if turn < ROUNDS:
-            one = F.min_by(F.struct("node", "n", "class"), F.xxhash64("node", F.lit(turn)))
-            middle = rows.groupBy("gram").agg(one.alias("one"))
-            pairs = rows.join(middle, "gram").where(F.col("class") != F.col("one.class")).select(
-                F.col("one.node").alias("x"), F.col("node").alias("y"), F.col("one.n").alias("n_x"), F.col("n").alias("n_y")
-            )
-        else:  # whatever lies in different classes still
-            other = rows.select("gram", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "place", "class")))
-            may = _reachable(F.col("n"), F.col("place"), F.col("n_y"), F.col("place_y"))
-            pairs = rows.join(other, "gram").where((F.col("class") < F.col("class_y")) & may)
-            pairs = pairs.select(F.col("node").alias("x"), F.col("node_y").alias("y"), F.col("n").alias("n_x"), "n_y")
+    tried = spark.createDataFrame([], "a long, b long")
+    found = spark.createDataFrame([], "id long, component_id long")
+    for turn in range(TURNS + 1):
+        rows = cut(_across(groups, found), scratch)
+        large = F.lit(turn < TURNS) & (F.col("size") > SMALL)
+        circles = cut(_circles(rows.where(large), turn), scratch)
+        against = circles.select(F.col("c").alias("x"), F.col("node").alias("y"), F.col("n_c").alias("n_x"), F.col("n").alias("n_y"))
+        pairs = _pairs_within(rows.where(~large)).unionByName(against)
         pairs = _ordered(pairs.where(_close_in_size(F.col("n_x"), F.col("n_y")))).join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
+        pairs = cut(pairs, scratch)
         tried = tried.unionByName(pairs.select("a", "b"))
-        close = cut(_possible(pairs, profiles))
-        if close.isEmpty():
-            continue
-        wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        links = cut(_linked(close, _texts(docs, sets, cut(wanted)), ranks, places))
-        if not links.isEmpty():
-            known = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-            found = cut(components(links.unionByName(known)))
+        close = cut(_possible(pairs, profiles), scratch)
+        if not close.isEmpty():
+            wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            links = cut(_linked(close, _texts(docs, sets, cut(wanted, scratch)), ranks, places), scratch)
+            if not links.isEmpty():
+                known = found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+                found = cut(components(links.unionByName(known)))
+        left = cut(_open_circles(circles, found), scratch)
+        if left.isEmpty():
+            break
+        wanted = left.select(F.explode(F.array("c", "node")).alias("node")).distinct()
+        groups = cut(_differences(left, cut(_whole_sets(_texts(docs, sets, cut(wanted, scratch))), scratch)), scratch)
+    discard(spark, scratch)
 
     members = sets.join(found, sets["node"] == found["id"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "node").alias("class")
