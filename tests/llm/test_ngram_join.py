@@ -66,9 +66,9 @@ def family(rnd, base, count, least, most):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4, 5])
+@pytest.mark.parametrize("seed", [3, 4])
 def test_large_groups_equal_brute_force(spark, documents, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL", (2, 3, 8)[seed - 3])
+    monkeypatch.setattr(ngram_join, "SMALL", (2, 8)[seed - 3])
     rnd = random.Random(seed)
     base = [f"w{rnd.randrange(400)}" for _ in range(110)]
     near = base[:30] + [f"n{i}" for i in range(14)] + base[44:]

@@ -44,7 +44,7 @@ PROFILE = 256
 #: Fragments of the order, rows of a prefix partition.
 FRAGMENTS, PART_ROWS = 8, 400_000
 #: Nodes of a group that tries all its pairs, turns of one node against the others.
-SMALL, TURNS = 8, 3
+SMALL, TURNS = 64, 3
 
 #: Hashes of words, known to a worker while a task runs: KEPT words at most, about 200 bytes each.
 KEPT = 250_000
@@ -357,7 +357,7 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, grams array<bigint>").dropDuplicates(["node"])
 
 
-def _differences(circles: DataFrame, sets: DataFrame) -> DataFrame:
+def _differences(circles: DataFrame, sets: DataFrame, scratch: str) -> DataFrame:
     """The groups ``gram, node, n, place`` of the next turn: nodes of a circle that differ from its pivot alike.
 
     With ``d`` elements in which a node differs from its pivot ``c``, two nodes that link share at least
@@ -373,10 +373,15 @@ def _differences(circles: DataFrame, sets: DataFrame) -> DataFrame:
     beyond = scaled - (100 - PERCENT) * (F.col("n") + F.col("n_c"))
     within = scaled - (100 - PERCENT) * (F.col("n") - F.col("n_c"))
     least = F.when(beyond > 0, F.ceil(beyond / twice)).otherwise(F.floor(within / twice) + 1)
-    rows = differ.select("c", "node", "n", (F.col("d") - least + 1).alias("reach"), F.explode("apart").alias("element"))
-    often = rows.groupBy("c", "element").agg(F.count("*").alias("often"))
-    ranked = rows.join(often, ["c", "element"]).withColumn("at", F.row_number().over(Window.partitionBy("c", "node").orderBy("often", "element")))
-    prefixes = ranked.where("at <= reach and often > 1").select(F.xxhash64("c", "element").alias("gram"), "node", "n")
+    reach = (F.col("d") - least + 1).alias("reach")
+    differ = cut(differ.select("c", "node", "n", "d", reach, "apart").where("reach > 0"), scratch)
+    rows = differ.select("c", "node", F.explode("apart").alias("element"))
+    often = rows.groupBy("c", "element").agg(F.count("*").alias("often")).where("often > 1")
+    shared = rows.join(often, ["c", "element"])
+    by_node = Window.partitionBy("c", "node")
+    at = F.row_number().over(by_node.orderBy("often", "element")) - F.count("*").over(by_node)  # elements of one node alone come before
+    ranked = shared.withColumn("at", at).join(differ.select("c", "node", "n", "d", "reach"), ["c", "node"])
+    prefixes = ranked.where("at + d <= reach").select(F.xxhash64("c", "element").alias("gram"), "node", "n")
     groups = prefixes.distinct()
     marks = groups.groupBy("gram").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).where("size > 1")
     first = marks.groupBy("size", "mark").agg(F.min("gram").alias("gram"))  # of groups with equal nodes one
@@ -431,7 +436,7 @@ def classes(docs: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
         wanted = left.select(F.explode(F.array("c", "node")).alias("node")).distinct()
-        groups = cut(_differences(left, cut(_whole_sets(_texts(docs, sets, cut(wanted, scratch))), scratch)), scratch)
+        groups = cut(_differences(left, cut(_whole_sets(_texts(docs, sets, cut(wanted, scratch))), scratch), scratch), scratch)
     discard(spark, scratch)
 
     members = sets.join(found, sets["node"] == found["id"], "left").select(
