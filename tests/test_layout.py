@@ -8,6 +8,7 @@ import pytest
 
 from tests.reports import HEADER_X, header_runs, page_bytes, report_bytes, sale_line
 from tillmark import fixed
+from tillmark import testbed as tb
 from tillmark.operators import layout
 from tillmark.sources.readers import page_ranges, read_reports, text_runs
 
@@ -144,3 +145,22 @@ def test_run_text_rules():
     page = page_bytes([(-5, 7, "\x00 a b　\x00"), (1, 1, "  "), (1, 2, "x" * 10_000), (1, 3, "y" * 10_001)])
     assert [(x, y, t[:5]) for x, y, t in text_runs(page, 0, len(page))] == [(-5, 7, "a b"), (1, 2, "xxxxx"), (1, 3, "yyyyy")]
     assert HEADER_X["Preço"] == 1000
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_undivided_reports_are_not_moved_again(spark):
+    runs = tb.text_runs(spark, "/root/testdata/sf0.001")
+    once = plan_of(runs).count("Exchange hashpartitioning(report")
+    lines = plan_of(layout.sale_lines(runs))
+    assert once == 1 and "hashpartitioning(sha256" not in lines and "page_index" not in "".join(
+        line for line in lines.splitlines() if "Exchange hashpartitioning" in line
+    )
+
+
+def test_report_bytes_are_made_after_the_last_shuffle(spark):
+    plan = plan_of(tb.report_files(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning(report") == 1 and "hashpartitioning(report#" in plan
+    assert plan.index("unhex") < plan.index("Exchange hashpartitioning(report") and "hex(encode" not in plan[plan.index("Exchange hashpartitioning(report"):]
