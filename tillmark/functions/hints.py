@@ -32,30 +32,38 @@ def basename(name: Column) -> Column:
 
 def stem(base: Column) -> Column:
     """SF17: without the extension; a leading dot is part of the name."""
-    return F.when(base.rlike(EXTENSION), F.regexp_extract(base, EXTENSION, 1)).otherwise(base)
+    return F.regexp_replace(base, EXTENSION, "$1")
 
 
 def product_code_hint(stem_text: Column) -> Column:
     """SF18."""
-    return F.nullif(F.regexp_extract(stem_text, PRODUCT_CODE, 1), F.lit(""))
+    return _named(F.regexp_extract(stem_text, PRODUCT_CODE, 1), lambda code: F.when(code != "", code))
 
 
 def _date(text: Column, start: int) -> Column:
     """Day and month of ``dd?MM`` at a position of a matched text; null when out of range."""
-    day = F.substring(text, start, 2).try_cast("int")
-    month = F.substring(text, start + 3, 2).try_cast("int")
-    made = F.struct(day.alias("day"), month.alias("month"), F.lit(None).cast("int").alias("year"))
-    return F.when(day.between(1, 31) & month.between(1, 12), made)
+    made = F.struct(
+        F.substring(text, start, 2).try_cast("int").alias("day"),
+        F.substring(text, start + 3, 2).try_cast("int").alias("month"),
+        F.lit(None).cast("int").alias("year"),
+    )
+    return F.when(
+        text.isNotNull(), _named(made, lambda d: F.when(d["day"].between(1, 31) & d["month"].between(1, 12), d))
+    )
 
 
 def _first_match(text: Column, underscore: str, slash: str) -> Column:
-    """The slash form is tried only where the underscore form does not occur at all."""
-    return F.coalesce(F.regexp_substr(text, F.lit(underscore)), F.regexp_substr(text, F.lit(slash)))
+    """The slash form is tried only where the underscore form does not occur at all; empty without either."""
+    found = F.when(F.contains(text, F.lit("_")), F.regexp_extract(text, underscore, 0)).otherwise(F.lit(""))
+    other = lambda: F.when(F.contains(text, F.lit("/")), F.regexp_extract(text, slash, 0)).otherwise(F.lit(""))
+    return _named(found, lambda first: F.when(first != "", first).otherwise(other()))
 
 
 def _range(matched: Column) -> Column:
-    start, end = _date(matched, 1), _date(matched, 7)
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    dates = F.struct(_date(matched, 1).alias("start"), _date(matched, 7).alias("end"))
+    return F.when(
+        matched != "", _named(dates, lambda d: F.when(d["start"].isNotNull() & d["end"].isNotNull(), d))
+    )
 
 
 def period_hint(stem_text: Column) -> Column:
@@ -70,7 +78,10 @@ def single_date_hint(stem_text: Column) -> Column:
 
 def filename_hints(name: Column) -> Column:
     """All hints of a file name as one struct, in the shape that is stored."""
-    return filename_hints_of_stem(F.coalesce(name, F.lit("")), stem(basename(name)))
+    given = F.coalesce(name, F.lit(""))
+    return _named(
+        given, lambda n: _named(basename(n), lambda base: _named(stem(base), lambda s: filename_hints_of_stem(n, s)))
+    )
 
 
 def filename_hints_of_stem(name: Column, stem_text: Column) -> Column:
@@ -89,20 +100,22 @@ def _named(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _hints_of_match(found: Column) -> Column:
-    period = _range(found["period"])
-    return F.struct(
-        found["name"].alias("originalFilename"),
-        F.lit("INFERRED_DATA").alias("provenance"),
-        found["code"].alias("productCodeHint"),
-        period.alias("periodHint"),
-        F.when(period.isNull(), _date(found["single"], 1)).alias("singleDateHint"),
+    return _named(
+        _range(found["period"]),
+        lambda period: F.struct(
+            found["name"].alias("originalFilename"),
+            F.lit("INFERRED_DATA").alias("provenance"),
+            found["code"].alias("productCodeHint"),
+            period.alias("periodHint"),
+            F.when(period.isNull() & (found["single"] != ""), _date(found["single"], 1)).alias("singleDateHint"),
+        ),
     )
 
 
 def hints_empty(hints: Column) -> Column:
     """SF21."""
-    return (
-        hints["productCodeHint"].isNull() & hints["periodHint"].isNull() & hints["singleDateHint"].isNull()
+    return _named(
+        hints, lambda h: h["productCodeHint"].isNull() & h["periodHint"].isNull() & h["singleDateHint"].isNull()
     )
 
 
