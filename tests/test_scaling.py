@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from tillmark.functions import hints
+from tillmark.registered import runners
+
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def optimized(frame):
@@ -13,3 +16,7 @@ def test_hints_of_a_name_look_at_it_once(spark):
     names = spark.createDataFrame([("a/AUDITORIA 7, 01_02-03_04.QRP",)], "x string")
     plan = optimized(names.select(hints.hints_empty(hints.filename_hints(F.col("x"))).alias("empty")))
     assert plan.count(hints.BASENAME) == 1 and plan.count(hints.EXTENSION) == 1
+
+
+def test_pairs_of_a_message_are_found_once(spark):
+    assert optimized(runners()["sf9_message_values"](spark, SF_DIR)).count("regexp_extract_all") == 1

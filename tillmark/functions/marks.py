@@ -74,16 +74,20 @@ def provenance(kind: str) -> Column:
     return F.lit(kind)
 
 
-def message_value(message: Column, key: str) -> Column:
-    """SF9: value of the last ``key=value`` pair of a message."""
-    keys = F.regexp_extract_all(message, F.lit(r"(\w+)=([^\s]+)"), F.lit(1))
-    values = F.regexp_extract_all(message, F.lit(r"(\w+)=([^\s]+)"), F.lit(2))
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda pair: pair["k"] == key)
-    return F.try_element_at(pairs, F.lit(-1))["v"]
+def message_pairs(message: Column) -> Column:
+    """SF9: the ``key=value`` pairs of a message, in their order."""
+    return F.regexp_extract_all(message, F.lit(r"\w+=[^\s]+"), F.lit(0))
 
 
-def message_number(message: Column, key: str) -> Column:
-    return message_value(message, key).try_cast(QUANTITY)
+def message_value(message: Column, key: str, pairs: Column | None = None) -> Column:
+    """SF9: value of the last ``key=value`` pair of a message; ``pairs`` are those of the message, where they are known."""
+    known = message_pairs(message) if pairs is None else pairs
+    own = F.filter(known, lambda pair: F.substring_index(pair, "=", 1) == key)
+    return F.substr(F.try_element_at(own, F.lit(-1)), F.lit(len(key) + 2))
+
+
+def message_number(message: Column, key: str, pairs: Column | None = None) -> Column:
+    return message_value(message, key, pairs).try_cast(QUANTITY)
 
 
 def error_summary(text: Column) -> Column:

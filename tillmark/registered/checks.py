@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillmark import testbed as tb
 from tillmark.fixed import DEFAULT_PROFILE
-from tillmark.functions.marks import message_number, message_value, provenance, validation_status
+from tillmark.functions.marks import message_number, message_pairs, message_value, provenance, validation_status
 from tillmark.functions.numbers import line_total, plain_text
 from tillmark.functions.times import iso_text
 from tillmark.operators import layout, maintained, publishing, validation
@@ -194,12 +194,12 @@ def sf9_message_values(spark, sf_dir):
         F.lit("sourceValue=1 ruleVersion=v"), F.col("line_number").cast("string"), F.lit(" extra=sourceValue=7 calculatedValue="),
         calculated.cast("string"), F.lit(" difference= sourceValue="), F.col("total").cast("string"),
     )
-    said = rows.withColumn("message", message)
-    m = F.col("message")
+    said = rows.withColumn("message", message).withColumn("pairs", message_pairs(F.col("message")))
+    m, pairs = F.col("message"), F.col("pairs")
     return said.select(
-        "parse_attempt_id", "source_record_index", plain_text(message_number(m, "sourceValue")).alias("source_value"),
-        plain_text(message_number(m, "calculatedValue")).alias("calculated_value"),
-        plain_text(message_number(m, "difference")).alias("difference"), message_value(m, "ruleVersion").alias("rule_version"),
+        "parse_attempt_id", "source_record_index", plain_text(message_number(m, "sourceValue", pairs)).alias("source_value"),
+        plain_text(message_number(m, "calculatedValue", pairs)).alias("calculated_value"),
+        plain_text(message_number(m, "difference", pairs)).alias("difference"), message_value(m, "ruleVersion", pairs).alias("rule_version"),
     )
 
 
