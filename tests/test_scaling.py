@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tillmark.functions import hints
 from tillmark.registered import runners
+from tillmark.sources.store import ReportStore
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,3 +21,15 @@ def test_hints_of_a_name_look_at_it_once(spark):
 
 def test_pairs_of_a_message_are_found_once(spark):
     assert optimized(runners()["sf9_message_values"](spark, SF_DIR)).count("regexp_extract_all") == 1
+
+
+def test_writes_of_a_batch_rank_the_lines_once(spark, monkeypatch):
+    plans, write = [], ReportStore.write
+
+    def noting(self, table, rows, batch_seq):
+        plans.append(optimized(rows))
+        write(self, table, rows, batch_seq)
+
+    monkeypatch.setattr(ReportStore, "write", noting)
+    runners()["sk1_table_sink"](spark, SF_DIR)
+    assert len(plans) == 4 and not any("row_number" in plan for plan in plans)
