@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tillmark.functions import hints
+from tillmark.operators import layout
 from tillmark.registered import runners
 from tillmark.sources.store import ReportStore
 
@@ -33,3 +34,13 @@ def test_writes_of_a_batch_rank_the_lines_once(spark, monkeypatch):
     monkeypatch.setattr(ReportStore, "write", noting)
     runners()["sk1_table_sink"](spark, SF_DIR)
     assert len(plans) == 4 and not any("row_number" in plan for plan in plans)
+
+
+def test_runs_are_passed_once_for_declared_totals(spark):
+    texts = ["TOTAL DE VENDAS:", "x", "total de vendas:", "a", "b", "c", "d", "7,5", "TOTAL DE VENDAS:", "9"]
+    rows = [("r", n // 4, n % 4, text) for n, text in enumerate(texts)] + [("s", 0, n, t) for n, t in enumerate([texts[0], *"abcde", "8"])]
+    runs = spark.createDataFrame(rows, "sha256 string, page_index int, seq int, text string").repartition(3)
+    totals = layout.declared_totals(runs)
+    assert [(r[0], float(r[1])) for r in totals.collect()] == [("r", 7.5)]
+    assert "Join" not in optimized(totals)
+    assert layout.declared_totals(layout.from_first_marker(runs)).collect() == totals.collect()

@@ -84,17 +84,30 @@ def _declared_after_marker() -> Column:
 def declared_totals(runs: DataFrame) -> DataFrame:
     """WN9: declared quantity per report, from the first marker that is followed by one.
 
-    Only runs from the first marker of a report onwards are put in order.
+    Runs are put in order once; what is read as a number are the few that follow a marker.
     """
-    markers = runs.filter(F.lower("text") == fixed.DECLARED_TOTAL_MARKER)
-    starts = markers.groupBy("sha256").agg(F.min(_position()).alias("_start"))
-    tail = lookup_join(runs.select("sha256", "page_index", "seq", "text"), starts, ["sha256"]).filter(
-        _position() >= F.col("_start")
+    in_order = Window.partitionBy("sha256").orderBy("page_index", "seq")
+    is_marker = F.lower("text") == fixed.DECLARED_TOTAL_MARKER
+    placed = runs.select("sha256", "page_index", "seq", "text").withColumn("_place", F.row_number().over(in_order))
+    latest = F.last(F.when(is_marker, F.col("_place")), ignorenulls=True).over(in_order)
+    near = placed.withColumn("_latest", latest).filter(
+        F.col("_place") - F.col("_latest") <= fixed.DECLARED_TOTAL_LOOKAHEAD
     )
-    marked = tail.withColumn("declared", _declared_after_marker()).filter(F.col("declared").isNotNull())
+    marked = near.withColumn("declared", _declared_after_marker()).filter(F.col("declared").isNotNull())
     return marked.groupBy("sha256").agg(F.min_by("declared", _position()).alias("source_quantity_total"))
 
 
+def from_first_marker(runs: DataFrame) -> DataFrame:
+    """Runs of a report from its first total marker on, all that :func:`declared_totals` needs.
+
+    Worth a second pass over runs that lie in a table: the others are not shuffled.
+    """
+    markers = runs.filter(F.lower("text") == fixed.DECLARED_TOTAL_MARKER)
+    starts = markers.groupBy("sha256").agg(F.min(_position()).alias("_start"))
+    narrow = runs.select("sha256", "page_index", "seq", "text")
+    return lookup_join(narrow, starts, ["sha256"]).filter(_position() >= F.col("_start")).drop("_start")
+
+
 def _page_headers(runs: DataFrame) -> DataFrame:
     """AG13 as one row per report: a map from page to the x of each header, the last occurrence.
 
@@ -204,7 +217,7 @@ def read_layout(runs: DataFrame) -> Layout:
     """All movements and the per-report fields. A report without product field has no movements."""
     fields = report_fields(runs)
     has_product = F.col("external_product_id").isNotNull()
-    reports = fields.join(declared_totals(runs), "sha256", "left").withColumn(
+    reports = fields.join(declared_totals(from_first_marker(runs)), "sha256", "left").withColumn(
         "source_quantity_total", F.when(has_product, F.col("source_quantity_total"))
     )
     movements = movements_from_lines(sale_lines(runs)).join(fields.filter(has_product), "sha256")
