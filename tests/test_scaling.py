@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tillmark.functions import hints
 from tillmark.operators import layout
 from tillmark.registered import runners
+from tillmark.sources import audits
 from tillmark.sources.store import ReportStore
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -44,3 +45,18 @@ def test_runs_are_passed_once_for_declared_totals(spark):
     assert [(r[0], float(r[1])) for r in totals.collect()] == [("r", 7.5)]
     assert "Join" not in optimized(totals)
     assert layout.declared_totals(layout.from_first_marker(runs)).collect() == totals.collect()
+
+
+def test_unique_values_are_dealt_over_partitions_that_follow_the_rows(spark, monkeypatch):
+    made, durable = [], audits.durable
+
+    def noting(frame):
+        made.append(optimized(frame))
+        return durable(frame)
+
+    monkeypatch.setattr(audits, "durable", noting)
+    monkeypatch.setattr(audits, "ROWS_PER_TASK", 10)
+    sales = spark.range(100).selectExpr("'POS' external_source", "cast(id % 99 as string) external_sale_id", "cast(id as string) id")
+    broken = audits.constraint_audit({"sale": sales})
+    assert [tuple(row) for row in broken.collect()] == [("uq_sale_external", "POS|0")]
+    assert "RepartitionByExpression [space" in made[0] and ", 10" in made[0]
