@@ -164,3 +164,8 @@ def test_report_bytes_are_made_after_the_last_shuffle(spark):
     plan = plan_of(tb.report_files(spark, "/root/testdata/sf0.001"))
     assert plan.count("Exchange hashpartitioning(report") == 1 and "hashpartitioning(report#" in plan
     assert plan.index("unhex") < plan.index("Exchange hashpartitioning(report") and "hex(encode" not in plan[plan.index("Exchange hashpartitioning(report"):]
+
+
+def test_headers_are_met_without_sorting_runs(spark):
+    lines = plan_of(layout.sale_lines(tb.text_runs(spark, "/root/testdata/sf0.001"), gathered=True))
+    assert "ShuffledHashJoin [sha256" in lines and "collect_list(CASE" not in lines

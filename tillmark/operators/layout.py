@@ -122,14 +122,17 @@ def _page_headers(runs: DataFrame) -> DataFrame:
     return pages.groupBy("sha256").agg(F.map_from_entries(F.collect_list(F.struct("page_index", places))).alias("_pages"))
 
 
-def _with_nearest_header(runs: DataFrame) -> DataFrame:
+def _with_nearest_header(runs: DataFrame, gathered: bool) -> DataFrame:
     """JN9: number of the nearest header of the page, if closer than the tolerance; the earlier one on a tie."""
     # Distance and header number in one whole number: the least of them is the nearest, then earliest, header.
     slots = 16
     ranked = [
         F.abs(F.col("x").cast("long") - F.col(f"_page._h{i}")) * slots + i for i in range(len(fixed.COLUMN_HEADERS))
     ]
-    placed = lookup_join(runs, _page_headers(runs), ["sha256"], "left").withColumn(
+    headers = _page_headers(runs)
+    if gathered:  # a row per report of the partition in a hash table; otherwise both sides would be sorted
+        headers = headers.hint("shuffle_hash")
+    placed = lookup_join(runs, headers, ["sha256"], "left").withColumn(
         "_page", F.try_element_at("_pages", F.col("page_index"))
     )
     near = placed.select("sha256", "page_index", "seq", "y", "text", F.least(*ranked).alias("_near"))
@@ -138,33 +141,33 @@ def _with_nearest_header(runs: DataFrame) -> DataFrame:
     ).drop("_near")
 
 
-def sale_lines(runs: DataFrame) -> DataFrame:
+def sale_lines(runs: DataFrame, gathered: bool = False) -> DataFrame:
     """PF10, WN6, WN7, JN9 and AG14: one row per line that has a sale marker, with its cells.
 
     The last run of a column wins. The first marker of a line names the sale; a later one is a cell. A
     line is put together by one grouping, so runs are reduced to lines before anything is shuffled.
+    ``gathered`` says that the runs of a report lie in one partition.
     """
-    marked = _with_nearest_header(runs).withColumn(
+    marked = _with_nearest_header(runs, gathered).withColumn(
         "_marker", F.startswith(F.lower("text"), F.lit(fixed.SALE_PREFIX)) & F.col("text").rlike(fixed.SALE_PATTERN)
     )
     columns = range(len(CELL_NAMES))
-    run = F.struct("seq", "text")
-    marker = F.struct("seq", "_header", "text")
+    run, marker = F.struct("seq", "text"), F.col("_marker")
+    of = [F.col("_header") == i for i in columns]
     grouped = (
         marked.groupBy("sha256", "page_index", "y")
         .agg(
-            F.collect_list(F.when(F.col("_marker"), marker)).alias("_markers"),
+            F.min(F.when(marker, run)).alias("_first"),
             F.min("seq").alias("_line_seq"),
-            *[F.max(F.when((F.col("_header") == i) & ~F.col("_marker"), run)).alias(f"_c{i}") for i in columns],
+            *[F.max(F.when(~marker & of[i], run)).alias(f"_c{i}") for i in columns],
+            *[F.max(F.when(marker & of[i], run)).alias(f"_m{i}") for i in columns],
         )
-        .filter(F.size("_markers") > 0)
-        .withColumn("_first", F.array_min("_markers"))
+        .filter(F.col("_first").isNotNull())
     )
 
     def cell(i: int) -> Column:
-        later = F.filter("_markers", lambda m: (m["_header"] == i) & (m["seq"] != F.col("_first.seq")))
-        last = F.array_max(F.transform(later, lambda m: F.struct(m["seq"].alias("seq"), m["text"].alias("text"))))
-        return F.when(F.size("_markers") > 1, F.greatest(F.col(f"_c{i}"), last)).otherwise(F.col(f"_c{i}"))["text"]
+        later = F.when(F.col(f"_m{i}.seq") != F.col("_first.seq"), F.col(f"_m{i}"))
+        return F.greatest(F.col(f"_c{i}"), later)["text"]
 
     cells = [cell(i).alias(name) for i, name in enumerate(CELL_NAMES)]
     in_order = Window.partitionBy("sha256").orderBy("page_index", "_line_seq")
@@ -213,14 +216,14 @@ def movements_from_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_layout(runs: DataFrame) -> Layout:
+def read_layout(runs: DataFrame, gathered: bool = False) -> Layout:
     """All movements and the per-report fields. A report without product field has no movements."""
     fields = report_fields(runs)
     has_product = F.col("external_product_id").isNotNull()
     reports = fields.join(declared_totals(from_first_marker(runs)), "sha256", "left").withColumn(
         "source_quantity_total", F.when(has_product, F.col("source_quantity_total"))
     )
-    movements = movements_from_lines(sale_lines(runs)).join(fields.filter(has_product), "sha256")
+    movements = movements_from_lines(sale_lines(runs, gathered)).join(fields.filter(has_product), "sha256")
     return Layout(movements, reports)
 
 

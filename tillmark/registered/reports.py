@@ -130,7 +130,7 @@ def _movement_texts(rows):
 @query("jn9_nearest_column", f"with {LINES} select {_MOVEMENT_TEXTS} from rows_read")
 def jn9_nearest_column(spark, sf_dir):
     """Cells placed by distance to the headers of their page and read as movements."""
-    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir), gathered=True))
     return rows.select(*_movement_texts(rows))
 
 
@@ -146,12 +146,12 @@ def layout_movements(spark, sf_dir):
 
 @query("pf10_sale_marker", f"with {LINES} select report as sha256, page_index, cast(100+line*20 as int) y, external_sale_id from ln")
 def pf10_sale_marker(spark, sf_dir):
-    return layout.sale_lines(_runs(spark, sf_dir)).select("sha256", "page_index", "y", "external_sale_id")
+    return layout.sale_lines(_runs(spark, sf_dir), gathered=True).select("sha256", "page_index", "y", "external_sale_id")
 
 
 @query("wn6_record_index", f"with {LINES} select report as sha256, page_index, cast(100+line*20 as int) y, cast(idx as int) source_record_index from ln")
 def wn6_record_index(spark, sf_dir):
-    return layout.sale_lines(_runs(spark, sf_dir)).select("sha256", "page_index", "y", "source_record_index")
+    return layout.sale_lines(_runs(spark, sf_dir), gathered=True).select("sha256", "page_index", "y", "source_record_index")
 
 
 @query("wn7_second_marker", f"with {LINES} select report as sha256, cast(idx as int) source_record_index, external_sale_id, 'Venda Numero: 1' price from ln")
@@ -190,7 +190,7 @@ def ag13_header_positions(spark, sf_dir):
  case when near then case when line_number = 5 then '31/02/2026' else strftime(occurred_at, '%d/%m/%Y') end end as date,
  case when near and direction <> 'IN' then {_br('quantity', 3)} end exits, case when near and direction <> 'OUT' then {_br('quantity', 3)} end entries from ln""")
 def ag14_line_cells(spark, sf_dir):
-    return layout.sale_lines(_runs(spark, sf_dir)).select(
+    return layout.sale_lines(_runs(spark, sf_dir), gathered=True).select(
         "sha256", "source_record_index", "price", "total", "date", "exits", "entries"
     )
 
@@ -203,7 +203,7 @@ _TOTALS = f"""select report as sha256, cast(coalesce(sum(case when direction='OU
 @query("ag6_report_totals", f"""with {LINES}, k as ({_TOTALS}) select sha256, cast(q as varchar) parsed_quantity_total, cast(r as varchar) parsed_revenue_total,
  {iso('f')} first_movement_at, {iso('t')} last_movement_at from k""")
 def ag6_report_totals(spark, sf_dir):
-    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir), gathered=True))
     totals = layout.report_totals(rows)
     return totals.select(
         "sha256", plain_text(F.col("parsed_quantity_total").cast("decimal(29,6)")).alias("parsed_quantity_total"),
@@ -214,14 +214,14 @@ def ag6_report_totals(spark, sf_dir):
 
 @query("ag8_report_stats", f"""with {LINES}, k as ({_TOTALS}) select sha256, lines, u unique_sales, cast(i as bigint) entries, cast(o as bigint) exits from k""")
 def ag8_report_stats(spark, sf_dir):
-    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir), gathered=True))
     return layout.report_totals(rows).select("sha256", "lines", "unique_sales", "entries", "exits")
 
 
 @query("sf2_invalid_times", f"""with {LINES} select report as sha256, source_record_index, {iso('occurred_at')} occurred_at,
  case when bad_time then '31/02/2026 10:05:00' end invalid_time from rows_read""")
 def sf2_invalid_times(spark, sf_dir):
-    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir)))
+    rows = layout.movements_from_lines(layout.sale_lines(_runs(spark, sf_dir), gathered=True))
     return rows.select("sha256", "source_record_index", iso_text(F.col("occurred_at")).alias("occurred_at"), "invalid_time")
 
 
