@@ -166,6 +166,21 @@ def test_report_bytes_are_made_after_the_last_shuffle(spark):
     assert plan.index("unhex") < plan.index("Exchange hashpartitioning(report") and "hex(encode" not in plan[plan.index("Exchange hashpartitioning(report"):]
 
 
+def test_stored_runs_are_not_moved_by_their_layout(spark, monkeypatch):
+    from tillmark.registered import reports
+
+    monkeypatch.setattr(reports, "_read_back", lambda spark, sf_dir: read_reports(spark.createDataFrame(
+        [(key, report_bytes([[(100, 100, "Venda Numero: 1")]]), "QRP", f"{key}.QRP") for key in "abc"],
+        "sha256 string, content binary, detected_type string, original_filename string",
+    )))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(reports.layout_movements(spark, ""))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan
+
+
 def test_headers_are_met_without_sorting_runs(spark):
     lines = plan_of(layout.sale_lines(tb.text_runs(spark, "/root/testdata/sf0.001"), gathered=True))
     assert "ShuffledHashJoin [sha256" in lines and "collect_list(CASE" not in lines
