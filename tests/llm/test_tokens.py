@@ -81,3 +81,14 @@ def test_empty_tables(documents):
     df = documents([])
     assert byte_bpe.digests(df, RANKS, public_tokenizers.PATTERN).count() == 0
     assert token_counts.count_tokens(df, MODEL, 5).count() == 0
+
+
+def test_texts_of_two_byte_characters_are_split_by_short_classes_alike():
+    short, full = byte_bpe.splitter(public_tokenizers.PATTERN, 0x10000), byte_bpe.splitter(public_tokenizers.PATTERN)
+    assert len(short.pattern) < len(full.pattern) / 1.5 and r"\U0001" in full.pattern and r"\U0001" not in short.pattern
+    codec = byte_bpe.ByteCodec({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    for letters in ("ab 1'!\t\n", "aß中￿٣ 　'", "a😀𝐀𝟗 \U0010ffff'"):
+        for _ in range(300):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+            assert codec.matches(text) == full.findall(text)

@@ -37,14 +37,16 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-def splitter(pattern: str) -> re.Pattern[str]:
+def splitter(pattern: str, end: int = 0x110000) -> re.Pattern[str]:
     r"""The pattern for the standard matcher, its Unicode classes (``\p{L}``, ``\s``, ``\S``) spelled out as ranges.
 
-    The ranges come from the ``regex`` module, which knows the classes; the standard matcher is twice as fast.
+    The ranges come from the ``regex`` module, which knows the classes; the standard matcher is twice as fast. Texts whose
+    characters all lie before ``end`` are split alike by ranges up to there: the matcher looks up characters of two bytes
+    in a table and walks the ranges beyond one by one, at the end of every match.
     """
     import regex
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = "".join(map(chr, [*range(min(end, 0xD800)), *range(0xE000, end)]))
 
     def ranges(name: str) -> str:
         return "".join(rf"\U{ord(run[0]):08x}-\U{ord(run[-1]):08x}" for run in _runs(regex.findall(f"{name}+", every)))
@@ -92,7 +94,7 @@ class ByteCodec:
             )
         )
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.matches = splitter(pattern).findall
+        self.any_matches, self.short_matches = splitter(pattern).findall, splitter(pattern, 0x10000).findall
         self.forget()
         back = {letter: b for b, letter in enumerate(letters)}
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -105,6 +107,10 @@ class ByteCodec:
         self.known: dict[str, bytes] = {}
         self.kept = 0
 
+    def matches(self, text: str) -> list[str]:
+        short = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+        return self.short_matches(text) if short else self.any_matches(text)
+
     def encode(self, text: str) -> np.ndarray:
         found = self.matches(text)
         fresh = [m for m in dict.fromkeys(found) if m not in self.known]
