@@ -67,3 +67,16 @@ def test_without_labels(spark, documents):
     fitted = toxicity.fit(*toxicity.sample(df, labels))
     assert [r["score"] for r in toxicity.score(df, fitted, 0.3).collect()] == [0.0, 0.0]
     assert toxicity.score(documents([]), fitted, 0.3).count() == 0
+
+
+def test_scoring_equals_the_steps_that_training_keeps():
+    network, rng = toxicity.Network(5), np.random.default_rng(2)
+    words = toxicity.Words()
+    words.read("some words of a text that are met once and then again")
+    gates = network.gates(network.vectors(words.rows, words.grams))
+    ids = rng.integers(0, len(words.rows), (toxicity.WINDOW, 7))
+    for d, g in zip("fb", gates):
+        kept: list = []
+        assert np.array_equal(network._states(d, g, ids), network.layer(d, g, ids, kept)) and len(kept) == toxicity.WINDOW
+    assert np.array_equal(network.logits(gates, ids), network.logits(gates, ids, {}))
+    assert words.read("again once unmet")[:2].tolist() == [words.number["again"], words.number["once"]] and "unmet" in words.number

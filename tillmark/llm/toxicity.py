@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,11 @@ class Words:
 
     def read(self, text: str) -> np.ndarray:
         found = words_of(text.lower())
-        for word in found:
+        try:
+            return np.fromiter(map(self.number.__getitem__, found), dtype=np.int64, count=len(found))
+        except KeyError:  # a word not met before
+            pass
+        for word in dict.fromkeys(found):
             if word not in self.number:
                 self.number[word] = len(self.rows)
                 row, grams = buckets(word)
@@ -90,8 +95,9 @@ class Network:
         self.p |= {"w": draw(2 * h, by=0.3), "b": np.zeros(1, np.float32)}
 
     def vectors(self, rows: list[int], grams: list[list[int]]) -> np.ndarray:
-        starts = np.cumsum([0, *map(len, grams[:-1])])
-        parts = np.add.reduceat(self.p["grams"][np.concatenate(grams)], starts) / np.array([[len(g)] for g in grams], np.float32)
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        flat = np.fromiter(chain.from_iterable(grams), np.int64, sizes.sum())
+        parts = np.add.reduceat(self.p["grams"][flat], np.cumsum(sizes) - sizes) / sizes.astype(np.float32)[:, None]
         return np.hstack([self.p["words"][rows], parts])
 
     def gates(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +105,8 @@ class Network:
 
     def layer(self, d: str, gates: np.ndarray, ids: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States of one direction for windows in columns, ``ids[position, window]``."""
+        if keep is None:
+            return self._states(d, gates, ids)
         h, u = HIDDEN, self.p[f"U{d}"]
         state = np.zeros((ids.shape[1], h), np.float32)
         out = np.empty((len(ids), ids.shape[1], h), np.float32)
@@ -108,21 +116,50 @@ class Network:
             zr = sigmoid(into[:, : 2 * h] + again[:, : 2 * h])
             z, r = zr[:, :h], zr[:, h:]
             new = np.tanh(into[:, 2 * h :] + r * again[:, 2 * h :])
-            if keep is not None:
-                keep.append((t, inside, state, z, r, new, again[:, 2 * h :]))
+            keep.append((t, inside, state, z, r, new, again[:, 2 * h :]))
             state = state + inside * (1 - z) * (new - state)
             out[t] = state
         return out
 
+    def _states(self, d: str, gates: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The same steps in the same order of operations for scoring, in arrays that are used again for every position."""
+        h, u, count = HIDDEN, self.p[f"U{d}"], ids.shape[1]
+        ids = np.ascontiguousarray(ids)
+        inside = (ids > 0).astype(np.float32)[:, :, None]
+        into, again = np.empty((count, 3 * h), np.float32), np.empty((count, 3 * h), np.float32)
+        zr, new, step = np.empty((count, 2 * h), np.float32), np.empty((count, h), np.float32), np.empty((count, h), np.float32)
+        state, out = np.zeros((count, h), np.float32), np.empty((len(ids), count, h), np.float32)
+        for t in range(len(ids)) if d == "f" else reversed(range(len(ids))):
+            np.take(gates, ids[t], axis=0, out=into, mode="clip")
+            np.matmul(state, u, out=again)
+            np.add(into[:, : 2 * h], again[:, : 2 * h], out=zr)
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            np.multiply(zr[:, h:], again[:, 2 * h :], out=new)
+            new += into[:, 2 * h :]
+            np.tanh(new, out=new)
+            new -= state
+            np.subtract(1, zr[:, :h], out=step)
+            step *= inside[t]
+            step *= new
+            state = np.add(state, step, out=out[t])
+        return out
+
     def logits(self, gates: tuple[np.ndarray, np.ndarray], ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
         p = self.p
         lists = [None, None] if keep is None else [keep.setdefault(d, []) for d in "fb"]
         states = np.concatenate([self.layer(d, g, ids, k) for d, g, k in zip("fb", gates, lists)], axis=2)
-        inner = np.tanh(states @ p["A"] + p["a"])
+        inner = states @ p["A"]
+        inner += p["a"]
+        np.tanh(inner, out=inner)
         weight = inner @ p["v"] + np.where(ids > 0, np.float32(0), np.float32(-30))
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
-        pooled = (weight[:, :, None] * states).sum(axis=0)
+        pooled, part = weight[0, :, None] * states[0], np.empty_like(states[0])
+        for w, state in zip(weight[1:], states[1:]):
+            pooled += np.multiply(w[:, None], state, out=part)
         if keep is not None:
             keep.update(states=states, inner=inner, weight=weight, pooled=pooled)
         return pooled @ p["w"] + p["b"]
