@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tillmark.llm import ngram_join
@@ -81,6 +82,32 @@ def test_large_groups_equal_brute_force(spark, documents, seed, monkeypatch):
     assert max(sizes) > 20 and sizes.count(1) > 20
 
 
+def grouped(groups):
+    """Groups (lists of node, size, place, class) as sorted rows."""
+    flat = np.array([(g, *row) for g, rows in enumerate(groups) for row in rows], dtype=np.int64)
+    return flat[:, 0], ngram_join._Rows(*flat[:, 1:].T)
+
+
+def test_alike_groups_give_a_pair_once():
+    nodes = np.random.RandomState(5).permutation(300)
+    alike = [[(n, 150, g if n == 7 else g + 1, n) for n in nodes[: 290 + g % 10]] + [(900 + g, 150, 20, 900 + g)] for g in range(15)]
+    found = [r for b in ngram_join._met(*grouped(alike), 0) for r in b.to_pylist()]
+    assert len(found) < 320 and all(7 in (r["a"], r["b"]) for r in found)
+    assert all(r["pivot"] == (1 if r["a"] == 7 else 2) for r in found)
+
+
+def test_rows_without_partner_leave_and_no_link_is_lost():
+    rnd = random.Random(6)
+    rows = [(n, rnd.randrange(60, 160), rnd.randrange(0, 60), n % 50) for n in range(200)]
+    keys, kept = grouped([rows])
+    left = set(ngram_join._partnered(kept, np.arange(200)).tolist())
+    x, y = np.triu_indices(200, 1)
+    may = ngram_join._linkable(kept, x, y)
+    needed = set(x[may].tolist()) | set(y[may].tolist())
+    assert needed <= left and len(left) < 200
+    assert [r for b in ngram_join._met(*grouped([[(n, 150, 40, n) for n in range(100)]]), 0) for r in b.to_pylist()] == []
+
+
 def test_one_of_each_and_repeated_rows(spark, documents):
     df = documents(["a b c d e f", "A B c d e f", None, "", "x y"])
     twice = df.unionByName(df)

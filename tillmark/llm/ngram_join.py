@@ -7,15 +7,17 @@ pairs that cannot reach the similarity go. The order is cut into fragments of eq
 counted in each fragment apart and the parts are summed per pair.
 
 Only classes are asked for, so pairs inside a group need not all be tried. Documents with equal sets are one node. Nodes
-that share a prefix n-gram are a group. A group of at most ``SMALL`` nodes tries its pairs, where their places in the two
-prefixes allow for a link: what two sets share from their first common n-gram on is bounded by what lies behind it. In a
-larger one a pivot is tried against all others, which merges what lies close to it. What two nodes of such a group still
-may have in common shows in how they differ from the pivot: sets alike enough differ in at most ``q (n + m)`` elements,
-``q = (1 - T) / (1 + T)``, so of two linked nodes one of which is not linked with the pivot, the differences from the pivot
-overlap. They are sets with a least overlap again, so their prefixes, elements rare among the pivot's nodes first, give the
-groups of the next turn. Nodes that one class holds leave. After ``TURNS`` turns what groups are left try all pairs across
-classes. No link between different classes can be missed, and neither thousands of near copies that link nor thousands
-that lie just too far apart are tried pair by pair.
+that share a prefix n-gram are a group; the task that holds a group forms its pairs. A group of at most ``SMALL`` nodes tries
+its pairs, where their places in the two prefixes allow for a link: what two sets share from their first common n-gram on is
+bounded by what lies behind it. A larger one drops the nodes whose place leaves them no partner and tries a pivot, the node
+with the least before the common n-gram, against all others, which merges what lies close to it. Groups of several classes are
+left for a next turn. The second turn takes the prefixes again by an order that counts the nodes left alone, so what sets them
+apart comes first. In later turns, what two nodes of such a group still may have in common shows in how they differ from the
+pivot: sets alike enough differ in at most ``q (n + m)`` elements, ``q = (1 - T) / (1 + T)``, so of two linked nodes one of
+which is not linked with the pivot, the differences from the pivot overlap. They are sets with a least overlap again, so their
+prefixes, elements rare among the pivot's nodes first, give the groups of the next turn. Nodes that one class holds leave.
+After ``TURNS`` turns what groups are left try all pairs across classes. No link between different classes can be missed, and
+neither thousands of near copies that link nor thousands that lie just too far apart are tried pair by pair.
 
 Words are cut by ASCII white space, A-Z lower-cased; n-grams and sets are told apart by 64-bit hashes. A
 document with fewer words than an n-gram has them all as one; null, empty or blank texts have no n-gram and link with
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,10 @@ BUCKETS, BLOCK = 1 << 20, 1 << 12
 PROFILE = 256
 #: Fragments of the order, rows of a prefix partition.
 FRAGMENTS, PART_ROWS = 8, 400_000
-#: Nodes of a group that tries all its pairs, turns of one node against the others.
-SMALL, TURNS = 64, 3
+#: Nodes of a group that tries all its pairs, turns of one node against the others, and how many of them rest on sketches.
+SMALL, TURNS, SKETCHED = 64, 4, 2
+#: Rows of texts taken up at a time, pairs formed at a time, n-grams packed at a time.
+SLICE, PAIRS, PACKED = 256, 200_000, 400_000
 
 #: Hashes of words, known to a worker while a task runs: KEPT words at most, about 200 bytes each.
 KEPT = 250_000
@@ -84,6 +89,11 @@ def shingles(text: str, size: int = WORDS) -> np.ndarray:
     return np.unique(_mix(grams))
 
 
+def _bucket(grams: np.ndarray, turn: int) -> np.ndarray:
+    """The bucket of each n-gram in the sketch of a turn; n-grams that meet in one turn's sketch part in the next one's."""
+    return ((grams if not turn else _mix(grams ^ np.array([turn], dtype=np.uint64))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 def _node(grams: np.ndarray) -> int:
     """The number that stands for a set."""
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -103,6 +113,13 @@ def _may_link(left: pa.Array, right: pa.Array, n_left: pa.Array, n_right: pa.Arr
     return pa.array((100 + PERCENT) * bound.astype(np.float64) >= PERCENT * total)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of SLICE rows: what a task holds as Python objects does not follow the size of a batch."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE):
+            yield batch.slice(first, SLICE)
+
+
 def _surveyed(docs: DataFrame) -> DataFrame:
     """Per document the size ``n``, ``node`` and ``profile`` of its set; besides, per task the sketch counts in rows with a ``block``."""
     fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("profile", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())]
@@ -113,10 +130,10 @@ def _surveyed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.uint32)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(text) for text in texts_of(batch)]
-            every = (np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64) if sets else np.empty(0, dtype=np.int64)
-            counts += np.bincount(every, minlength=BUCKETS).astype(np.uint32)
+            if sets:
+                counts += np.bincount(_bucket(np.concatenate(sets), 0), minlength=BUCKETS).astype(np.uint32)
             yield rows(len(sets), doc_id=batch.column("doc_id"), n=[len(s) for s in sets], node=[_node(s) for s in sets], profile=[_profile(s) for s in sets])
         if counts.any():
             blocks = [b.tobytes() for b in counts.reshape(-1, BLOCK)]
@@ -127,6 +144,27 @@ def _surveyed(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, n bigint, node bigint, profile binary, block int, counts binary")
 
 
+def _surveyed_again(texts: DataFrame, turn: int) -> DataFrame:
+    """Per task the sketch counts of ``node, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.uint32)
+        for batch in _slices(batches):
+            np.add.at(counts, _bucket(np.concatenate([shingles(text) for text in texts_of(batch)]), turn), 1)
+        if counts.any():
+            blocks = counts.reshape(-1, BLOCK)
+            some = np.flatnonzero(blocks.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "counts"])
+        _forget()
+
+    return texts.select("text").mapInArrow(run, "block int, counts binary")
+
+
+def _parts(counts: np.ndarray) -> int:
+    """Partitions that prefixes are dealt to."""
+    return max(16, int(counts.sum()) // 4 // PART_ROWS)
+
+
 def _sketch(blocks: DataFrame) -> np.ndarray:
     """The counts of all tasks, added up where a block's rows meet; BUCKETS numbers come to the driver."""
 
@@ -145,44 +183,48 @@ def _sketch(blocks: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def _prefixes(docs: DataFrame, ranks: object, parts: int) -> DataFrame:
-    """The first n-grams of every document in the global order, packed by ``part`` of their hashes."""
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """The place of each bucket in the order, as one byte."""
+    return np.minimum(255, np.log2(np.maximum(counts, 1).astype(np.float64)) * 4).astype(np.uint8)
+
+
+def _prefixes(texts: DataFrame, ranks: object, parts: int, turn: int) -> DataFrame:
+    """The first n-grams of every ``text, class`` in the order of a turn, packed by ``part`` of their hashes; class null: the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        names = ("grams", "nodes", "sizes", "places", "classes")
 
         def packed() -> pa.RecordBatch:
-            grams, nodes, sizes, places = (np.concatenate(c) for c in zip(*held))
-            part = (grams >> np.uint64(20)) % np.uint64(parts)
+            columns = [np.concatenate(c) for c in zip(*held)]
+            part = (columns[0] >> np.uint64(20)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
-            grams, nodes, sizes, places, part = grams[order], nodes[order], sizes[order], places[order], part[order]
+            columns, part = [c[order] if len(c) else c for c in columns], part[order]
             present, first = np.unique(part, return_index=True)
             ends = [*first[1:], len(part)]
-            sliced = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(present.astype(np.int32)), sliced(grams), sliced(nodes), sliced(sizes), sliced(places)],
-                names=["part", "grams", "nodes", "sizes", "places"],
-            )
+            sliced = [pa.array([c[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *sliced], names=["part", *names])
 
-        for batch in batches:
-            for text in texts_of(batch):
+        for batch in _slices(batches):
+            for text, known in zip(texts_of(batch), batch.column("class").to_pylist()):
                 grams = shingles(text)
-                n = len(grams)
+                n, node = len(grams), _node(grams)
                 if not n:
                     continue
-                rank = ranks.value[(grams % np.uint64(BUCKETS)).astype(np.int64)]
+                rank = ranks.value[_bucket(grams, turn)]
                 chosen = grams[np.argsort(rank, kind="stable")[: n - (-(-PERCENT * n // 100)) + 1]]
                 held.append(
                     (
                         chosen,
-                        np.full(len(chosen), _node(grams), dtype=np.int64),
+                        np.full(len(chosen), node, dtype=np.int64),
                         np.full(len(chosen), n, dtype=np.uint32),
                         np.arange(len(chosen), dtype=np.uint32),
+                        np.full(len(chosen) if turn else 0, node if known is None else known, dtype=np.int64),
                     )
                 )
                 size += len(chosen)
-                if size > 1_000_000:
+                if size > PACKED:
                     yield packed()
                     held.clear()
                     size = 0
@@ -190,31 +232,122 @@ def _prefixes(docs: DataFrame, ranks: object, parts: int) -> DataFrame:
             yield packed()
         _forget()
 
-    rows = docs.select(whole_text().alias("text"))
-    return rows.mapInArrow(run, "part int, grams binary, nodes binary, sizes binary, places binary")
+    return texts.select("text", "class").mapInArrow(run, "part int, grams binary, nodes binary, sizes binary, places binary, classes binary")
+
+
+#: A pair of nodes with their sizes; ``pivot`` says which of them the other one met as a pivot (1 the first, 2 the second, 3 both,
+#: 0 none), 4 more that they are of one class already.
+TRIED = "a bigint, b bigint, n_a bigint, n_b bigint, pivot int"
+
+
+class _Rows(NamedTuple):
+    """Rows of groups: the node, the size of its set, the place of the group's n-gram in its prefix, its class."""
+
+    nodes: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+    classes: np.ndarray
+
+
+def _tried(rows: _Rows, x: np.ndarray, y: np.ndarray, circle: bool = False) -> pa.RecordBatch:
+    """Pairs of rows as distinct pairs with the smaller node first; in a circle the rows ``x`` are pivots."""
+    nodes, sizes, classes = rows.nodes, rows.sizes, rows.classes
+    swap = nodes[x] > nodes[y]
+    a, b = np.where(swap, y, x), np.where(swap, x, y)
+    kind = np.where(swap, 2, 1) + 4 * (classes[x] == classes[y]) if circle else np.zeros(len(a), dtype=np.int64)
+    order = np.lexsort((kind, nodes[b], nodes[a]))
+    a, b, kind = a[order], b[order], kind[order]
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = (nodes[a[1:]] != nodes[a[:-1]]) | (nodes[b[1:]] != nodes[b[:-1]]) | (kind[1:] != kind[:-1])
+    a, b, kind = a[fresh], b[fresh], kind[fresh]
+    columns = [*(pa.array(c.astype(np.int64)) for c in (nodes[a], nodes[b], sizes[a], sizes[b])), pa.array(kind.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n_a", "n_b", "pivot"])
 
 
-def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
-    """``gram, node, n, place`` (in the node's prefix) for n-grams that several nodes have in their prefixes.
+def _linkable(rows: _Rows, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the rows ``x`` and ``y`` are of two classes and can share enough, if they share nothing before their places."""
+    n_x, n_y = rows.sizes[x], rows.sizes[y]
+    may = (100 + PERCENT) * np.minimum(n_x - rows.places[x], n_y - rows.places[y]) >= PERCENT * (n_x + n_y)
+    return may & (rows.classes[x] != rows.classes[y]) & (100 * np.minimum(n_x, n_y) >= PERCENT * np.maximum(n_x, n_y))
 
-    Of n-grams with equal nodes the first in the global order stays: what its nodes share, they share from there on.
+
+def _partnered(rows: _Rows, group: np.ndarray) -> np.ndarray:
+    """The rows of a group less those that no row of it can link with by size and place."""
+    while True:
+        n = rows.sizes[group]
+        most = (100 + PERCENT) * (n - rows.places[group]) // PERCENT - n  # the largest set it can link with
+        order = np.argsort(n)
+        reach = np.maximum.accumulate(most[order])
+        last = np.searchsorted(n[order], most, side="right") - 1
+        left = group[(last >= 0) & (reach[np.maximum(last, 0)] >= n)]
+        if len(left) in (0, len(group)):
+            return left
+        group = left
+
+
+def _met(grams: np.ndarray, rows: _Rows, turn: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that the groups (rows sorted by ``grams``, a node once in each) have to try.
+
+    Groups of one class have none. Small ones try all pairs across classes. Larger ones drop the rows that cannot link and try
+    a pivot with each other node: the one with the least before the common n-gram, so the one nearest to what all share.
+    Groups of nearly the same nodes mostly have the same pivot, so they give a pair once, not once each.
+    """
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    counts = np.diff([*first, len(grams)])
+    across = np.minimum.reduceat(rows.classes, first) < np.maximum.reduceat(rows.classes, first)
+    for size in np.unique(counts[across & (counts <= SMALL)]):
+        left, right = np.triu_indices(size, 1)
+        begins = first[across & (counts == size)]
+        step = max(1, PAIRS // len(left))
+        for i in range(0, len(begins), step):
+            begin = begins[i : i + step, None]
+            x, y = (begin + left).ravel(), (begin + right).ravel()
+            may = _linkable(rows, x, y)
+            yield _tried(rows, x[may], y[may])
+    drawn = _mix(rows.nodes.view(np.uint64) ^ np.array([turn], dtype=np.uint64))
+    pairs: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
+    waiting = 0
+    for i, n in zip(first[across & (counts > SMALL)], counts[across & (counts > SMALL)]):
+        group = _partnered(rows, np.arange(i, i + n))
+        if not len(group) or (rows.classes[group] == rows.classes[group[0]]).all():
+            continue
+        if len(group) <= SMALL:
+            left, right = np.triu_indices(len(group), 1)
+            may = _linkable(rows, group[left], group[right])
+            pairs[False].append((group[left][may], group[right][may]))
+        else:
+            pivot = group[np.lexsort((drawn[group], rows.places[group]))[0]]
+            others = group[group != pivot]
+            pairs[True].append((np.full(len(others), pivot), others))
+        waiting += len(group)
+        if waiting > PAIRS:
+            yield from (_tried(rows, *map(np.concatenate, zip(*found)), circle) for circle, found in pairs.items() if found)
+            pairs, waiting = {False: [], True: []}, 0
+    yield from (_tried(rows, *map(np.concatenate, zip(*found)), circle) for circle, found in pairs.items() if found)
+
+
+def _shared(prefixes: DataFrame, parts: int, turn: int) -> DataFrame:
+    """Pairs ``TRIED`` of a turn: nodes that have an n-gram in both their prefixes.
+
+    Of n-grams with equal nodes the first in the global order counts: what its nodes share, they share from there on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"grams": np.uint64, "nodes": np.int64, "sizes": np.uint32, "places": np.uint32}
+        kinds = {"grams": np.uint64, "nodes": np.int64, "sizes": np.uint32, "places": np.uint32, "classes": np.int64}
         held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
         for batch in batches:
             for c, kind in kinds.items():
                 held[c] += [np.frombuffer(b, dtype=kind) for b in batch.column(c).to_pylist()]
         if not held["grams"]:
             return
-        grams, nodes, sizes, places = (np.concatenate(held[c]) for c in kinds)
+        grams, nodes, sizes, places, classes = (np.concatenate(held[c]) for c in kinds)
         held.clear()
+        classes = classes if turn else nodes
         order = np.lexsort((nodes, grams))
-        grams, nodes, sizes, places = grams[order], nodes[order], sizes[order], places[order]
+        grams, nodes, sizes, places, classes = grams[order], nodes[order], sizes[order], places[order], classes[order]
         fresh = np.ones(len(grams), dtype=bool)
         fresh[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
-        grams, nodes, sizes, places = grams[fresh], nodes[fresh], sizes[fresh], places[fresh]
+        grams, nodes, sizes, places, classes = grams[fresh], nodes[fresh], sizes[fresh], places[fresh], classes[fresh]
         first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
         counts = np.diff([*first, len(grams)])
         marks = np.add.reduceat(_mix(nodes.view(np.uint64)), first)
@@ -223,12 +356,40 @@ def _shared(prefixes: DataFrame, parts: int) -> DataFrame:
         several = several[np.argsort(places[first[several]], kind="stable")]  # equal nodes begin with the same node
         keep[several[np.unique(np.stack([marks[several], counts[several].astype(np.uint64)]), axis=1, return_index=True)[1]]] = True
         rows = np.repeat(keep, counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(grams[rows].view(np.int64)), pa.array(nodes[rows]), *(pa.array(c[rows].astype(np.int64)) for c in (sizes, places))],
-            names=["gram", "node", "n", "place"],
-        )
+        grams, nodes, sizes, places = grams[rows], nodes[rows], sizes[rows].astype(np.int64), places[rows].astype(np.int64)
+        if len(grams):
+            yield from _met(grams, _Rows(nodes, sizes, places, classes[rows]), turn)
 
-    return prefixes.repartition(parts, "part").mapInArrow(run, "gram bigint, node bigint, n bigint, place bigint")
+    return prefixes.repartition(parts, "part").mapInArrow(run, TRIED)
+
+
+def _shared_again(groups: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``TRIED`` of a later turn, from groups ``gram, node, n`` whose nodes lie in several classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(batch.column(c).to_numpy() for c in ("gram", "node", "n", "class")) for batch in batches if batch.num_rows]
+        if not held:
+            return
+        grams, nodes, sizes, known = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        order = np.argsort(grams, kind="stable")
+        grams, nodes, sizes, known = grams[order], nodes[order], sizes[order], known[order]
+        yield from _met(grams, _Rows(nodes, sizes, np.zeros(len(grams), dtype=np.int64), known), turn)
+
+    return _of_classes(groups, classes).repartition("gram").mapInArrow(run, TRIED)
+
+
+def _refined(texts: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``TRIED`` of ``node, text``, by the order of a sketch that counts these texts alone."""
+    counts = _sketch(_surveyed_again(texts, turn))
+    parts = _parts(counts)
+    known = texts.join(classes, texts["node"] == classes["id"], "left").select("text", F.col("component_id").alias("class"))
+    ranks = texts.sparkSession.sparkContext.broadcast(_ranks(counts))
+    return _shared(_prefixes(known, ranks, parts, turn), parts, turn)
+
+
+def _distinct(tried: DataFrame) -> DataFrame:
+    return tried.groupBy("a", "b", "n_a", "n_b").agg(F.bit_or("pivot").alias("pivot"))
 
 
 def _cuts(counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -246,13 +407,13 @@ def _segments(docs: DataFrame, ranks: object, cuts: np.ndarray) -> DataFrame:
     """The sets of the given documents (``node, text``) as one row per fragment of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple[int, int, bytes]] = []
             for node, text in zip(batch.column("node").to_pylist(), texts_of(batch)):
                 grams = shingles(text)
                 if _node(grams) != node:
                     continue  # another row of the same doc_id
-                place = ranks.value[(grams % np.uint64(BUCKETS)).astype(np.int64)] + grams / 2.0**64
+                place = ranks.value[_bucket(grams, 0)] + grams / 2.0**64
                 fragment = np.searchsorted(cuts, place, side="right")
                 out += [(node, int(f), grams[fragment == f].tobytes()) for f in np.unique(fragment)]
             yield pa.RecordBatch.from_arrays(
@@ -302,34 +463,28 @@ def _close_in_size(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column) -> Column:
-    """Whether two sets that share nothing before these places can still share enough."""
-    return (100 + PERCENT) * F.least(n_a - place_a, n_b - place_b) >= PERCENT * (n_a + n_b)
+def _of_classes(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows ``gram, node, n`` of groups with the ``class`` of each node."""
+    rows = groups.join(classes, groups["node"] == classes["id"], "left")
+    return rows.select("gram", "node", "n", F.coalesce("component_id", "node").alias("class"))
 
 
-def _across(groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows ``gram, node, n, place`` of groups whose nodes lie in several classes, with their ``class`` and the group's ``size``."""
-    rows = groups.join(classes, groups["node"] == classes["id"], "left").select(
-        "gram", "node", "n", "place", F.coalesce("component_id", "node").alias("class")
-    )
-    split = rows.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size")).where("low < high")
-    return rows.join(split.select("gram", "size"), "gram")
-
-
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """All pairs across classes of the groups in ``rows`` that can link."""
-    other = rows.select("gram", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "place", "class")))
-    may = _reachable(F.col("n"), F.col("place"), F.col("n_y"), F.col("place_y"))
-    pairs = rows.join(other, "gram").where((F.col("class") < F.col("class_y")) & may)
-    return pairs.select(F.col("node").alias("x"), F.col("node_y").alias("y"), F.col("n").alias("n_x"), "n_y")
+def _all_within(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs ``TRIED`` across classes of groups ``gram, node, n``, whatever their size."""
+    rows = _of_classes(groups, classes)
+    split = rows.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    rows = rows.join(split.select("gram"), "gram")
+    other = rows.select("gram", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "class")))
+    may = (F.col("node") < F.col("node_y")) & (F.col("class") != F.col("class_y")) & _close_in_size(F.col("n"), F.col("n_y"))
+    pairs = rows.join(other, "gram").where(may)
+    return pairs.select(F.col("node").alias("a"), F.col("node_y").alias("b"), F.col("n").alias("n_a"), F.col("n_y").alias("n_b"), F.lit(0).alias("pivot"))
 
 
-def _circles(rows: DataFrame, turn: int) -> DataFrame:
-    """``c, node, n_c, n``: the pivot of each group with every other node of the group; another pivot each turn."""
-    one = F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn)))
-    middle = rows.groupBy("gram").agg(one.alias("one"))
-    both = rows.join(middle, "gram").where(F.col("node") != F.col("one.node"))
-    return both.select(F.col("one.node").alias("c"), "node", F.col("one.n").alias("n_c"), "n").distinct()
+def _circles(pairs: DataFrame) -> DataFrame:
+    """``c, node, n_c, n``: the pivots with every node that met them."""
+    one = pairs.where("pivot & 1 = 1").select(F.col("a").alias("c"), F.col("b").alias("node"), F.col("n_a").alias("n_c"), F.col("n_b").alias("n"))
+    two = pairs.where("pivot & 2 = 2").select(F.col("b").alias("c"), F.col("a").alias("node"), F.col("n_b").alias("n_c"), F.col("n_a").alias("n"))
+    return one.unionByName(two)
 
 
 def _open_circles(circles: DataFrame, classes: DataFrame) -> DataFrame:
@@ -345,7 +500,7 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
     """``node, grams`` (all n-grams, sorted) of texts ``node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             for node, text in zip(batch.column("node").to_pylist(), texts_of(batch)):
                 grams = shingles(text)
                 if _node(grams) == node:  # else another row of the same doc_id
@@ -358,7 +513,7 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
 
 
 def _differences(circles: DataFrame, sets: DataFrame, scratch: str) -> DataFrame:
-    """The groups ``gram, node, n, place`` of the next turn: nodes of a circle that differ from its pivot alike.
+    """The groups ``gram, node, n`` of the next turn: nodes of a circle that differ from its pivot alike.
 
     With ``d`` elements in which a node differs from its pivot ``c``, two nodes that link share at least
     ``(d + d' - q (n + n')) / 2`` of them. As ``d' - q n' >= -q n_c`` always, and ``> q n_c`` for the partner of a node that links
@@ -385,18 +540,7 @@ def _differences(circles: DataFrame, sets: DataFrame, scratch: str) -> DataFrame
     groups = prefixes.distinct()
     marks = groups.groupBy("gram").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).where("size > 1")
     first = marks.groupBy("size", "mark").agg(F.min("gram").alias("gram"))  # of groups with equal nodes one
-    return groups.join(first.select("gram"), "gram").select("gram", "node", "n", F.lit(0).cast("long").alias("place"))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs with the smaller node first."""
-    swap = F.col("x") > F.col("y")
-    return pairs.where("x <> y").select(
-        F.least("x", "y").alias("a"),
-        F.greatest("x", "y").alias("b"),
-        F.when(swap, F.col("n_y")).otherwise(F.col("n_x")).alias("n_a"),
-        F.when(swap, F.col("n_x")).otherwise(F.col("n_y")).alias("n_b"),
-    ).distinct()
+    return groups.join(first.select("gram"), "gram").select("gram", "node", "n")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -404,28 +548,24 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     surveyed = cut(_surveyed(docs))
     counts = _sketch(surveyed.where("block is not null").select("block", "counts"))
-    rank = np.minimum(255, np.log2(np.maximum(counts, 1).astype(np.float64)) * 4).astype(np.uint8)
+    rank = _ranks(counts)
     ranks = spark.sparkContext.broadcast(rank)
-    parts = max(16, int(counts.sum()) // 4 // PART_ROWS)
+    parts = _parts(counts)
 
     sets = surveyed.where("block is null").select("doc_id", "n", "node")
     profiles = surveyed.where("block is null").groupBy("node").agg(F.min_by("profile", "doc_id").alias("profile"))
     scratch = new_workspace(spark, "ngram-join")
-    groups = cut(_shared(_prefixes(docs, ranks, parts), parts), scratch)
     places = _cuts(counts, rank)
 
+    met = _shared(_prefixes(docs.select(whole_text().alias("text"), F.lit(None).cast("long").alias("class")), ranks, parts, 0), parts, 0)
     tried = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "id long, component_id long")
     for turn in range(TURNS + 1):
-        rows = cut(_across(groups, found), scratch)
-        large = F.lit(turn < TURNS) & (F.col("size") > SMALL)
-        circles = cut(_circles(rows.where(large), turn), scratch)
-        against = circles.select(F.col("c").alias("x"), F.col("node").alias("y"), F.col("n_c").alias("n_x"), F.col("n").alias("n_y"))
-        pairs = _pairs_within(rows.where(~large)).unionByName(against)
-        pairs = _ordered(pairs.where(_close_in_size(F.col("n_x"), F.col("n_y")))).join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs, scratch)
+        pairs = cut(_distinct(met), scratch)
+        circles = _circles(pairs)
+        near = pairs.where("pivot < 4").where(_close_in_size(F.col("n_a"), F.col("n_b"))).drop("pivot").join(tried, ["a", "b"], "left_anti")
+        close = cut(_possible(near, profiles), scratch)
         tried = tried.unionByName(pairs.select("a", "b"))
-        close = cut(_possible(pairs, profiles), scratch)
         if not close.isEmpty():
             wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             links = cut(_linked(close, _texts(docs, sets, cut(wanted, scratch)), ranks, places), scratch)
@@ -436,7 +576,12 @@ def classes(docs: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
         wanted = left.select(F.explode(F.array("c", "node")).alias("node")).distinct()
-        groups = cut(_differences(left, cut(_whole_sets(_texts(docs, sets, cut(wanted, scratch))), scratch), scratch), scratch)
+        texts = cut(_texts(docs, sets, cut(wanted, scratch)), scratch)
+        if turn + 1 < SKETCHED:
+            met = _refined(texts, found, turn + 1)
+            continue
+        groups = cut(_differences(left, cut(_whole_sets(texts), scratch), scratch), scratch)
+        met = _shared_again(groups, found, turn + 1) if turn + 1 < TURNS else _all_within(groups, found)
     discard(spark, scratch)
 
     members = sets.join(found, sets["node"] == found["id"], "left").select(
