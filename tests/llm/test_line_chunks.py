@@ -98,3 +98,22 @@ def test_planted_passages_go_whole(spark, documents):
 def test_empty_table(documents):
     df = documents([])
     assert line_chunks.report(df).count() == 0 and line_chunks.clean(df).count() == 0
+
+
+def test_rows_of_one_doc_id_with_repeated_chunks(spark, documents):
+    texts = ["one line here\ntwo line here\nthree", "x\none line here\ntwo line here", "two\none line here\ntwo line here\nthree"]
+    once = documents(texts)
+    rows = once.unionByName(once).unionByName(once.where("doc_id = 2"))
+    listed = line_chunks.repeated(rows)
+    assert listed.count() == listed.distinct().count() == line_chunks.repeated(once).count() == 5
+    got = {tuple(r) for r in line_chunks.report(rows).collect()}
+    assert got == {tuple(r) for r in line_chunks.report(once).collect()}
+
+
+def test_texts_found_are_not_shuffled_to_drop_repeats(spark, documents, monkeypatch):
+    plans = []
+    cut = line_chunks.cut
+    monkeypatch.setattr(line_chunks, "cut", lambda df, *a: (plans.append(df), cut(df, *a))[1])
+    line_chunks.report(documents(["a b\nc d\ne", "a b\nc d\nf"])).collect()
+    found = [p for p in plans if "bytes" in p.columns]
+    assert len(found) == 1 and "Aggregate" not in found[0]._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]

@@ -87,11 +87,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     again = listed.join(leads.select("digest", "lead"), "digest").withColumn("leads", at == F.col("lead"))
     wanted = cut(again.groupBy("doc_id").agg(F.collect_set(F.struct("place", "digest", "leads")).alias("listed")))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text().alias("text"))
-    found = cut(_texts(texts.join(wanted, "doc_id")).distinct())
-    first = found.where("leads").select("digest", F.col("bytes").alias("first_bytes"))
-    same = found.where("not leads").join(first, "digest").where(F.col("bytes") == F.col("first_bytes"))
+    found = cut(_texts(texts.join(wanted, "doc_id")))  # rows of one doc_id may repeat; texts are not shuffled again to drop them here
     columns = ["doc_id", "place", "digest", "leads"]
-    return same.select(*columns).unionByName(found.where("leads").select(*columns))
+    first = found.where("leads").select("digest", F.col("bytes").alias("first_bytes")).distinct()
+    same = found.where("not leads").join(first, "digest").where(F.col("bytes") == F.col("first_bytes"))
+    return same.select(*columns).unionByName(found.where("leads").select(*columns)).distinct()
 
 
 def _without(text: str, cuts: list[dict]) -> tuple[str, int, int]:
