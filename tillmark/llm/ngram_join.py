@@ -132,8 +132,7 @@ def _surveyed(docs: DataFrame) -> DataFrame:
         counts = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in _slices(batches):
             sets = [shingles(text) for text in texts_of(batch)]
-            if sets:
-                counts += np.bincount(_bucket(np.concatenate(sets), 0), minlength=BUCKETS).astype(np.uint32)
+            np.add.at(counts, _bucket(np.concatenate(sets), 0), np.uint32(1))
             yield rows(len(sets), doc_id=batch.column("doc_id"), n=[len(s) for s in sets], node=[_node(s) for s in sets], profile=[_profile(s) for s in sets])
         if counts.any():
             blocks = [b.tobytes() for b in counts.reshape(-1, BLOCK)]
@@ -150,7 +149,7 @@ def _surveyed_again(texts: DataFrame, turn: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in _slices(batches):
-            np.add.at(counts, _bucket(np.concatenate([shingles(text) for text in texts_of(batch)]), turn), 1)
+            np.add.at(counts, _bucket(np.concatenate([shingles(text) for text in texts_of(batch)]), turn), np.uint32(1))
         if counts.any():
             blocks = counts.reshape(-1, BLOCK)
             some = np.flatnonzero(blocks.any(axis=1))
