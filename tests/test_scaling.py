@@ -1,11 +1,19 @@
 """Work that has to be done once per row or once per query, read off the plans."""
 
+import random
+import struct
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tests.reports import page_bytes, text_record
+from tillmark import report_bytes
+from tillmark import testbed as tb
 from tillmark.functions import hints
 from tillmark.operators import layout
 from tillmark.registered import runners
-from tillmark.sources import audits
+from tillmark.sources import audits, readers
 from tillmark.sources.store import ReportStore
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -60,3 +68,42 @@ def test_unique_values_are_dealt_over_partitions_that_follow_the_rows(spark, mon
     broken = audits.constraint_audit({"sale": sales})
     assert [tuple(row) for row in broken.collect()] == [("uq_sale_external", "POS|0")]
     assert "RepartitionByExpression [space" in made[0] and ", 10" in made[0]
+
+
+def test_bytes_of_reports_are_not_held_by_an_aggregate(spark):
+    plan = tb.report_files(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_records_of_lines_are_those_of_single_runs():
+    rng = random.Random(3)
+    texts = [[rng.choice([None, "", "1,50", "Preço", "中x", "\U0001f600a", "Venda"]) for _ in range(40)] for _ in range(3)]
+    x, y = np.arange(120).reshape(40, 3) * 7, np.arange(40) * 70_000
+    sliced = [pa.array(["before", *column])[1:] for column in texts]
+    body, begins = report_bytes.line_records(sliced, x, y)
+
+    def record(n, cell):
+        text = texts[cell][n]
+        if text is None:
+            return b""
+        whole = bytearray(text_record(int(x[n, cell]), int(y[n]), text))[: 76 + len(text.encode("utf-16-le"))]
+        struct.pack_into("<I", whole, 4, len(whole))
+        return bytes(whole)
+
+    lines = [b"".join(record(n, cell) for cell in range(3)) for n in range(40)]
+    assert [body[a:b] for a, b in zip(begins, begins[1:], strict=False)] == lines
+
+
+def test_runs_of_a_page_are_read_as_arrays():
+    alphabet = ["a", ",", " ", "\0", "\u3000", "\x85", "é", "中", "\U0001f600", "\ud800", "\udc00"]
+    for seed in range(60):
+        rng = random.Random(seed)
+        letters = alphabet[: 8 if seed % 2 else None]
+        raw = [("".join(rng.choice(letters) for _ in range(rng.randint(0, 5)))) for _ in range(rng.randint(0, 8))]
+        encoded = [text.encode("utf-16-le", "surrogatepass") for text in raw]
+        page = page_bytes([(n, -n, "x" * (len(text) // 2)) for n, text in enumerate(encoded)])
+        for at, text in zip(readers._record_starts(page, 0, len(page)), encoded, strict=True):
+            page = page[: at + 76] + text + page[at + 76 + len(text) :]
+        plain = [(n, -n, text.decode("utf-16-le", "replace").replace("\0", "").strip(readers.BLANKS)) for n, text in enumerate(encoded)]
+        x, y, texts = readers._page_runs(page, 0, len(page))
+        assert list(zip(x.tolist(), y.tolist(), texts.to_pylist(), strict=True)) == [run for run in plain if run[2]]
