@@ -1,17 +1,20 @@
 """Work that has to be done once per row or once per query, read off the plans."""
 
+import datetime as dt
 import random
 import struct
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from tests.reports import page_bytes, text_record
+from tests.reports import page_bytes, simple_report, text_record
 from tillmark import report_bytes
 from tillmark import testbed as tb
 from tillmark.functions import hints
 from tillmark.operators import layout
+from tillmark.plans.ingestion import ingest_batch
 from tillmark.registered import runners
 from tillmark.sources import audits, readers
 from tillmark.sources.store import ReportStore
@@ -107,3 +110,25 @@ def test_runs_of_a_page_are_read_as_arrays():
         plain = [(n, -n, text.decode("utf-16-le", "replace").replace("\0", "").strip(readers.BLANKS)) for n, text in enumerate(encoded)]
         x, y, texts = readers._page_runs(page, 0, len(page))
         assert list(zip(x.tolist(), y.tolist(), texts.to_pylist(), strict=True)) == [run for run in plain if run[2]]
+
+
+def test_runs_of_a_batch_lie_by_report_and_its_cuts_go(spark, tmp_path, monkeypatch):
+    plans, read = [], layout.read_layout
+
+    def noting(runs):
+        plans.append(read(runs).movements._jdf.queryExecution().executedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(layout, "read_layout", noting)
+    content = simple_report("41", "MOLHO", [("101", "1.5", "10.00")], "1,500")
+    files = spark.createDataFrame([("/in/a.QRP", len(content), bytearray(content))], "path string, length bigint, content binary")
+    store = ReportStore(spark, str(tmp_path / "store"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(InterruptedError):
+            ingest_batch(store, files, 0, dt.datetime(2026, 1, 1, tzinfo=dt.UTC))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plans[0] and "SortMergeJoin [sha256#" not in plans[0].split("SortAggregate")[-1]
+    assert not [row for row in spark.sql("show tables like 'cut_ingest*'").collect()]
+    assert list((tmp_path / "store" / "raw_content" / "batch_seq=0").glob("*.zstd.parquet"))
